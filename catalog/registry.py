@@ -15,11 +15,11 @@ ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
-def view(name: str, *needs: str):
+def view(name: str, *needs: str, recursive: bool = False):
     """Declare a common table expression; the decorated function returns its SELECT."""
 
     def register(build: Callable[[], str]):
-        VIEWS[name] = (needs, build())
+        VIEWS[name] = (needs, f"{name} AS {'' if recursive else 'MATERIALIZED '}({build()})")
         return build
 
     return register
@@ -38,7 +38,7 @@ def with_views(body: str, *needs: str) -> str:
         add(name)
     if not ordered:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(VIEWS[n][1] for n in ordered) + "\n" + body
 
 
 def query(name: str, *needs: str, sql: str | None = None):
