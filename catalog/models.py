@@ -1 +1,109 @@
+"""Model queries: rows only, since a fitted forecaster has no SQL twin. Sizes are kept small for the checks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tapeworks.config import BoostConfig, CostModel, DecisionConfig
+from tapeworks.models.classifiers import CostHeads, DirichletCalibrator, OpportunityClassifier
+from tapeworks.models.forests import expanding_backtest, static_split_forest
+from tapeworks.models.quantiles import QuantileForecaster
+from tapeworks.operators.intraday import PRICE_FEATURES, build_price_features
+from tapeworks.operators.premarket import SNAPSHOT_FEATURES, build_snapshot_features
+from tapeworks.operators.trend import next_day_target, trend_columns, trend_features
+from tapeworks.plans import backtest as study_plan
+
+from .fixtures import LABEL, LAYOUT, Fixture
+from .labels import fixture_labels
+from .registry import day, query, rounded
+
+SMALL = BoostConfig(rounds=3, learning_rate=0.3, leaves=7, min_rows_per_leaf=5)
+TINY = BoostConfig(rounds=1, learning_rate=0.5, leaves=3, min_rows_per_leaf=5)
+STUDY = study_plan.StudyConfig(
+    LAYOUT,
+    LABEL,
+    session_model=TINY,
+    bar_model=TINY,
+    decisions=DecisionConfig(max_risk_bps=5000.0, trend_oppose_bps=3000.0),
+    min_score=0.05,
+    max_candidates=2,
+    top_k=2,
+)
+
+
+def labelled_snapshots(fx: Fixture) -> DataFrame:
+    labels = fixture_labels(fx).labels.select("ticker", "date", "label")
+    return build_snapshot_features(fx.bars, fx.calendar).join(labels, ["ticker", "date"])
+
+
+@query("opportunity_classifier")
+def _(fx):
+    rows = labelled_snapshots(fx)
+    scored = OpportunityClassifier(SNAPSHOT_FEATURES, SMALL).fit(rows).predict(rows)
+    return scored.select("ticker", day(), "label", *rounded("p_none", "p_opening_only", "p_sustained", "opportunity_score"))
+
+
+@query("dirichlet_calibrator")
+def _(fx):
+    from .trading import probabilities
+
+    rows = probabilities(fx)
+    scored = DirichletCalibrator().fit(rows).transform(rows)
+    return scored.select("ticker", day(), "label", *rounded("p_none", "p_opening_only", "p_sustained", "opportunity_score"))
+
+
+@query("quantile_forecaster")
+def _(fx):
+    rows = build_price_features(fx.rth)
+    scored = QuantileForecaster(PRICE_FEATURES, SMALL).fit(rows).predict(rows)
+    return scored.select("ticker", day(), "minute", *rounded("q10", "q50", "q90"))
+
+
+@query("cost_heads")
+def _(fx):
+    rows = build_price_features(fx.rth)
+    scored = CostHeads(PRICE_FEATURES, CostModel().round_trip_cost, SMALL).fit(rows).predict(rows)
+    return scored.select("ticker", day(), "minute", *rounded("p_long_win", "p_short_win"))
+
+
+def order_series(fx: Fixture) -> DataFrame:
+    """All orders as one daily series."""
+    return fx.table("orders").groupBy(F.lit("ALL").alias("ticker"), F.col("o_orderdate").cast("date").alias("date")).agg(
+        F.min_by("o_totalprice", "o_orderkey").alias("open"),
+        F.max("o_totalprice").alias("high"),
+        F.min("o_totalprice").alias("low"),
+        F.max_by("o_totalprice", "o_orderkey").alias("close"),
+        F.count(F.lit(1)).cast("double").alias("volume"),
+    )
+
+
+@query("static_split_forest")
+def _(fx):
+    scored = static_split_forest(next_day_target(order_series(fx)), trees=10)
+    return scored.select(day(), "target", "prediction", *rounded("p_up"))
+
+
+@query("expanding_backtest")
+def _(fx):
+    # The tables span 2,400 days; horizons up to 60 days leave enough of them to refit over.
+    horizons = (2, 5, 60)
+    rows = trend_features(next_day_target(order_series(fx)), horizons)
+    scored = expanding_backtest(rows, tuple(trend_columns(horizons)), start=200, step=1100, trees=10)
+    return scored.select(day(), "target", "prediction", *rounded("p_up"))
+
+
+def study(fx: Fixture):
+    return study_plan.prepare(fx.bars, fx.calendar, STUDY)
+
+
+@query("session_model_metrics")
+def _(fx):
+    ready = study(fx)
+    done = study_plan.walk_forward_run(ready.fold_ids, lambda k: study_plan.session_model_metrics(ready, k))
+    return done.select("fold_id", "version", "n_rows", *rounded("log_loss", "brier", "accuracy", "log_loss_prior"))
+
+
+@query("end_to_end_backtest")
+def _(fx):
+    done = study_plan.end_to_end_backtest(study(fx))
+    return done.summary.select("fold_id", "n_trades", "n_long", "n_short", *rounded("hit_rate", "avg_net_bps", "total_net_return"))

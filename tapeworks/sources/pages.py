@@ -106,7 +106,7 @@ def articles_from_pages(pages: DataFrame) -> DataFrame:
     published = F.to_timestamp("published_utc")
 
     def tag(ticker):
-        given = F.element_at(F.filter("insights", lambda i: i["ticker"] == ticker), -1)
+        given = F.try_element_at(F.filter("insights", lambda i: i["ticker"] == ticker), F.lit(-1))
         return F.struct(
             ticker.alias("ticker"),
             given["sentiment"].alias("sentiment"),
