@@ -19,7 +19,7 @@ DAY_KEY = "ticker, CAST(d AS VARCHAR) AS date"
 
 @query("with_et", "fx_bars", sql=f"SELECT {KEY}, CAST(m // 15 * 15 AS INT) AS slot FROM fx_bars")
 def _(fx):
-    return with_et(fx.raw_bars).select("ticker", day(), "minute", "slot")
+    return with_et(fx.bars.drop("date", "minute")).select("ticker", day(), "minute", "slot")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeworks.config import BAR_LATENCY_SECONDS, BAR_MINUTES, NEWS_LATENCY_MINUTES, BreakoutConfig, LabelConfig
 from tapeworks.config import SweepConfig, WalkForwardConfig
-from tapeworks.functions.clock import exchange_instant, with_et
+from tapeworks.functions.clock import exchange_instant
 from tapeworks.functions.text import classify_event
 from tapeworks.operators.asof import rth_bars
 from tapeworks.sources.calendar import session_calendar
@@ -56,8 +56,8 @@ class Fixture:
         return each.unionByName(each.withColumn("ticker", F.lit("SPY")))
 
     @cached_property
-    def raw_bars(self) -> DataFrame:
-        """Five-minute bars keyed by instants; VWAP is unknown for single-tick bars."""
+    def bars(self) -> DataFrame:
+        """Five-minute bars with their exchange date and minute; VWAP is unknown for single-tick bars."""
         bars = self.ticks.groupBy("ticker", "d", "m").agg(
             F.min_by("px", "event_id").alias("open"),
             F.max("px").alias("high"),
@@ -71,11 +71,7 @@ class Fixture:
         latency = (BAR_MINUTES * 60 + BAR_LATENCY_SECONDS) * 1_000_000
         return bars.withColumns(
             {"event_ts": start, "available_ts": F.timestamp_micros(F.unix_micros(start) + F.lit(latency))}
-        ).drop("d", "m")
-
-    @cached_property
-    def bars(self) -> DataFrame:
-        return with_et(self.raw_bars).drop("slot")
+        ).withColumnsRenamed({"d": "date", "m": "minute"})
 
     @cached_property
     def revised_bars(self) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.rolling import SESSION, day_order, rolling_mean
 from ..functions.scalars import ratio
 from ..functions.text import FEATURED_EVENTS, classify_event, normalize_title, sentiment_value
 from ..sources.calendar import small_calendar
+from .asof import by_session
 
 # Story window, decay half-life and look-backs of the news features.
 STORY_HOURS = 72
@@ -33,18 +34,19 @@ def cluster_articles(articles: DataFrame) -> DataFrame:
     Copies of one title inside a fixed 72-hour bucket always chain, so each (title, bucket) first collapses to one
     row with map-side combine. Gaps-and-islands then runs over buckets: a title's window holds one row per three
     days of history, however often the story was copied. The join back is keyed by (title, bucket), where AQE
-    splits an oversized side. Untitled articles are their own story and take no part in the shuffle.
+    splits an oversized side. An untitled article is its own story: a key of its own spreads it over the cluster.
     """
     width = STORY_HOURS * MICROS_PER_HOUR
-    published = F.unix_micros("published_ts")
+    title = normalize_title(F.col("title"))
+    own = F.concat(F.lit("#"), F.col("article_id").cast("string"))  # '#' never occurs in a normalised title
     keyed = articles.withColumns(
-        {"title_key": normalize_title(F.col("title")), "bucket": F.floor(published / width).cast("bigint")}
+        {
+            "title_key": F.when(title == "", own).otherwise(title),
+            "bucket": F.floor(F.unix_micros("published_ts") / width).cast("bigint"),
+        }
     )
-    titled = keyed.filter(F.col("title_key") != "")
     first = F.min(F.struct("published_ts", "article_id"))
-    buckets = titled.groupBy("title_key", "bucket").agg(
-        first.alias("first"), F.max("published_ts").alias("last_ts")
-    )
+    buckets = keyed.groupBy("title_key", "bucket").agg(first.alias("first"), F.max("published_ts").alias("last_ts"))
     order = Window.partitionBy("title_key").orderBy("bucket")
     silence = F.unix_micros("first.published_ts") - F.unix_micros(F.lag("last_ts", 1).over(order))
     fresh = F.coalesce(silence > width, F.lit(True))
@@ -53,10 +55,8 @@ def cluster_articles(articles: DataFrame) -> DataFrame:
         order.rowsBetween(Window.unboundedPreceding, 0)
     )
     stories = buckets.select("title_key", "bucket", start.alias("cluster_id"))
-    chained = titled.join(stories, ["title_key", "bucket"])
-    alone = keyed.filter(F.col("title_key") == "").withColumn("cluster_id", F.col("article_id"))
-    both = chained.unionByName(alone)
-    return both.withColumn("is_cluster_start", F.col("cluster_id") == F.col("article_id")).drop("title_key", "bucket")
+    chained = keyed.join(stories, ["title_key", "bucket"]).drop("title_key", "bucket")
+    return chained.withColumn("is_cluster_start", F.col("cluster_id") == F.col("article_id"))
 
 
 def classify_articles(articles: DataFrame) -> DataFrame:
@@ -162,8 +162,9 @@ def bar_news(bars: DataFrame, tagged: DataFrame, minutes: int = BAR_MINUTES) ->
     width = minutes * 60_000_000
     day_of = F.to_date(local_time(F.timestamp_micros((F.col("cell") - 1) * width)))
     cells = news_cells(tagged, minutes).withColumn("date", F.explode(F.sequence(day_of, F.date_add(day_of, 2))))
-    rows = bars.withColumns({"cell": (F.unix_micros("event_ts") / width).cast("bigint") + 1, "is_bar": F.lit(True)})
-    both = rows.unionByName(cells.withColumn("is_bar", F.lit(False)), allowMissingColumns=True)
+    rows = by_session(bars).withColumns({"cell": (F.unix_micros("event_ts") / width).cast("bigint") + 1, "is_bar": F.lit(True)})
+    # Both sides are laid out by session, so the union keeps that layout and the frames need no further shuffle.
+    both = rows.unionByName(by_session(cells.withColumn("is_bar", F.lit(False))), allowMissingColumns=True)
     order = Window.partitionBy(*SESSION).orderBy("cell")
     two_hours = order.rangeBetween(1 - 120 // minutes, 0)
     one_day = order.rangeBetween(1 - DAY_MINUTES // minutes, 0)

@@ -8,7 +8,7 @@ from ..config import BAR_MINUTES, WINDOW_MINUTES
 from ..functions.rolling import SESSION
 from ..functions.scalars import log_ratio, price_ref
 from ..sources.calendar import sessions_between, small_calendar
-from .asof import distinct_sessions, session_bars_asof
+from .asof import by_session, distinct_sessions, session_bars_asof
 
 BARS_PER_WINDOW = WINDOW_MINUTES // BAR_MINUTES
 
@@ -21,7 +21,7 @@ def session_windows(session_bars: DataFrame, grid: DataFrame) -> DataFrame:
     """
     in_window = F.col("minute") - F.col("open_min")
     slot = (F.col("minute") - in_window % WINDOW_MINUTES).cast("int")
-    rows = session_bars.select(
+    rows = by_session(session_bars).select(
         *SESSION,
         slot.alias("slot"),
         "open_min",
@@ -34,7 +34,7 @@ def session_windows(session_bars: DataFrame, grid: DataFrame) -> DataFrame:
         F.lit(1).alias("bar"),
     )
     starts = F.sequence(F.col("open_min"), F.col("close_min") - WINDOW_MINUTES, F.lit(WINDOW_MINUTES))
-    empty = grid.select(*SESSION, "open_min", F.explode(starts).alias("slot"))
+    empty = by_session(grid).select(*SESSION, "open_min", F.explode(starts).alias("slot"))
     none = F.lit(None)
     padded = empty.select(
         *SESSION,
@@ -58,12 +58,12 @@ def session_windows(session_bars: DataFrame, grid: DataFrame) -> DataFrame:
     )
 
 
-def full_grid(bars: DataFrame, calendar: DataFrame, start, end) -> DataFrame:
-    """Every stored ticker on every session in [start, end]: dates are generated per ticker, then met with the
+def full_grid(tickers: DataFrame, calendar: DataFrame, start, end) -> DataFrame:
+    """Every ticker on every session in [start, end]: dates are generated per ticker, then met with the
     calendar on an equi-join, so no cross join is planned."""
     dates = F.sequence(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date"))
     hours = small_calendar(sessions_between(calendar, start, end), "open_min", "close_min")
-    return bars.select("ticker").distinct().select("ticker", F.explode(dates).alias("date")).join(hours, "date")
+    return tickers.select("ticker").distinct().select("ticker", F.explode(dates).alias("date")).join(hours, "date")
 
 
 def stored_grid(session_bars: DataFrame) -> DataFrame:
@@ -71,11 +71,14 @@ def stored_grid(session_bars: DataFrame) -> DataFrame:
     return session_bars.select(*SESSION, "open_min", "close_min").distinct()
 
 
-def build_windows(bars: DataFrame, calendar: DataFrame, start, end) -> DataFrame:
-    """Windows of every ticker and session in the range, each session read as of half an hour after its close."""
+def build_windows(bars: DataFrame, calendar: DataFrame, start, end, universe: DataFrame | None = None) -> DataFrame:
+    """Windows of every ticker and session in the range, each session read as of half an hour after its close.
+
+    ``universe`` lists the tickers; without it they are read off the bars (one extra scan of the ticker column).
+    """
     low, high = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
     ranged = bars.filter(F.col("date").between(low, high))
-    return session_windows(session_bars_asof(ranged, calendar), full_grid(bars, calendar, start, end))
+    return session_windows(session_bars_asof(ranged, calendar), full_grid(bars if universe is None else universe, calendar, start, end))
 
 
 __all__ = ["build_windows", "distinct_sessions", "full_grid", "session_windows", "stored_grid"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import LabelConfig, WalkForwardConfig
 from ..operators.folds import TEST, TRAIN, tag_folds, walk_forward_folds
 from ..operators.labels import classify_sessions, label_stability, qualify_windows
-from ..operators.tod import tod_rank, tod_stats_fit, tod_transform
+from ..operators.tod import tod_rank, tod_stats_fit
 from ..operators.windows import build_windows
 
 
@@ -23,13 +23,21 @@ class Labelled:
 def label_range(
     bars: DataFrame, calendar: DataFrame, fit: tuple, span: tuple, config: LabelConfig = LabelConfig()
 ) -> Labelled:
-    """Label the sessions of ``span`` with statistics fitted on ``fit``; the two ranges must not touch."""
+    """Label the sessions of ``span`` with statistics fitted on ``fit``; the two ranges must not touch.
+
+    Windows of both ranges come from one pass and stay one table: a flag tells reference rows from labelled ones.
+    """
     if str(fit[1]) >= str(span[0]):
         raise ValueError("the fit range must end before the labelled range starts")
-    train = build_windows(bars, calendar, *fit)
-    rows = build_windows(bars, calendar, *span)
-    qualified = qualify_windows(tod_transform(train, rows, config.min_obs, config.eps), config)
-    return Labelled(rows, qualified, classify_sessions(qualified, config))
+
+    def within(span: tuple):
+        return F.col("date").between(*[F.lit(str(d)).cast("date") for d in span])
+
+    windows = build_windows(bars, calendar, fit[0], span[1])
+    flagged = windows.filter(within(fit) | within(span)).withColumn("is_train", within(fit))
+    ranked = tod_rank(flagged, config.min_obs, config.eps).filter(~F.col("is_train"))
+    qualified = qualify_windows(ranked, config)
+    return Labelled(flagged, qualified, classify_sessions(qualified, config))
 
 
 def label_folds(windows: DataFrame, folds: DataFrame, config: LabelConfig = LabelConfig()) -> Labelled:
