@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import datetime as dt
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import WalkForwardConfig
 from ..runtime import bounded_broadcast
@@ -11,44 +14,43 @@ from ..sources.calendar import SESSION_BOUND
 TRAIN, CALIBRATE, TEST = "train", "calibrate", "test"
 
 
-def indexed_days(days: DataFrame) -> DataFrame:
-    """Position of each distinct day; a calendar-sized table, so the unpartitioned ranking stays tiny."""
-    return days.select("date").distinct().select(
-        "date", (F.row_number().over(Window.orderBy("date")) - 1).cast("int").alias("i")
-    )
+def ordered_days(days: DataFrame) -> list[dt.date]:
+    """The distinct days in order: a calendar-sized list, checked against the session bound before it is read."""
+    found = [r["date"] for r in days.select("date").distinct().orderBy("date").limit(SESSION_BOUND + 1).collect()]
+    if len(found) > SESSION_BOUND:
+        raise ValueError(f"more than {SESSION_BOUND} distinct days: folds are laid out over trading sessions")
+    return found
 
 
 def walk_forward_folds(days: DataFrame, config: WalkForwardConfig) -> DataFrame:
     """Every (fold, segment, day) of the walk-forward layout
 
-    ``[train][embargo][calibrate][embargo][test]``; the last ``holdout_sessions`` days belong to no fold.
-    Fold k starts ``k * step`` days in, so membership is arithmetic on the day's position: each day lists the
-    folds whose segment covers it, and no fold loop runs on the driver.
+    ``[train][embargo][calibrate][embargo][test]``; the last ``holdout_sessions`` days belong to no fold. The table
+    depends on the calendar and the layout only, so it enters plans as a local relation of known size.
     """
-    indexed = indexed_days(days)
-    n_days = indexed.agg(F.count(F.lit(1))).first()[0]
-    n_folds = config.fold_count(n_days)
-    if n_folds == 0:
-        return indexed.filter(F.lit(False)).select(
-            F.lit(0).alias("fold_id"), F.lit(TRAIN).alias("segment"), "date"
-        )
-    folds = indexed.select("date", "i", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold_id"))
-    at = F.col("i") - F.col("fold_id") * config.step_sessions
-    train_from = F.lit(0) if not config.expanding else -F.col("fold_id") * config.step_sessions
-    calibrate, test = config.calibrate_offset, config.test_offset
-    segment = (
-        F.when((at >= train_from) & (at < config.train_sessions), TRAIN)
-        .when((at >= calibrate) & (at < calibrate + config.calibrate_sessions), CALIBRATE)
-        .when((at >= test) & (at < test + config.test_sessions), TEST)
-    )
-    return folds.select("fold_id", segment.alias("segment"), "date").filter(F.col("segment").isNotNull())
+    ordered = ordered_days(days)
+    fold_ids, segments, dates = [], [], []
+    for fold in range(config.fold_count(len(ordered))):
+        base = fold * config.step_sessions
+        spans = {
+            TRAIN: (0 if config.expanding else base, base + config.train_sessions),
+            CALIBRATE: (base + config.calibrate_offset, base + config.calibrate_offset + config.calibrate_sessions),
+            TEST: (base + config.test_offset, base + config.test_offset + config.test_sessions),
+        }
+        for segment, (start, stop) in spans.items():
+            picked = ordered[start:stop]
+            fold_ids += [fold] * len(picked)
+            segments += [segment] * len(picked)
+            dates += picked
+    table = {"fold_id": pa.array(fold_ids, pa.int32()), "segment": pa.array(segments, pa.string()), "date": pa.array(dates, pa.date32())}
+    return days.sparkSession.createDataFrame(pa.table(table))
 
 
 def holdout_days(days: DataFrame, config: WalkForwardConfig) -> DataFrame:
     """The reserved last sessions."""
-    indexed = indexed_days(days)
-    n_days = indexed.agg(F.count(F.lit(1))).first()[0]
-    return indexed.filter(F.col("i") >= n_days - config.holdout_sessions).select("date")
+    ordered = ordered_days(days)
+    held = ordered[len(ordered) - config.holdout_sessions :] if config.holdout_sessions else []
+    return days.sparkSession.createDataFrame(pa.table({"date": pa.array(held, pa.date32())}))
 
 
 def fold_bounds(folds: DataFrame) -> DataFrame:
@@ -63,6 +65,6 @@ def fold_bounds(folds: DataFrame) -> DataFrame:
 def tag_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
     """Repeat each row for every (fold, segment) its date belongs to: all folds run in one pass.
 
-    The fold table is bounded by sessions x folds per session, a product of configuration and calendar.
+    The fold table is counted before it is hinted for broadcast; a layout too large for that joins by shuffle.
     """
-    return rows.join(bounded_broadcast(folds, SESSION_BOUND * 16), "date")
+    return rows.join(bounded_broadcast(folds, folds.count()), "date")

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import BAR_MINUTES, HOLD, HORIZON_BARS, LONG, SHORT, CostModel
 from ..functions.rolling import SESSION
 from ..functions.scalars import share
+from ..runtime import materialize
 from .intraday import TARGET
+from .quantile import grouped_median
 
 SUMMARY = (
     "n_trades", "n_long", "n_short", "trades_per_day", "hold_fraction", "hit_rate", "avg_net_bps", "median_net_bps",
@@ -54,20 +56,24 @@ def thin_events(decided: DataFrame, costs: CostModel = CostModel(), *keys: str)
 def trade_summary(trades: DataFrame, universe: DataFrame, *keys: str) -> DataFrame:
     """Summary per key (at least one). ``universe`` gives n_decision_rows and n_days per key, so a key without trades still reports.
 
-    The exact median runs on trades, a few per ticker-day; all other measures combine map-side.
+    All measures combine map-side; the exact median brackets its group first (see ``grouped_median``).
     """
     net = F.col("net_ret")
+    # Read several times below, and short next to the bars it came from: computed once.
+    trades = materialize(trades.select(*keys, "direction", "net_ret", "gross_ret"))
     stats = trades.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trades"),
         F.count_if(F.col("direction") == LONG).alias("n_long"),
         F.count_if(F.col("direction") == SHORT).alias("n_short"),
         share(net > 0).alias("hit_rate"),
         (F.avg(net) * 1e4).alias("avg_net_bps"),
-        (F.percentile(net, F.lit(0.5)) * 1e4).alias("median_net_bps"),
         F.sum(net).alias("total_net_return"),
         (F.avg("gross_ret") * 1e4).alias("avg_gross_bps"),
     )
-    joined = universe.join(stats, list(keys), "left")
+    middle = grouped_median(trades, "net_ret", *keys, name="median_net").withColumn(
+        "median_net_bps", F.col("median_net") * 1e4
+    )
+    joined = universe.join(stats, list(keys), "left").join(middle, list(keys), "left")
     n = F.coalesce("n_trades", F.lit(0))
     some = n > 0
     return joined.select(

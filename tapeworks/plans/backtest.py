@@ -54,7 +54,7 @@ class Study:
 def prepare(bars: DataFrame, calendar: DataFrame, config: StudyConfig, tagged: DataFrame | None = None) -> Study:
     """Build and materialise the tables. ``bars`` are extended-hours bars as of the end of the range."""
     rth = rth_bars(bars, calendar)
-    folds = materialize(walk_forward_folds(distinct_sessions(rth), config.layout))
+    folds = walk_forward_folds(distinct_sessions(rth), config.layout)
     windows = session_windows(rth, stored_grid(rth))
     return Study(
         config,
