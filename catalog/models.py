@@ -9,6 +9,7 @@ from tapeworks.models.classifiers import CostHeads, DirichletCalibrator, Opportu
 from tapeworks.models.forests import expanding_backtest, static_split_forest
 from tapeworks.models.quantiles import QuantileForecaster
 from tapeworks.operators.intraday import PRICE_FEATURES, build_price_features
+from tapeworks.operators.metrics import FORECAST_METRICS
 from tapeworks.operators.premarket import SNAPSHOT_FEATURES, build_snapshot_features
 from tapeworks.operators.trend import next_day_target, trend_columns, trend_features
 from tapeworks.plans import backtest as study_plan
@@ -107,3 +108,30 @@ def _(fx):
 def _(fx):
     done = study_plan.end_to_end_backtest(study(fx))
     return done.summary.select("fold_id", "n_trades", "n_long", "n_short", *rounded("hit_rate", "avg_net_bps", "total_net_return"))
+
+
+@query("session_rankings")
+def _(fx):
+    ready = study(fx)
+    done = study_plan.walk_forward_run(ready.fold_ids, lambda k: study_plan.session_rankings(ready, k))
+    return done.select("fold_id", "ranker", *rounded("p_at_2", "capture_at_2"))
+
+
+@query("bar_model_metrics")
+def _(fx):
+    ready = study(fx)
+    done = study_plan.walk_forward_run(ready.fold_ids, lambda k: study_plan.bar_model_metrics(ready, k))
+    return done.select("fold_id", "n_rows", *rounded(*FORECAST_METRICS))
+
+
+@query("breakout_study")
+def _(fx):
+    summary, _ = study_plan.breakout_study(study(fx), fx.rth)
+    return summary.select("fold_id", "arm", "n_trades", *rounded("hit_rate", "avg_net_bps", "total_net_return"))
+
+
+@query("ablation_study")
+def _(fx):
+    forecasts, trades = study_plan.ablation_study(study(fx))
+    both = forecasts.join(trades, ["fold_id", "slice"])
+    return both.select("fold_id", "slice", "n_rows", "n_trades", *rounded("direction_accuracy", "coverage_80", "avg_net_bps", "hit_rate"))

@@ -8,19 +8,20 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import BoostConfig, CostModel, DecisionConfig, LabelConfig, RiskConfig, WalkForwardConfig
+from ..config import BoostConfig, BreakoutConfig, CostModel, DecisionConfig, LabelConfig, RiskConfig, WalkForwardConfig
 from ..functions.rolling import SESSION
 from ..models.classifiers import CostHeads, DirichletCalibrator, OpportunityClassifier
 from ..models.quantiles import QuantileForecaster
 from ..operators.asof import distinct_sessions, rth_bars
 from ..operators.decisions import decide, select_candidates
 from ..operators.folds import CALIBRATE, TEST, TRAIN, walk_forward_folds
-from ..operators.metrics import classifier_metrics, class_prior, compare_rankers
+from ..operators.metrics import class_prior, classifier_metrics, compare_rankers, forecast_metrics
 from ..operators.replay import Replay, capacity_replay
 from ..operators.trades import thin_events, trade_summary
 from ..operators.windows import session_windows, stored_grid
 from ..runtime import bounded_broadcast, materialize
 from ..sources.calendar import SESSION_BOUND
+from .comparisons import arm_compare, arm_replay, arm_trades, slice_ablation
 from .feature_tables import BAR_FEATURES, SESSION_FEATURES, bar_feature_table, session_feature_table
 from .labelling import label_folds
 
@@ -107,12 +108,21 @@ def session_rankings(study: Study, fold: int) -> DataFrame:
     return compare_rankers(calibrator.transform(model.predict(labelled_rows(study, fold, TEST))), study.config.top_k)
 
 
-def fold_candidates(study: Study, fold: int) -> DataFrame:
-    """(ticker, date) picked on test days by calibrated score: floor, then at most ``max_candidates`` a day."""
+def score_test_days(study: Study, fold: int) -> DataFrame:
+    """Calibrated opportunity score of every test-day session."""
     model, calibrator = session_scores(study, fold)
     scored = calibrator.transform(model.predict(segment_rows(study.sessions, study, fold, TEST)))
-    scores = scored.select(*SESSION, F.col("opportunity_score").alias("score"))
-    return select_candidates(scores, study.config.min_score, study.config.max_candidates)
+    return scored.select(*SESSION, F.col("opportunity_score").alias("score"))
+
+
+def fold_candidates(study: Study, fold: int) -> DataFrame:
+    """(ticker, date) picked on test days: score floor, then at most ``max_candidates`` a day."""
+    return select_candidates(score_test_days(study, fold), study.config.min_score, study.config.max_candidates)
+
+
+def fold_watchlist(study: Study, fold: int) -> DataFrame:
+    """Every (ticker, date) over the score floor, without a daily limit."""
+    return select_candidates(score_test_days(study, fold), study.config.min_score, None)
 
 
 def forecast(study: Study, fold: int, rows: DataFrame) -> DataFrame:
@@ -148,3 +158,23 @@ def end_to_end_backtest(study: Study) -> BacktestResult:
     universe = test_days.join(counts, "fold_id", "left").withColumn("n_decision_rows", F.coalesce("n_decision_rows", F.lit(0)))
     summary = trade_summary(trades, universe, "fold_id")
     return BacktestResult(trades, summary, capacity_replay(trades.withColumn("run_id", F.lit("stitched")), config.risk))
+
+
+def bar_model_metrics(study: Study, fold: int) -> DataFrame:
+    """Forecast metrics of the quantile model on the fold's test bars."""
+    test = segment_rows(study.bars, study, fold, TEST)
+    return forecast_metrics(forecast(study, fold, test))
+
+
+def breakout_study(study: Study, rth: DataFrame, breakout: BreakoutConfig = BreakoutConfig()) -> tuple[DataFrame, Replay]:
+    """Breakouts on all test sessions against those on the scored watchlist: summaries per (fold, arm), and replays."""
+    listed = materialize(walk_forward_run(study.fold_ids, lambda k: fold_watchlist(study, k)))
+    trades = materialize(arm_trades(rth, listed, study.folds, breakout, study.config.costs))
+    return arm_compare(trades, study.folds), arm_replay(trades, study.config.risk)
+
+
+def ablation_study(study: Study) -> tuple[DataFrame, DataFrame]:
+    """One forecaster per fold, judged on all test rows and on candidate rows: forecast metrics and trade summaries."""
+    picked = materialize(walk_forward_run(study.fold_ids, lambda k: fold_candidates(study, k)))
+    rows = walk_forward_run(study.fold_ids, lambda k: forecast(study, k, segment_rows(study.bars, study, k, TEST)))
+    return slice_ablation(materialize(rows), picked, study.config.costs, study.config.decisions)

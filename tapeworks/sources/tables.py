@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.clock import local_time
 
@@ -50,13 +50,11 @@ def _append(spark: SparkSession, path: str, incoming: DataFrame, key: tuple[str,
         if low is None:
             return 0
         fresh = new_rows(table.filter(F.col("date").between(low, high)), rows, key)
-    # Materialised by the write; the count is observed on the way instead of in a second pass.
-    from pyspark.sql import Observation
-
+    # The count is observed while the rows are written. Rebalancing gathers each date into well-sized files and splits
+    # a date that is too large for one task.
     seen = Observation()
-    fresh.observe(seen, F.count(F.lit(1)).alias("n")).repartition("date").write.mode("append").partitionBy(
-        "date"
-    ).parquet(path)
+    counted = fresh.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", "date")
+    counted.write.mode("append").partitionBy("date").parquet(path)
     return int(seen.get["n"])
 
 
