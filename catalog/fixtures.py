@@ -98,7 +98,10 @@ class Fixture:
 
     @cached_property
     def articles(self) -> DataFrame:
-        """News from the documents: publish minutes count from the first day, in exchange time."""
+        """News from the documents: first line as title, whole text as description, publish minutes in exchange time.
+
+        The generated table is one small file, so it is spread over the cores before its text is parsed.
+        """
         labels = self.table("labels")
         pub_min = ((F.col("doc_id") % 1000) * 43).cast("int")
         sentiment = (
@@ -107,14 +110,15 @@ class Fixture:
             .when(F.col("quality").isNotNull(), "neutral")
         )
         published = exchange_instant(F.lit(FIRST_DAY).cast("date"), F.col("pub_min"))
-        docs = self.table("documents").join(labels, "doc_id", "left").withColumn("pub_min", pub_min)
+        documents = self.table("documents").select("doc_id", "text", "source").repartition("doc_id")
+        docs = documents.join(labels, "doc_id", "left").withColumn("pub_min", pub_min)
         return docs.select(
             F.col("doc_id").alias("article_id"),
             published.alias("published_ts"),
             F.timestamp_micros(F.unix_micros(published) + NEWS_LATENCY_MINUTES * 60_000_000).alias("available_ts"),
             F.col("source").alias("publisher"),
-            F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
-            F.substring("text", 81, 200).alias("description"),
+            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+            F.col("text").alias("description"),
             F.concat(F.lit("T"), (F.col("doc_id") % 3).cast("string")).alias("ticker"),
             sentiment.alias("sentiment"),
         )

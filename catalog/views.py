@@ -60,7 +60,7 @@ FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)"""
 def _news():
     return """SELECT d.doc_id AS article_id, CAST((d.doc_id % 1000)*43 AS BIGINT) AS pub_min,
   CAST((d.doc_id % 1000)*43 + 15 AS BIGINT) AS avail_min, d.source AS publisher,
-  substr(split_part(d.text, chr(10), 1), 1, 80) AS title, substr(d.text, 81, 200) AS description,
+  split_part(d.text, chr(10), 1) AS title, d.text AS description,
   concat('T', CAST(d.doc_id % 3 AS VARCHAR)) AS ticker,
   CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive'
        WHEN l.doc_id IS NOT NULL THEN 'neutral' END AS sentiment

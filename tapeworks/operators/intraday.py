@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import HORIZON_BARS
 from ..functions.rolling import SESSION, day_order, rolling_median, rolling_std, running, session_order
@@ -18,7 +18,7 @@ PRICE_FEATURES = (
 )
 TARGET = "fwd_ret_15m"
 CONTEXT = {"SPY": "spy", "QQQ": "qqq"}
-BARS_PER_SESSION_BOUND = 288
+REGULAR_BARS = 78
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def with_market_context(rows: DataFrame, bars: DataFrame, tickers: dict[str, str
     """Left-join the context onto every bar of every ticker; at most one row per session bar exists, which bounds
     the broadcast by the calendar (half a century of five-minute sessions stays under the limit)."""
     context = market_context(bars, tickers)
-    bound = SESSION_BOUND // 2 * 78
+    bound = SESSION_BOUND // 2 * REGULAR_BARS
     return rows.join(bounded_broadcast(context, bound, 48), ["date", "minute"], "left")
 
 
@@ -130,7 +130,3 @@ def build_price_features(rth: DataFrame) -> DataFrame:
     """The price part of the intraday feature table: session features, overnight gap, market context."""
     rows = session_features(rth).join(overnight_gaps(rth), list(SESSION), "left")
     return with_market_context(rows, rth)
-
-
-def stored_bar_number(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("bar_no", F.row_number().over(Window.partitionBy(*SESSION).orderBy("minute")) - 1)

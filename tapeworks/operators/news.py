@@ -26,6 +26,7 @@ BAR_NEWS = (
 )
 
 MICROS_PER_HOUR = 3_600_000_000
+STORY, SOURCE = "story", "source"
 
 
 def cluster_articles(articles: DataFrame) -> DataFrame:
@@ -64,12 +65,16 @@ def classify_articles(articles: DataFrame) -> DataFrame:
 
 
 def tagged_news(articles: DataFrame, tags: DataFrame) -> DataFrame:
-    """Clustered, classified articles joined to their ticker tags, with the sentiment as a number."""
-    typed = classify_articles(cluster_articles(articles)).select(
-        "article_id", "available_ts", "publisher", "cluster_id", "is_cluster_start", "event_type"
+    """Clustered, classified articles joined to their ticker tags, with the sentiment as a number.
+
+    Texts are classified where they are read and dropped at once: only keys and short columns reach the shuffles.
+    """
+    typed = classify_articles(articles).select(
+        "article_id", "published_ts", "available_ts", "publisher", "title", "event_type"
     )
+    stories = cluster_articles(typed).drop("title", "published_ts")
     known = tags.select("article_id", "ticker", sentiment_value(F.col("sentiment")).alias("sentiment_value"))
-    return typed.join(known, "article_id")
+    return stories.join(known, "article_id")
 
 
 def cutoff_articles(tagged: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -88,10 +93,13 @@ def cutoff_articles(tagged: DataFrame, calendar: DataFrame) -> DataFrame:
     ).withColumn("in_24h", F.col("available_ts") > shift_minutes(F.col("cutoff_ts"), -DAY_MINUTES))
 
 
-def cluster_events(visible: DataFrame) -> DataFrame:
-    """One row per (ticker, date, story) visible at the cutoff: first arrival, mean known sentiment, novelty, type."""
+def cluster_events(visible: DataFrame, *keys: str) -> DataFrame:
+    """One row per (ticker, date, story) visible at the cutoff: first arrival, mean known sentiment, novelty, type.
+
+    Other ``keys`` than the story may be given to summarise by.
+    """
     earliest = F.min(F.struct("available_ts", "article_id", "event_type"))
-    return visible.groupBy(*SESSION, "cutoff_ts", "cluster_id").agg(
+    return visible.groupBy(*SESSION, "cutoff_ts", *(keys or ("cluster_id",))).agg(
         F.min("available_ts").alias("first_avail"),
         F.avg("sentiment_value").alias("sent"),
         F.bool_or("is_cluster_start").alias("started_recently"),
@@ -100,6 +108,15 @@ def cluster_events(visible: DataFrame) -> DataFrame:
     )
 
 
+def _stories_and_sources(visible: DataFrame) -> DataFrame:
+    """Each article once under its story and once under its publisher, so one pass counts both."""
+    kinds = F.array(
+        F.struct(F.lit(STORY).alias("kind"), F.col("cluster_id").cast("string").alias("key")),
+        F.struct(F.lit(SOURCE).alias("kind"), F.col("publisher").alias("key")),
+    )
+    return visible.select("*", F.inline(kinds)).filter(F.col("key").isNotNull())
+
+
 def _decay() -> Column:
     age_hours = (F.unix_micros("cutoff_ts") - F.unix_micros("first_avail")) / MICROS_PER_HOUR
     return F.exp(-F.ln(F.lit(2.0)) / HALF_LIFE_HOURS * age_hours)
@@ -110,28 +127,27 @@ def snapshot_news(tagged: DataFrame, calendar: DataFrame, grid: DataFrame) -> Da
 
     The burst ratio compares with the ticker's previous 20 grid rows (at least five).
     """
-    visible = cutoff_articles(tagged, calendar)
-    weighted = cluster_events(visible).withColumns(
-        {"decay": _decay(), "known": F.coalesce("sent", F.lit(0.0))}
+    visible = _stories_and_sources(cutoff_articles(tagged, calendar))
+    story = F.col("kind") == STORY
+    weighted = cluster_events(visible, "kind", "key").withColumns(
+        {"decay": F.when(story, _decay()), "known": F.coalesce("sent", F.lit(0.0))}
     )
     recent = F.col("first_avail") >= shift_minutes(F.col("cutoff_ts"), -DAY_MINUTES)
-    novelty = F.avg(F.when(recent, F.col("started_recently").cast("double")))
+    novelty = F.avg(F.when(story & recent, F.col("started_recently").cast("double")))
     by_type = [
         F.sum(F.when(F.col("event_type") == t, F.col("decay"))).alias(f"news_evt_{t}_w") for t in FEATURED_EVENTS
     ]
     features = weighted.groupBy(*SESSION).agg(
-        F.count_if("in_24h").alias("news_clusters_24h"),
-        F.count(F.lit(1)).alias("news_clusters_7d"),
+        F.count_if(story & F.col("in_24h")).alias("news_clusters_24h"),
+        F.count_if(story).alias("news_clusters_7d"),
+        F.count_if(~story & F.col("in_24h")).alias("news_source_diversity"),
         F.sum("decay").alias("news_decayed_weight"),
         F.sum(F.col("decay") * F.col("known")).alias("news_sent_signed"),
         F.sum(F.col("decay") * F.abs("known")).alias("news_sent_magnitude"),
         novelty.alias("news_novelty_frac"),
         *by_type,
     )
-    sources = visible.filter("in_24h").groupBy(*SESSION).agg(
-        F.count_distinct("publisher").alias("news_source_diversity")
-    )
-    wide = grid.select(*SESSION).join(features, list(SESSION), "left").join(sources, list(SESSION), "left")
+    wide = grid.select(*SESSION).join(features, list(SESSION), "left")
     plain = [c for c in SNAPSHOT_NEWS if c != "news_burst"]
     filled = wide.select(*SESSION, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in plain])
     usual = rolling_mean(F.col("news_clusters_24h"), day_order().rowsBetween(-20, -1), 5)

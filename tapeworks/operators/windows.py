@@ -8,7 +8,7 @@ from ..config import BAR_MINUTES, WINDOW_MINUTES
 from ..functions.rolling import SESSION
 from ..functions.scalars import log_ratio, price_ref
 from ..sources.calendar import sessions_between, small_calendar
-from .asof import by_session, distinct_sessions, session_bars_asof
+from .asof import by_session, session_bars_asof
 
 BARS_PER_WINDOW = WINDOW_MINUTES // BAR_MINUTES
 
@@ -79,6 +79,3 @@ def build_windows(bars: DataFrame, calendar: DataFrame, start, end, universe: Da
     low, high = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
     ranged = bars.filter(F.col("date").between(low, high))
     return session_windows(session_bars_asof(ranged, calendar), full_grid(bars if universe is None else universe, calendar, start, end))
-
-
-__all__ = ["build_windows", "distinct_sessions", "full_grid", "session_windows", "stored_grid"]
