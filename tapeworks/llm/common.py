@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from tapeworks.runtime import materialize
 # Fixed values of the contracts: the six ASCII blanks, and what stands for a document without an id.
 BLANKS = "\t\n\x0b\x0c\r "
 NO_ID = -(2**63)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -55,3 +57,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def word_runs(data: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists that cover about ``limit`` bytes each; one empty list for a blank text."""
+    if len(data) <= limit:
+        yield data.split()
+        return
+    start = 0
+    while start < len(data):
+        cut = _BLANK.search(data, min(start + limit, len(data)))
+        stop = cut.start() if cut else len(data)
+        yield data[start:stop].split()
+        start = stop if stop > start else len(data)
