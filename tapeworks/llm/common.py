@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeworks.runtime import materialize
+from tapeworks.runtime import checkpoint_dir, materialize
 
 # Fixed values of the contracts: the six ASCII blanks, and what stands for a document without an id.
 BLANKS = "\t\n\x0b\x0c\r "
@@ -70,3 +71,15 @@ def word_runs(data: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
         stop = cut.start() if cut else len(data)
         yield data[start:stop].split()
         start = stop if stop > start else len(data)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """A written copy in the shared folder, as Parquet: what ``keep`` does, for rows that would be bulky there."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def crc_of_id(name: str = "doc_id") -> Column:
+    """The unsigned crc32 of the id as text; of nothing for a null id."""
+    return F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8"))

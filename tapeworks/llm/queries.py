@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, pivotal, shards, simhash, urls
+from . import brown, lines, pivotal, shards, simhash, urls
 from .common import binary_text
 
 
@@ -21,6 +21,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(binary_text(F.col("text")), 256).alias("kept_sha256"))
 
 
+def op3_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.brown_scores(_read(spark, sf_dir, "documents"))
+
+
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal.mix(_read(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_hilbert_shards, op2_line_dedup, op4_pivotal_mix, op5_url_filter, op9_simhash_groups)}
+QUERIES = {q.__name__: q for q in (op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op9_simhash_groups)}
 
 ORACLES = {
     "op2_line_dedup": r"""
