@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown, lines, pivotal, shards, simhash, urls
+from . import brown, lines, pivotal, qgram, shards, simhash, urls
 from .common import binary_text
 
 
@@ -33,11 +33,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op6_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op9_simhash_groups)}
+QUERIES = {q.__name__: q for q in (op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op6_qgram_leaks, op9_simhash_groups)}
 
 ORACLES = {
     "op2_line_dedup": r"""
