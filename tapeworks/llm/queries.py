@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown, crf, lines, pivotal, qgram, shards, simhash, urls
+from . import brown, crf, curves, lines, pivotal, qgram, shards, simhash, urls
 from .common import binary_text
 
 
@@ -37,6 +37,10 @@ def op6_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qgram.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.languages(_read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op6_qgram_leaks, op8_crf_languages, op9_simhash_groups)}
+QUERIES = {q.__name__: q for q in (op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op6_qgram_leaks, op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups)}
 
 ORACLES = {
     "op2_line_dedup": r"""
