@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown, crf, curves, lines, pivotal, qgram, shards, simhash, urls
+from . import brown, crf, curves, lines, pivotal, qgram, shards, simhash, suffixes, urls
 from .common import binary_text
 
 
@@ -49,7 +49,18 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op6_qgram_leaks, op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.drop_repeats(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op6_qgram_leaks,
+        op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups, op10_suffix_dedup,
+    )
+}
 
 ORACLES = {
     "op2_line_dedup": r"""
