@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, LongType
 from pyspark.sql.window import Window
 
 from tapeworks.runtime import checkpoint_dir
@@ -59,7 +59,7 @@ def _binned(docs: DataFrame, dimensions: tuple[str, ...], carry: tuple[str, ...]
     )
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _curve(cells: pd.DataFrame) -> pd.Series:
     return pd.Series(hilbert_index(cells.to_numpy(), BITS))
 
