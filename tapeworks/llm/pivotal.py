@@ -11,7 +11,7 @@ from .common import as_id, id_or_none, keep, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
-LEAF = 20_000
+LEAF = 2_000
 FAN_IN = 256
 SALTS = 16
 _NODE = "_name string, node long, _id long, size long, mass double, tie long, copies long, open boolean"
