@@ -29,7 +29,7 @@ HEADLINES = (
     "run_breakout",
     "strategy_sweep",
     "thin_events",
-    "capacity_replay",
+    "arm_compare",
     "slice_forecasts",
     "compare_rankers",
 )

@@ -1,4 +1,4 @@
-"""Decisions, thinning, summaries, replay, forecast and ranking metrics, comparisons."""
+"""Decisions, thinning, summaries, realised curves, forecast and ranking metrics, comparisons."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tapeworks.config import LABELS, CostModel, DecisionConfig, RiskConfig
 from tapeworks.functions.scalars import argmax_index, linear_score, log_probability, sorted_quantiles, threshold_flag
 from tapeworks.operators.breakout import run_breakout
+from tapeworks.operators.curve import realised_curve
 from tapeworks.operators.decisions import decide, select_candidates, size_position
 from tapeworks.operators.folds import TEST, tag_folds
 from tapeworks.operators.intraday import TARGET, build_price_features
@@ -25,9 +26,8 @@ from tapeworks.operators.metrics import (
 )
 from tapeworks.operators.news import bar_news, tagged_news
 from tapeworks.operators.premarket import build_snapshot_features
-from tapeworks.operators.replay import capacity_replay
 from tapeworks.operators.trades import SUMMARY, decision_universe, thin_events, trade_summary
-from tapeworks.plans.comparisons import arm_compare, arm_replay, arm_trades, slice_ablation
+from tapeworks.plans.comparisons import arm_compare, arm_curves, arm_trades, slice_ablation
 
 from .fixtures import BREAKOUT, Fixture
 from .labels import fixture_folds, fixture_labels, fixture_stability
@@ -231,63 +231,60 @@ def _(fx):
     return summary.select("ticker", "n_trades", "n_long", "n_short", *rounded(*NUMBERS))
 
 
-# ---- replay: the oracle walks trade by trade ------------------------------------------------------------------
+# ---- realised curves -------------------------------------------------------------------------------------------
+
+RUN_COUNTS = "n_trades", "peak_open", "n_over_limit", "n_loss_days"
+RUN_NUMBERS = "final_equity", "total_return", "max_drawdown"
 
 
-def replay_views(prefix: str, ordered: str, *needs: str) -> None:
-    """Sequential replay over ``ordered`` (run_id, d, m, ticker, entry, exit_m, net_ret, q10)."""
-    limit, most = RISK.daily_loss_limit, RISK.max_positions
+def curve_views(prefix: str, trades: str, runs: str, *needs: str) -> None:
+    """Curve and summary over ``trades`` (run_id, d, entry, exit_m, net_ret, q10); ``runs`` lists every run_id."""
+    initial, most, limit = RISK.initial_equity, RISK.max_positions, RISK.daily_loss_limit
+    size = f"least({RISK.risk_per_trade} / greatest(abs(q10), {RISK.q10_floor}), {RISK.max_name_fraction})"
 
-    @view(f"{prefix}_ordered", *needs)
+    @view(f"{prefix}_stakes", *needs)
     def _():
-        return f"SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY d, m, ticker) AS n FROM ({ordered})"
+        return f"SELECT run_id, d, entry, exit_m, {size} * net_ret AS pnl FROM ({trades})"
 
-    @view(f"{prefix}_steps", f"{prefix}_ordered", recursive=True)
+    @view(f"{prefix}_minutes", f"{prefix}_stakes")
     def _():
-        return f"""SELECT run_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS d, {RISK.initial_equity}::DOUBLE AS equity,
-  {RISK.initial_equity}::DOUBLE AS day_start, false AS halted, CAST(NULL AS DOUBLE) AS stake, CAST(NULL AS INT) AS exit_m,
-  CAST(NULL AS DOUBLE) AS ret, '' AS act, CAST([] AS STRUCT(x INT, stake DOUBLE, ret DOUBLE)[]) AS book
-FROM {prefix}_ordered GROUP BY run_id
-UNION ALL
-SELECT run_id, n, d, equity, day_start, halted, CASE WHEN act = 'taken' THEN size END, exit_m, net_ret, act,
-  CASE WHEN act = 'taken' THEN list_append(book, struct_pack(x := exit_m, stake := size, ret := net_ret)) ELSE book END
-FROM (SELECT *, CASE WHEN halted THEN 'halt' WHEN len(book) >= {most} THEN 'full' ELSE 'taken' END AS act,
-    least(equity * {RISK.risk_per_trade} / greatest(abs(q10), {RISK.q10_floor}), equity * {RISK.max_name_fraction}) AS size
-  FROM (SELECT *, NOT fresh AND (was_halted OR equity - day_start < -{limit} * day_start) AS halted
-    FROM (SELECT *, CASE WHEN fresh THEN equity ELSE old_start END AS day_start
-      FROM (SELECT run_id, n, d, exit_m, net_ret, q10, fresh, was_halted, old_start,
-          old_equity + coalesce(list_sum([p.stake * p.ret for p in old_book if fresh or p.x <= entry]), 0) AS equity,
-          [p for p in old_book if not fresh and p.x > entry] AS book
-        FROM (SELECT o.*, s.equity AS old_equity, s.day_start AS old_start, s.halted AS was_halted, s.book AS old_book,
-            o.d IS DISTINCT FROM s.d AS fresh
-          FROM {prefix}_steps s JOIN {prefix}_ordered o ON o.run_id = s.run_id AND o.n = s.n + 1)))))"""
-
-    @view(f"{prefix}_curve", f"{prefix}_steps")
+        # Correlated counts per minute at which something happens, instead of running sums.
+        return f"""SELECT e.*, 1.0 + (SELECT coalesce(sum(t.pnl), 0) FROM {prefix}_stakes t WHERE t.run_id = e.run_id AND t.d = e.d AND t.exit_m <= e.x) AS rel,
+  (SELECT count(*) FROM {prefix}_stakes t WHERE t.run_id = e.run_id AND t.d = e.d AND t.entry <= e.x AND t.exit_m > e.x)
+  - (SELECT count(*) FROM {prefix}_stakes t WHERE t.run_id = e.run_id AND t.d = e.d AND t.exit_m <= e.x AND t.entry > e.x) AS open_now,
+  (SELECT count(*) FROM {prefix}_stakes t WHERE t.run_id = e.run_id AND t.d = e.d AND t.exit_m = e.x) AS n_closed
+FROM (SELECT run_id, d, entry AS x FROM {prefix}_stakes UNION SELECT run_id, d, exit_m FROM {prefix}_stakes) e"""
+
+    @view(f"{prefix}_days", f"{prefix}_minutes")
     def _():
-        return f"""SELECT *, equity / max(equity) OVER (PARTITION BY run_id ORDER BY d, exit_m, n ROWS UNBOUNDED PRECEDING) - 1 AS drawdown
-FROM (SELECT run_id, d, exit_m, n, {RISK.initial_equity} + sum(stake * ret) OVER (PARTITION BY run_id ORDER BY d, exit_m, n
-    ROWS UNBOUNDED PRECEDING) AS equity, row_number() OVER (PARTITION BY run_id, d ORDER BY exit_m, n) - 1 AS seq
-  FROM {prefix}_steps WHERE act = 'taken')"""
+        return f"""SELECT *, {initial} * coalesce(exp(sum(ln(growth)) OVER (PARTITION BY run_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS start_equity
+FROM (SELECT run_id, d, arg_max(rel, x) AS growth, min(rel) AS low FROM {prefix}_minutes GROUP BY run_id, d)"""
 
-    @view(f"{prefix}_summary", f"{prefix}_curve", f"{prefix}_steps")
+    @view(f"{prefix}_curve", f"{prefix}_minutes", f"{prefix}_days")
     def _():
-        return f"""SELECT s.*, c.final_equity, c.final_equity / {RISK.initial_equity} - 1 AS total_return, coalesce(c.low, 0) AS max_drawdown
-FROM (SELECT run_id, count(CASE WHEN act = 'taken' THEN 1 END) AS n_taken,
-    count(CASE WHEN act = 'full' THEN 1 END) AS n_skipped_concurrency,
-    count(CASE WHEN act = 'halt' THEN 1 END) AS n_skipped_daily_halt FROM {prefix}_steps WHERE n > 0 GROUP BY run_id) s
-JOIN (SELECT run_id, arg_max(equity, date_diff('day', DATE '2024-01-01', d) * 1000000 + seq) AS final_equity, min(drawdown) AS low
-      FROM {prefix}_curve GROUP BY run_id) c ON c.run_id = s.run_id"""
+        return f"""SELECT *, equity / max(equity) OVER (PARTITION BY run_id ORDER BY d, x ROWS UNBOUNDED PRECEDING) - 1 AS drawdown
+FROM (SELECT m.run_id, m.d, m.x, m.n_closed, y.start_equity * m.rel AS equity FROM {prefix}_minutes m
+  JOIN {prefix}_days y ON y.run_id = m.run_id AND y.d = m.d WHERE m.n_closed > 0)"""
+
+    @view(f"{prefix}_summary", f"{prefix}_curve", f"{prefix}_days", f"{prefix}_minutes", *needs)
+    def _():
+        final = f"coalesce((SELECT arg_max(start_equity * growth, d) FROM {prefix}_days y WHERE y.run_id = r.run_id), {initial})"
+        return f"""SELECT *, final_equity / {initial} - 1 AS total_return FROM (SELECT r.run_id, {final} AS final_equity,
+  coalesce((SELECT min(drawdown) FROM {prefix}_curve c WHERE c.run_id = r.run_id), 0) AS max_drawdown,
+  (SELECT count(*) FROM {prefix}_stakes t WHERE t.run_id = r.run_id) AS n_trades,
+  CAST(coalesce((SELECT max(open_now) FROM {prefix}_minutes m WHERE m.run_id = r.run_id), 0) AS BIGINT) AS peak_open,
+  (SELECT count(*) FROM {prefix}_minutes m WHERE m.run_id = r.run_id AND open_now > {most}) AS n_over_limit,
+  (SELECT count(*) FROM {prefix}_days y WHERE y.run_id = r.run_id AND low - 1 < -{limit}) AS n_loss_days FROM ({runs}) r)"""
 
 
 # Two books: all tickers in one, and one book per ticker.
-replay_views(
+curve_views(
     "book",
-    "SELECT 'all' AS run_id, d, m, ticker, CAST(m + 5 AS INT) AS entry, CAST(m + 20 AS INT) AS exit_m, net_ret, q10 FROM thinned"
-    " UNION ALL SELECT ticker, d, m, ticker, CAST(m + 5 AS INT), CAST(m + 20 AS INT), net_ret, q10 FROM thinned",
+    "SELECT 'all' AS run_id, d, CAST(m + 5 AS INT) AS entry, CAST(m + 20 AS INT) AS exit_m, net_ret, q10 FROM thinned"
+    " UNION ALL SELECT ticker, d, CAST(m + 5 AS INT), CAST(m + 20 AS INT), net_ret, q10 FROM thinned",
+    "SELECT 'all' AS run_id UNION SELECT ticker FROM thinned",
     "thinned",
 )
-RUN_COUNTS = "n_taken", "n_skipped_concurrency", "n_skipped_daily_halt"
-RUN_NUMBERS = "final_equity", "total_return", "max_drawdown"
 
 
 def books(fx: Fixture) -> DataFrame:
@@ -301,17 +298,17 @@ def run_sql(prefix: str) -> str:
 
 @query("capacity_replay", "book_summary", sql=run_sql("book"))
 def _(fx):
-    return capacity_replay(books(fx), RISK).summary.select("run_id", *RUN_COUNTS, *rounded(*RUN_NUMBERS))
+    return realised_curve(books(fx), RISK).summary.select("run_id", *RUN_COUNTS, *rounded(*RUN_NUMBERS))
 
 
 @query(
     "replay_curve",
     "book_curve",
-    sql=f"SELECT run_id, CAST(d AS VARCHAR) AS date, CAST(seq AS INT) AS seq, exit_m AS exit_minute, {q6s('equity', 'drawdown')} FROM book_curve",
+    sql=f"SELECT run_id, CAST(d AS VARCHAR) AS date, CAST(x AS INT) AS exit_minute, n_closed, {q6s('equity', 'drawdown')} FROM book_curve",
 )
 def _(fx):
-    curve = capacity_replay(books(fx), RISK).curve
-    return curve.select("run_id", day(), "seq", "exit_minute", *rounded("equity", "drawdown"))
+    curve = realised_curve(books(fx), RISK).exits
+    return curve.select("run_id", day(), "exit_minute", "n_closed", *rounded("equity", "drawdown"))
 
 
 # ---- forecast metrics -----------------------------------------------------------------------------------------
@@ -537,22 +534,24 @@ def _(fx):
     return arm_compare(trades, folds).select("fold_id", "arm", "n_trades", "n_long", "n_short", *rounded(*ARM_NUMBERS))
 
 
-replay_views(
+curve_views(
     "arm",
-    "SELECT arm AS run_id, d, m, ticker, CAST(entry_m AS INT) AS entry, CAST(exit_m AS INT) AS exit_m, net_ret, q10 FROM arms",
+    "SELECT arm AS run_id, d, CAST(entry_m AS INT) AS entry, CAST(exit_m AS INT) AS exit_m, net_ret, q10 FROM arms",
+    "SELECT unnest(['pure', 'gated']) AS run_id",
     "arms",
 )
 
 
 @query("arm_replay", "arm_summary", sql=run_sql("arm"))
 def _(fx):
-    return arm_replay(fixture_arms(fx)[0], RISK).summary.select("run_id", *RUN_COUNTS, *rounded(*RUN_NUMBERS))
+    return arm_curves(fixture_arms(fx)[0], RISK).summary.select("run_id", *RUN_COUNTS, *rounded(*RUN_NUMBERS))
 
 
-# Breakout exits can fall on the entry bar, and all tickers share the book: the hard case of the replay.
-replay_views(
+# Breakout exits can fall on the entry bar, and all tickers share the book.
+curve_views(
     "orb",
-    "SELECT 'orb' AS run_id, d, m, ticker, CAST(entry_m AS INT) AS entry, CAST(exit_m AS INT) AS exit_m, net AS net_ret, q10 FROM orb_trades",
+    "SELECT 'orb' AS run_id, d, CAST(entry_m AS INT) AS entry, CAST(exit_m AS INT) AS exit_m, net AS net_ret, q10 FROM orb_trades",
+    "SELECT 'orb' AS run_id",
     "orb_trades",
 )
 
@@ -560,7 +559,7 @@ replay_views(
 @query("breakout_replay", "orb_summary", sql=run_sql("orb"))
 def _(fx):
     trades = run_breakout(fx.rth, BREAKOUT).withColumn("run_id", F.lit("orb"))
-    return capacity_replay(trades, RISK).summary.select("run_id", *RUN_COUNTS, *rounded(*RUN_NUMBERS))
+    return realised_curve(trades, RISK).summary.select("run_id", *RUN_COUNTS, *rounded(*RUN_NUMBERS))
 
 
 @view("sliced", "fx_pred", "folds", "fold_watchlist")

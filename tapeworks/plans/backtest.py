@@ -1,4 +1,4 @@
-"""The two-stage study: session classifier -> candidates -> bar forecaster -> decisions -> trades -> replay."""
+"""The two-stage study: session classifier -> candidates -> bar forecaster -> decisions -> trades -> realised curve."""
 
 from __future__ import annotations
 
@@ -13,17 +13,20 @@ from ..functions.rolling import SESSION
 from ..models.classifiers import CostHeads, DirichletCalibrator, OpportunityClassifier
 from ..models.quantiles import QuantileForecaster
 from ..operators.asof import distinct_sessions, rth_bars
+from ..operators.curve import Curve, realised_curve
 from ..operators.decisions import decide, select_candidates
-from ..operators.folds import CALIBRATE, TEST, TRAIN, walk_forward_folds
+from ..operators.folds import CALIBRATE, TEST, TRAIN, fold_bounds, walk_forward_folds
 from ..operators.metrics import class_prior, classifier_metrics, compare_rankers, forecast_metrics
-from ..operators.replay import Replay, capacity_replay
 from ..operators.trades import thin_events, trade_summary
 from ..operators.windows import session_windows, stored_grid
 from ..runtime import bounded_broadcast, materialize
 from ..sources.calendar import SESSION_BOUND
-from .comparisons import arm_compare, arm_replay, arm_trades, slice_ablation
+from .comparisons import arm_compare, arm_curves, arm_trades, slice_ablation
 from .feature_tables import BAR_FEATURES, SESSION_FEATURES, bar_feature_table, session_feature_table
 from .labelling import label_folds
+from .records import experiment_record
+
+RECORDED = ("n_trades", "n_candidates", "candidate_days", "hit_rate", "avg_net_bps", "total_net_return")
 
 
 @dataclass(frozen=True)
@@ -55,7 +58,7 @@ class Study:
 def prepare(bars: DataFrame, calendar: DataFrame, config: StudyConfig, tagged: DataFrame | None = None) -> Study:
     """Build and materialise the tables. ``bars`` are extended-hours bars as of the end of the range."""
     rth = rth_bars(bars, calendar)
-    folds = walk_forward_folds(distinct_sessions(rth), config.layout)
+    folds = materialize(walk_forward_folds(distinct_sessions(rth), config.layout))
     windows = session_windows(rth, stored_grid(rth))
     return Study(
         config,
@@ -137,27 +140,51 @@ def forecast(study: Study, fold: int, rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class BacktestResult:
+    """``trades`` are those of all folds, stitched; ``summary`` is per fold, ``totals`` across folds."""
+
     trades: DataFrame
     summary: DataFrame
-    replay: Replay
+    totals: DataFrame
+    curve: Curve
+    record: DataFrame
 
 
 def end_to_end_backtest(study: Study) -> BacktestResult:
-    """All folds: candidates, forecasts on candidate sessions only, decisions, thinning, summaries, stitched replay."""
+    """All folds: candidates, forecasts on candidate sessions only, decisions, thinning, summaries, stitched curve."""
     config = study.config
 
+    picked = materialize(walk_forward_run(study.fold_ids, lambda k: fold_candidates(study, k)))
+
     def decided(fold: int) -> DataFrame:
-        picked = materialize(fold_candidates(study, fold))
-        rows = study.bars.join(picked.select(*SESSION), list(SESSION), "left_semi")
+        listed = picked.filter(F.col("fold_id") == fold).select(*SESSION)
+        rows = study.bars.join(listed, list(SESSION), "left_semi")
         return decide(forecast(study, fold, rows), config.costs, config.decisions)
 
     rows = materialize(walk_forward_run(study.fold_ids, decided))
     trades = materialize(thin_events(rows, config.costs, "fold_id"))
     test_days = study.folds.filter(F.col("segment") == TEST).groupBy("fold_id").agg(F.count_distinct("date").alias("n_days"))
+    chosen = picked.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("date").alias("candidate_days"))
     counts = rows.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_decision_rows"))
-    universe = test_days.join(counts, "fold_id", "left").withColumn("n_decision_rows", F.coalesce("n_decision_rows", F.lit(0)))
-    summary = trade_summary(trades, universe, "fold_id")
-    return BacktestResult(trades, summary, capacity_replay(trades.withColumn("run_id", F.lit("stitched")), config.risk))
+    known = test_days.join(counts, "fold_id", "left").join(chosen, "fold_id", "left")
+    universe = known.fillna(0, ["n_decision_rows", "n_candidates", "candidate_days"])
+    counters = universe.select("fold_id", "n_days", "n_candidates", "candidate_days")
+    summary = trade_summary(trades, universe, "fold_id").join(counters, "fold_id")
+    record = experiment_record("end_to_end_backtest", fold_bounds(study.folds), summary, RECORDED, {"study": config})
+    curve = realised_curve(trades.withColumn("run_id", F.lit("stitched")), config.risk)
+    return BacktestResult(trades, summary, fold_totals(summary), curve, record)
+
+
+def fold_totals(summary: DataFrame) -> DataFrame:
+    """Over all folds: trades, summed net return, and the mean hit rate and net result of the folds that traded."""
+    traded = F.col("n_trades") > 0
+    return summary.agg(
+        F.count(F.lit(1)).alias("n_folds"),
+        F.count_if(traded).alias("n_folds_traded"),
+        F.sum("n_trades").alias("n_trades"),
+        F.sum("total_net_return").alias("total_net_return"),
+        F.avg(F.when(traded, F.col("hit_rate"))).alias("mean_hit_rate"),
+        F.avg(F.when(traded, F.col("avg_net_bps"))).alias("mean_net_bps"),
+    )
 
 
 def bar_model_metrics(study: Study, fold: int) -> DataFrame:
@@ -166,11 +193,11 @@ def bar_model_metrics(study: Study, fold: int) -> DataFrame:
     return forecast_metrics(forecast(study, fold, test))
 
 
-def breakout_study(study: Study, rth: DataFrame, breakout: BreakoutConfig = BreakoutConfig()) -> tuple[DataFrame, Replay]:
-    """Breakouts on all test sessions against those on the scored watchlist: summaries per (fold, arm), and replays."""
+def breakout_study(study: Study, rth: DataFrame, breakout: BreakoutConfig = BreakoutConfig()) -> tuple[DataFrame, Curve]:
+    """Breakouts on all test sessions against those on the scored watchlist: summaries per (fold, arm), and curves."""
     listed = materialize(walk_forward_run(study.fold_ids, lambda k: fold_watchlist(study, k)))
     trades = materialize(arm_trades(rth, listed, study.folds, breakout, study.config.costs))
-    return arm_compare(trades, study.folds), arm_replay(trades, study.config.risk)
+    return arm_compare(trades, study.folds), arm_curves(trades, study.config.risk)
 
 
 def ablation_study(study: Study) -> tuple[DataFrame, DataFrame]:

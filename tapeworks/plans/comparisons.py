@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import BreakoutConfig, CostModel, DecisionConfig, RiskConfig
 from ..functions.rolling import SESSION
 from ..operators.breakout import run_breakout
+from ..operators.curve import Curve, realised_curve
 from ..operators.decisions import decide
 from ..operators.folds import TEST, tag_folds
 from ..operators.metrics import forecast_metrics
-from ..operators.replay import Replay, capacity_replay
 from ..operators.trades import decision_universe, thin_events, trade_summary
 
 PURE, GATED = "pure", "gated"
@@ -39,9 +39,10 @@ def arm_compare(trades: DataFrame, folds: DataFrame) -> DataFrame:
     return trade_summary(trades, sized, "fold_id", "arm").drop("hold_fraction")
 
 
-def arm_replay(trades: DataFrame, config: RiskConfig = RiskConfig()) -> Replay:
-    """Stitched test periods of each arm under the portfolio controls."""
-    return capacity_replay(trades.withColumn("run_id", F.col("arm")), config)
+def arm_curves(trades: DataFrame, config: RiskConfig = RiskConfig()) -> Curve:
+    """Realised curve of each arm's stitched test periods; an arm without trades reports its initial equity."""
+    arms = trades.sparkSession.range(1).select(F.explode(F.array(F.lit(PURE), F.lit(GATED))).alias("run_id"))
+    return realised_curve(trades.withColumn("run_id", F.col("arm")), config, arms)
 
 
 def slice_ablation(

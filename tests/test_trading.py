@@ -8,7 +8,7 @@ from frames import DAY, PRIOR
 from tapeworks.config import CostModel, DecisionConfig, RiskConfig
 from tapeworks.operators.decisions import decide, select_candidates, size_position
 from tapeworks.operators.metrics import across_folds, classifier_metrics, forecast_metrics, ranking_metrics
-from tapeworks.operators.replay import capacity_replay
+from tapeworks.operators.curve import realised_curve
 from tapeworks.operators.trades import decision_universe, thin_events, trade_summary
 
 ROW = (
@@ -69,77 +69,54 @@ def test_summary_without_trades(spark):
 TRADE = "run_id string, date date, minute int, ticker string, net_ret double, q10 double"
 
 
-def replayed(spark, rows, config, schema=TRADE):
-    return capacity_replay(spark.createDataFrame(rows, schema), config)
+def curve_of(spark, rows, config=RiskConfig(), schema=TRADE):
+    return realised_curve(spark.createDataFrame(rows, schema), config)
 
 
-def test_concurrency_and_daily_halt(spark):
+def test_limits_are_reported(spark):
     two = [("r", DAY, 600, "A", 0.01, -0.005), ("r", DAY, 605, "B", 0.01, -0.005)]
-    row = replayed(spark, two, RiskConfig(max_positions=1)).summary.first()
-    assert (row["n_taken"], row["n_skipped_concurrency"]) == (1, 1)
+    row = curve_of(spark, two, RiskConfig(max_positions=1)).summary.first()
+    assert (row["n_trades"], row["peak_open"], row["n_over_limit"], row["n_loss_days"]) == (2, 2, 1, 0)
     rows = [("r", PRIOR, 600, "A", -0.01, -0.005), ("r", PRIOR, 660, "A", 0.05, -0.005), ("r", DAY, 600, "A", 0.02, -0.005)]
-    row = replayed(spark, rows, RiskConfig(max_positions=10, daily_loss_limit=0.001)).summary.first()
-    assert (row["n_taken"], row["n_skipped_daily_halt"]) == (2, 1)
-    assert row["final_equity"] == pytest.approx(100_000 * 0.998 * 1.004) and row["max_drawdown"] == 0.0
+    row = curve_of(spark, rows, RiskConfig(max_positions=10, daily_loss_limit=0.001)).summary.first()
+    assert row["n_loss_days"] == 1 and row["max_drawdown"] == 0.0  # the first exit is the first peak
+    assert row["final_equity"] == pytest.approx(100_000 * (1 - 0.002 + 0.01) * 1.004)
 
 
 def test_unknown_downside_is_refused(spark):
     with pytest.raises(Exception, match="q10 is unknown"):
-        replayed(spark, [("r", DAY, 600, "A", 0.01, None)], RiskConfig())
-
-
-def plain_replay(rows, config):
-    """One book, trade after trade, in money."""
-    equity, book, curve, day = config.initial_equity, [], [], None
-    counts = {"taken": 0, "full": 0, "halt": 0}
-    for date, minute, ticker, ret, q10, entry, leave in sorted(rows):
-        fresh = date != day
-        closing = sorted((p for p in book if fresh or p[0] <= entry), key=lambda p: p[0])
-        book = [] if fresh else [p for p in book if p[0] > entry]
-        for _, stake, r in closing:
-            equity += stake * r
-            curve.append(equity)
-        if fresh:
-            day, start, halted = date, equity, False
-        halted = halted or equity - start < -config.daily_loss_limit * start
-        if halted:
-            counts["halt"] += 1
-        elif len(book) >= config.max_positions:
-            counts["full"] += 1
-        else:
-            counts["taken"] += 1
-            risk = config.risk_per_trade / max(abs(q10), config.q10_floor)
-            book.append((leave, equity * min(risk, config.max_name_fraction), ret))
-    for _, stake, r in sorted(book, key=lambda p: p[0]):
-        equity += stake * r
-        curve.append(equity)
-    peak, low = float("-inf"), 0.0
-    for point in curve:
-        peak = max(peak, point)
-        low = min(low, point / peak - 1)
-    return equity, low, counts, curve
-
-
-def test_day_parallel_replay_equals_the_sequential_one(spark):
-    rng, rows, books = random.Random(11), [], {}
-    for run in range(6):
-        for d in range(8):
-            for _ in range(rng.randint(0, 30)):
+        curve_of(spark, [("r", DAY, 600, "A", 0.01, None)]).summary.collect()
+
+
+def test_runs_without_trades_report(spark):
+    none = spark.createDataFrame([], TRADE)
+    runs = spark.createDataFrame([("x",), ("y",)], "run_id string")
+    found = {r["run_id"]: r for r in realised_curve(none, RiskConfig(), runs).summary.collect()}
+    assert set(found) == {"x", "y"} and found["x"]["final_equity"] == RiskConfig().initial_equity and found["x"]["n_trades"] == 0
+
+
+def test_curve_against_a_plain_sum(spark):
+    rng, rows = random.Random(11), []
+    for run in range(4):
+        for d in range(6):
+            for _ in range(rng.randint(0, 20)):
                 minute = 570 + 5 * rng.randint(0, 70)
-                leave = minute + 5 + 5 * rng.randint(0, 6)
-                rows.append((f"r{run}", DAY + dt.timedelta(days=d), minute, f"T{rng.randint(0, 10**9)}", rng.gauss(-0.002, 0.03), rng.uniform(-0.03, -0.0001), minute + 5, leave))
-    for r in rows:
-        books.setdefault(r[0], []).append(r[1:])
+                rows.append((f"r{run}", DAY + dt.timedelta(days=d), minute, "T", rng.gauss(0, 0.03), rng.uniform(-0.03, -0.0001), minute + 5, minute + 5 + 5 * rng.randint(0, 6)))
     config = RiskConfig(max_positions=3)
-    done = replayed(spark, rows, config, TRADE + ", entry_minute int, exit_minute int")
+    done = curve_of(spark, rows, config, TRADE + ", entry_minute int, exit_minute int")
     curves = {}
-    for r in done.curve.orderBy("run_id", "date", "seq").collect():
-        curves.setdefault(r["run_id"], []).append(r["equity"])
+    for r in done.exits.orderBy("run_id", "date", "exit_minute").collect():
+        curves.setdefault(r["run_id"], []).append((r["equity"], r["drawdown"]))
     for r in done.summary.collect():
-        equity, low, counts, curve = plain_replay(books[r["run_id"]], config)
-        assert r["final_equity"] == pytest.approx(equity, rel=1e-9) and r["max_drawdown"] == pytest.approx(low, abs=1e-9)
-        assert (r["n_taken"], r["n_skipped_concurrency"], r["n_skipped_daily_halt"]) == (counts["taken"], counts["full"], counts["halt"])
-        assert curves[r["run_id"]] == pytest.approx(curve, rel=1e-9)
+        mine, equity, points = [x for x in rows if x[0] == r["run_id"]], config.initial_equity, []
+        for day in sorted({x[1] for x in mine}):
+            start, today = equity, [x for x in mine if x[1] == day]
+            for leave in sorted({x[7] for x in today}):
+                equity += start * sum(min(config.risk_per_trade / max(abs(x[5]), config.q10_floor), config.max_name_fraction) * x[4] for x in today if x[7] == leave)
+                points.append(equity)
+        assert r["final_equity"] == pytest.approx(equity, rel=1e-9)
+        assert [e for e, _ in curves[r["run_id"]]] == pytest.approx(points, rel=1e-9)
+        assert [d for _, d in curves[r["run_id"]]] == pytest.approx([e / max(points[: i + 1]) - 1 for i, e in enumerate(points)], abs=1e-9)
 
 
 def test_ranking_by_hand(spark):
