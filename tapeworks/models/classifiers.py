@@ -2,56 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import LABELS, BoostConfig
+from ..config import BoostConfig
 from ..functions.scalars import linear_score, log_probability
 from ..operators.intraday import TARGET
 from ..operators.metrics import P_COLUMNS, label_index
-from ..runtime import checkpoint_dir
 from .encoding import FeatureEncoder
 
 FEATURES, FLAG = "features", "_flag"
 
 
-class BinaryHead:
-    """P(condition) by boosted trees; a condition that never (or always) holds in training stays a constant."""
-
-    def __init__(self, config: BoostConfig):
-        self.config, self.model, self.constant = config, None, None
-
-    def fit(self, encoded: DataFrame, condition: Column) -> BinaryHead:
-        rows = encoded.select(FEATURES, condition.cast("double").alias(FLAG)).filter(F.col(FLAG).isNotNull())
-        rate = rows.agg(F.avg(FLAG)).first()[0]
-        if rate in (None, 0.0, 1.0):
-            self.constant = rate or 0.0
-            return self
-        checkpoint_dir(encoded.sparkSession)
-        self.model = GBTClassifier(
-            featuresCol=FEATURES,
-            labelCol=FLAG,
-            maxIter=self.config.rounds,
-            stepSize=self.config.learning_rate,
-            maxDepth=self.config.depth,
-            minInstancesPerNode=self.config.min_rows_per_leaf,
-            seed=self.config.seed,
-            cacheNodeIds=False,
-        ).fit(rows)
-        return self
-
-    def predict(self, encoded: DataFrame, name: str) -> DataFrame:
-        if self.model is None:
-            return encoded.withColumn(name, F.lit(float(self.constant)))
-        self.model.setRawPredictionCol("_raw").setProbabilityCol("_p").setPredictionCol("_hat")
-        scored = self.model.transform(encoded)
-        return scored.withColumn(name, vector_to_array("_p")[1]).drop("_raw", "_p", "_hat")
+def grow_classifier(encoded: DataFrame, condition: Column, config: BoostConfig):
+    """A probability forest on ``condition`` (0, 1, ...), or the one class that the training rows hold.
+
+    All trees grow together, level by level, and predict in one expression, so neither jobs nor plan grow with them.
+    """
+    rows = encoded.select(FEATURES, condition.cast("double").alias(FLAG)).filter(F.col(FLAG).isNotNull())
+    low, high = rows.agg(F.min(FLAG), F.max(FLAG)).first()
+    if low == high:
+        return int(low or 0)
+    return RandomForestClassifier(
+        featuresCol=FEATURES,
+        labelCol=FLAG,
+        rawPredictionCol="_raw",
+        probabilityCol="_p",
+        predictionCol="_hat",
+        numTrees=config.rounds,
+        maxDepth=config.depth,
+        minInstancesPerNode=config.min_rows_per_leaf,
+        seed=config.seed,
+    ).fit(rows)
+
+
+def class_shares(model, encoded: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Add the probability of each class under ``names``; a class that training never saw has probability 0."""
+    if isinstance(model, int):
+        return encoded.withColumns({n: F.lit(1.0 if i == model else 0.0) for i, n in enumerate(names)})
+    scored = model.transform(encoded).withColumn("_pa", vector_to_array("_p"))
+    shares = {n: F.coalesce(F.get("_pa", F.lit(i)), F.lit(0.0)) for i, n in enumerate(names)}
+    return scored.withColumns(shares).drop("_raw", "_p", "_hat", "_pa")
 
 
 class OpportunityClassifier:
-    """Three classes as one-against-rest boosted heads, normalised to probabilities per row."""
+    """Probabilities of the three session classes from one forest."""
 
     def __init__(self, columns: tuple[str, ...], config: BoostConfig = BoostConfig()):
         self.columns, self.config = columns, config
@@ -59,21 +56,13 @@ class OpportunityClassifier:
     def fit(self, train: DataFrame) -> OpportunityClassifier:
         rows = train.na.drop(subset=["label"])
         self.encoder = FeatureEncoder.fit(rows, self.columns)
-        encoded = self.encoder.transform(rows).select(FEATURES, "label").persist()
-        try:
-            self.heads = [BinaryHead(self.config).fit(encoded, F.col("label") == x) for x in LABELS]
-        finally:
-            encoded.unpersist()
+        self.model = grow_classifier(self.encoder.transform(rows), label_index(F.col("label")), self.config)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add p_none, p_opening_only, p_sustained and opportunity_score."""
-        scored = self.encoder.transform(rows)
-        for head, name in zip(self.heads, P_COLUMNS):
-            scored = head.predict(scored, name)
-        total = sum((F.col(p) for p in P_COLUMNS), F.lit(0.0))
-        shares = {p: F.when(total > 0, F.col(p) / total).otherwise(1.0 / len(P_COLUMNS)) for p in P_COLUMNS}
-        return scored.drop(FEATURES).withColumns(shares).withColumn("opportunity_score", linear_score())
+        scored = class_shares(self.model, self.encoder.transform(rows), P_COLUMNS)
+        return scored.drop(FEATURES).withColumn("opportunity_score", linear_score())
 
 
 class DirichletCalibrator:
@@ -129,14 +118,13 @@ class CostHeads:
     def fit(self, train: DataFrame) -> CostHeads:
         rows = train.na.drop(subset=[TARGET])
         self.encoder = FeatureEncoder.fit(rows, self.columns)
-        encoded = self.encoder.transform(rows).select(FEATURES, TARGET).persist()
-        try:
-            self.long = BinaryHead(self.config).fit(encoded, F.col(TARGET) > self.cost)
-            self.short = BinaryHead(self.config).fit(encoded, F.col(TARGET) < -self.cost)
-        finally:
-            encoded.unpersist()
+        encoded = self.encoder.transform(rows).select(FEATURES, TARGET)
+        self.long = grow_classifier(encoded, F.col(TARGET) > self.cost, self.config)
+        self.short = grow_classifier(encoded, F.col(TARGET) < -self.cost, self.config)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        scored = self.long.predict(self.encoder.transform(rows), "p_long_win")
-        return self.short.predict(scored, "p_short_win").drop(FEATURES)
+        encoded = self.encoder.transform(rows)
+        for model, name in ((self.long, "p_long_win"), (self.short, "p_short_win")):
+            encoded = class_shares(model, encoded, ("_lost", name)).drop("_lost")
+        return encoded.drop(FEATURES)

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import threshold_flag
+from ..runtime import materialize
 
 # Predictors of the first model, and the probability from which a rise is called.
 RAW_PREDICTORS = ("close", "volume", "open", "high", "low")
@@ -38,10 +39,11 @@ def fit_predict(
 def static_split_forest(
     daily: DataFrame, predictors: tuple[str, ...] = RAW_PREDICTORS, held: int = 100, trees: int = 100, min_split: int = 100
 ) -> DataFrame:
-    """Fit on all but the last ``held`` rows and predict those."""
-    rows = numbered(daily)
-    cut = rows.agg(F.max("row_no")).first()[0] + 1 - held
-    scored = fit_predict(rows.filter(F.col("row_no") < cut), rows.filter(F.col("row_no") >= cut), predictors, trees, min_split)
+    """Fit on all but the last ``held`` rows of each ticker and predict those."""
+    left = F.count(F.lit(1)).over(Window.partitionBy("ticker")) - F.col("row_no")
+    rows = numbered(daily).withColumn("left", left)
+    train, test = rows.filter(F.col("left") > held), rows.filter(F.col("left") <= held)
+    scored = fit_predict(train.drop("left"), test.drop("left"), predictors, trees, min_split)
     return scored.withColumn("prediction", threshold_flag(F.col("p_up"), 0.5))
 
 
@@ -54,7 +56,7 @@ def expanding_backtest(
     min_split: int = 50,
 ) -> DataFrame:
     """Refit on all earlier rows every ``step`` rows from ``start`` on, and predict the next ``step``."""
-    rows = numbered(daily.na.drop(subset=list(predictors))).persist()
+    rows = materialize(numbered(daily.na.drop(subset=list(predictors))))  # read by every refit
     n = (rows.agg(F.max("row_no")).first()[0] or 0) + 1
     parts = []
     for first in range(start, n, step):

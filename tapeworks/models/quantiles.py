@@ -1,72 +1,30 @@
-"""Quantile regression by boosting: MLlib trees on the pinball gradient, leaves refitted as residual quantiles."""
+"""Quantile regression by a forest whose leaves carry the quantiles of their training rows."""
 
 from __future__ import annotations
 
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import QUANTILES, BoostConfig
 from ..functions.scalars import sorted_quantiles
 from ..operators.intraday import TARGET
-from ..runtime import materialize
 from .encoding import FeatureEncoder
 
 FEATURES = "features"
 ACCURACY = 10_000
-ROUNDS_PER_CHECKPOINT = 10
 NAMES = tuple(f"q{round(100 * q)}" for q in QUANTILES)
 
 
-class _Booster:
-    """One quantile: a start value and a list of (tree, value per leaf)."""
-
-    def __init__(self, q: float, config: BoostConfig):
-        self.q, self.config, self.start, self.stages = q, config, 0.0, []
-
-    def fit(self, encoded: DataFrame) -> _Booster:
-        y = F.col(TARGET)
-        self.start = encoded.agg(F.percentile_approx(y, self.q, ACCURACY)).first()[0]
-        rows = encoded.withColumn("_f", F.lit(float(self.start)))
-        for stage in range(self.config.rounds):
-            slope = F.when(y > F.col("_f"), self.q).otherwise(self.q - 1.0)
-            tree = DecisionTreeRegressor(
-                featuresCol=FEATURES,
-                labelCol="_slope",
-                predictionCol="_hat",
-                leafCol="_leaf",
-                maxDepth=self.config.depth,
-                minInstancesPerNode=self.config.min_rows_per_leaf,
-                seed=self.config.seed + stage,
-            ).fit(rows.withColumn("_slope", slope))
-            placed = tree.transform(rows)
-            # A leaf can hold any share of the rows: its quantile comes from a mergeable sketch of bounded size.
-            leaves = placed.groupBy(F.col("_leaf").cast("int").alias("leaf")).agg(
-                F.percentile_approx(y - F.col("_f"), self.q, ACCURACY).alias("v")
-            )
-            values = {r["leaf"]: r["v"] for r in leaves.collect()}  # at most 2 ** depth rows
-            self.stages.append((tree, values))
-            rows = self._advance(placed, values)
-            if (stage + 1) % ROUNDS_PER_CHECKPOINT == 0 and stage + 1 < self.config.rounds:
-                rows = materialize(rows)
-        return self
-
-    def _advance(self, placed: DataFrame, values: dict[int, float]) -> DataFrame:
-        return placed.withColumn("_f", F.col("_f") + self.config.learning_rate * self._leaf_value(values)).drop("_hat", "_leaf")
-
-    @staticmethod
-    def _leaf_value(values: dict[int, float]) -> Column:
-        by_leaf = F.array(*[F.lit(float(values.get(i, 0.0))) for i in range(max(values) + 1)])
-        return F.coalesce(F.get(by_leaf, F.col("_leaf").cast("int")), F.lit(0.0))
-
-    def predict(self, encoded: DataFrame, name: str) -> DataFrame:
-        rows = encoded.withColumn("_f", F.lit(float(self.start)))
-        for tree, values in self.stages:
-            rows = self._advance(tree.transform(rows), values)
-        return rows.withColumnRenamed("_f", name)
-
-
 class QuantileForecaster:
-    """q10, q50 and q90 of the forward return, sorted within each row."""
+    """q10, q50 and q90 of the forward return, sorted within each row: means over the trees of their leaves' quantiles.
+
+    Trees grow together. One job places the training rows in all trees and folds each (tree, leaf) to a sketch, with
+    map-side combine, so a leaf may hold any share of the rows. The table of leaves (trees x 2^depth rows at most) enters the
+    prediction as one constant: its plan has the same size for any number of trees.
+    """
 
     def __init__(self, columns: tuple[str, ...], config: BoostConfig = BoostConfig(min_rows_per_leaf=200)):
         self.columns, self.config = columns, config
@@ -74,16 +32,33 @@ class QuantileForecaster:
     def fit(self, train: DataFrame) -> QuantileForecaster:
         rows = train.na.drop(subset=[TARGET])
         self.encoder = FeatureEncoder.fit(rows, self.columns)
-        encoded = self.encoder.transform(rows).select(FEATURES, TARGET).persist()
-        try:
-            self.boosters = [_Booster(q, self.config).fit(encoded) for q in QUANTILES]
-        finally:
-            encoded.unpersist()
+        encoded = self.encoder.transform(rows).select(FEATURES, TARGET)
+        self.forest = RandomForestRegressor(
+            featuresCol=FEATURES,
+            labelCol=TARGET,
+            predictionCol="_hat",
+            leafCol="_leaves",
+            numTrees=self.config.rounds,
+            maxDepth=self.config.depth,
+            minInstancesPerNode=self.config.min_rows_per_leaf,
+            seed=self.config.seed,
+        ).fit(encoded)
+        placed = self.forest.transform(encoded).select(TARGET, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
+        sketch = F.percentile_approx(TARGET, F.array(*[F.lit(q) for q in QUANTILES]), ACCURACY)
+        found = placed.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(sketch.alias("q")).collect()
+        self.width = 1 + max(r["leaf"] for r in found)
+        self.leaves = [[0.0] * len(QUANTILES) for _ in range(self.width * self.config.rounds)]
+        for r in found:
+            self.leaves[r["tree"] * self.width + r["leaf"]] = list(r["q"])
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        scored = self.encoder.transform(rows)
-        for booster, name in zip(self.boosters, NAMES):
-            scored = booster.predict(scored, name)
-        kept = [c for c in scored.columns if c not in (*NAMES, FEATURES)]
+        table = F.from_json(F.lit(json.dumps(self.leaves)), "array<array<double>>")
+        kept = [c for c in rows.columns if c not in NAMES]
+        placed = self.forest.transform(self.encoder.transform(rows.select(*kept))).withColumn("_at", vector_to_array("_leaves"))
+        # A row without a leaf in some tree's training rows cannot occur: every leaf of a fitted tree holds some.
+        found = F.transform("_at", lambda leaf, tree: F.get(table, tree * self.width + leaf.cast("int")))
+        placed = placed.withColumn("_found", found)
+        mean = lambda i: F.aggregate("_found", F.lit(0.0), lambda s, x: s + x[i]) / float(self.config.rounds)
+        scored = placed.withColumns({name: mean(i) for i, name in enumerate(NAMES)})
         return scored.select(*kept, *sorted_quantiles(*NAMES))

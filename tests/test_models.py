@@ -61,7 +61,7 @@ def test_encoder_fills_flags_and_drops(sample):
 
 
 def test_quantiles_are_ordered_and_cover(sample):
-    config = BoostConfig(rounds=4, learning_rate=0.5, leaves=7, min_rows_per_leaf=40)
+    config = BoostConfig(rounds=40, leaves=7, min_rows_per_leaf=40)
     rows = QuantileForecaster(("a", "b"), config).fit(sample).predict(sample)
     row = rows.agg(
         F.count_if((F.col("q10") > F.col("q50")) | (F.col("q50") > F.col("q90"))).alias("crossed"),
@@ -73,7 +73,7 @@ def test_quantiles_are_ordered_and_cover(sample):
 
 
 def test_classifier_and_heads_learn(sample):
-    config = BoostConfig(rounds=3, learning_rate=0.5, leaves=7, min_rows_per_leaf=20)
+    config = BoostConfig(rounds=40, leaves=7, min_rows_per_leaf=20)
     scored = OpportunityClassifier(("a", "b"), config).fit(sample).predict(sample)
     means = scored.groupBy("label").agg(F.avg("opportunity_score").alias("s")).collect()
     score = {r["label"]: r["s"] for r in means}
