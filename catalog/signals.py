@@ -9,7 +9,7 @@ from tapeworks.operators import breakout as orb
 from tapeworks.operators import sweep as swp
 from tapeworks.operators.asof import daily_bars
 from tapeworks.operators.sweep_stats import best_setting, buy_and_hold, with_drawdown
-from tapeworks.plans.sweep_study import SETTINGS, UNIT_COST, grid_trades, strategy_sweep
+from tapeworks.plans.sweep_study import PAIR_COST, SETTINGS, grid_trades, strategy_sweep
 
 from .fixtures import BREAKOUT, Fixture
 from .registry import day, q6, q6s, query, rounded, view
@@ -38,7 +38,7 @@ def _atr():
 def _atr3():
     return """SELECT t.ticker, t.d, avg(greatest(b.high - b.low, abs(b.high - b.pc), abs(b.low - b.pc))) AS atr
 FROM (SELECT DISTINCT ticker, d, dense_rank() OVER (PARTITION BY ticker ORDER BY d) AS i FROM fx_rth) t
-JOIN (SELECT f.*, k.t_first, CASE WHEN f.j = k.t_first AND f.n = 1 THEN NULL ELSE f.prev END AS pc FROM (
+LEFT JOIN (SELECT f.*, k.t_first, CASE WHEN f.j = k.t_first AND f.n = 1 THEN NULL ELSE f.prev END AS pc FROM (
         SELECT r.*, dense_rank() OVER (PARTITION BY ticker ORDER BY d) AS j, row_number() OVER (PARTITION BY ticker, d ORDER BY m) AS n,
           lag(close) OVER (PARTITION BY ticker ORDER BY d, m) AS prev FROM fx_rth r) f,
         (SELECT unnest(generate_series(1, 400)) AS t_first) k WHERE k.t_first <= f.j AND f.j < k.t_first + 3) b
@@ -125,7 +125,7 @@ def _(fx):
 
 @query("prior_three_sessions_atr", "orb_atr3", sql=f"SELECT {DAY_KEY}, {q6s('atr')} FROM orb_atr3")
 def _(fx):
-    return orb.prior_session_atr(fx.rth, 3).filter(F.col("atr").isNotNull()).select("ticker", day(), *rounded("atr"))
+    return orb.prior_session_atr(fx.rth, 3).select("ticker", day(), *rounded("atr"))
 
 
 @query("running_volume_median", "orb_bars", sql=f"SELECT {KEY}, {q6s('median_volume')} FROM orb_bars")
@@ -267,7 +267,7 @@ def _zone_setups():
 
 @view("sweep_trades", "zone_setups", "fx_bars")
 def _sweep_trades():
-    return f"""SELECT *, (dir * (exit_px - entry) - 2 * {UNIT_COST}) / abs(entry - stop) AS r FROM (
+    return f"""SELECT *, (dir * (exit_px - entry) - 2 * CASE ticker WHEN 'SPY' THEN {PAIR_COST} ELSE {swp.STOCK_COST} END) / abs(entry - stop) AS r FROM (
 SELECT e.*, f.m AS fill_m, coalesce(x.px, l.close) AS exit_px, coalesce(x.reason, 'time') AS exit_reason,
   coalesce(x.m, l.m) AS exit_m FROM zone_setups e
 JOIN LATERAL (SELECT b.m FROM fx_bars b WHERE b.ticker = e.ticker AND b.d = e.d AND b.m > e.signal_m
@@ -365,6 +365,12 @@ def _(fx):
     return setups.select("setting", "ticker", day(), "direction", "signal_minute", *rounded("entry", "stop", "target"), "used_fvg")
 
 
+def market_costs(fx: Fixture):
+    """The market ticker is priced as a currency pair, all others as stocks."""
+    market = fx.bars.filter(F.col("ticker") == "SPY").select("ticker").distinct()
+    return market.withColumn("unit_cost", F.lit(PAIR_COST))
+
+
 @query(
     "limit_then_touch",
     "sweep_trades",
@@ -372,18 +378,18 @@ def _(fx):
     f"{q6('exit_px')} AS exit, {q6('r')} AS r_multiple FROM sweep_trades",
 )
 def _(fx):
-    trades = swp.sweep_trades(fx.bars, daily_bars(fx.bars), SETTINGS, UNIT_COST)
+    trades = swp.sweep_trades(fx.bars, daily_bars(fx.bars), SETTINGS, market_costs(fx))
     return trades.select("setting", "ticker", day(), "fill_minute", "exit_minute", "exit_reason", *rounded("exit", "r_multiple"))
 
 
 @query("compound_r", "sweep_equity", sql=f"SELECT setting, {DAY_KEY}, {q6s('equity', 'pnl')} FROM sweep_equity")
 def _(fx):
-    return grid_trades(fx.bars).select("setting", "ticker", day(), *rounded("equity", "pnl"))
+    return grid_trades(fx.bars, costs=market_costs(fx)).select("setting", "ticker", day(), *rounded("equity", "pnl"))
 
 
 @query("sweep_drawdown", "sweep_drawdown", sql=f"SELECT setting, {DAY_KEY}, {q6s('drawdown')} FROM sweep_drawdown")
 def _(fx):
-    return with_drawdown(grid_trades(fx.bars)).select("setting", "ticker", day(), *rounded("drawdown"))
+    return with_drawdown(grid_trades(fx.bars, costs=market_costs(fx))).select("setting", "ticker", day(), *rounded("drawdown"))
 
 
 STATS = (
@@ -401,7 +407,7 @@ PF = "CASE WHEN isinf(profit_factor) THEN 'inf' ELSE CAST(CAST(round(profit_fact
     sql=f"SELECT setting, ticker, {', '.join(COUNTS)}, {q6s(*FINITE)}, {PF} AS profit_factor_1e4 FROM sweep_stats",
 )
 def _(fx):
-    stats = strategy_sweep(fx.bars)
+    stats = strategy_sweep(fx.bars, costs=market_costs(fx))
     infinite = F.col("profit_factor") == float("inf")
     shown = (F.round("profit_factor", 4) * 10000).cast("bigint").cast("string")
     return stats.select(
@@ -420,7 +426,7 @@ def _(fx):
     " ORDER BY expectancy_r DESC, setting DESC) AS nth FROM sweep_stats) WHERE nth = 1",
 )
 def _(fx):
-    return best_setting(strategy_sweep(fx.bars)).select("ticker", "setting", *rounded("expectancy_r"))
+    return best_setting(strategy_sweep(fx.bars, costs=market_costs(fx))).select("ticker", "setting", *rounded("expectancy_r"))
 
 
 @query(

@@ -313,7 +313,7 @@ def _nyse():
     summer = """d >= (SELECT max(x) FROM (SELECT unnest(generate_series(make_date(year(d), 3, 8), make_date(year(d), 3, 14), INTERVAL 1 DAY)) AS x) WHERE isodow(x) = 7)
    AND d < (SELECT max(x) FROM (SELECT unnest(generate_series(make_date(year(d), 11, 1), make_date(year(d), 11, 7), INTERVAL 1 DAY)) AS x) WHERE isodow(x) = 7)"""
     return f"""SELECT d, 570 AS open_min, CASE WHEN {early} THEN 780 ELSE 960 END AS close_min, CASE WHEN {summer} THEN 240 ELSE 300 END AS utc_lag
-FROM (SELECT CAST(unnest(generate_series((SELECT min(d) FROM order_days), (SELECT max(d) FROM order_days), INTERVAL 1 DAY)) AS DATE) AS d)
+FROM (SELECT CAST(unnest(generate_series((SELECT min(d) FROM order_days), (SELECT max(d) + 14 FROM order_days), INTERVAL 1 DAY)) AS DATE) AS d)
 WHERE isodow(d) <= 5 AND NOT coalesce({closed}, false)"""
 
 
@@ -378,12 +378,10 @@ def _(fx):
     "nyse",
     "order_days",
     sql="SELECT CAST(o.d AS VARCHAR) AS date, CAST((SELECT min(n.d) FROM nyse n WHERE n.d > o.d) AS VARCHAR) AS next_session"
-    " FROM order_days o WHERE o.d < (SELECT max(d) FROM nyse)",
+    " FROM order_days o",
 )
 def _(fx):
-    days = order_days(fx)
-    last = days.join(F.broadcast(long_calendar(fx).select("date")), "date").agg(F.max("date")).first()[0]
-    return cal.next_session(days.filter(F.col("date") < F.lit(last)), long_calendar(fx)).select(day(), day("next_session"))
+    return cal.next_session(order_days(fx), long_calendar(fx)).select(day(), day("next_session"))
 
 
 @query(

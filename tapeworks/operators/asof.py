@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.clock import shift_minutes
+from ..functions.clock import local_time, shift_minutes
 from ..functions.rolling import SESSION
 from ..sources.calendar import small_calendar
 
@@ -28,11 +30,16 @@ def latest_revision(bars: DataFrame, *carried: str) -> DataFrame:
 
 
 def bars_asof(bars: DataFrame, as_of, lookback_minutes: int | None = None, *carried: str) -> DataFrame:
-    """Bars visible at ``as_of`` (a literal, or a column such as a session's label time), latest revision each."""
+    """Bars visible at ``as_of`` (a literal, or a column such as a session's label time), latest revision each.
+
+    A bar is not available before it starts, so its exchange date is not after that of ``as_of``: the implied bounds on
+    ``date`` prune the partitions of a stored table.
+    """
     moment = _moment(as_of)
-    visible = bars.filter(F.col("available_ts") <= moment)
+    visible = bars.filter((F.col("available_ts") <= moment) & (F.col("date") <= F.to_date(local_time(moment))))
     if lookback_minutes is not None:
-        visible = visible.filter(F.col("event_ts") >= shift_minutes(moment, -lookback_minutes))
+        earliest = shift_minutes(moment, -lookback_minutes)
+        visible = visible.filter((F.col("event_ts") >= earliest) & (F.col("date") >= F.to_date(local_time(earliest))))
     return latest_revision(visible, *carried)
 
 
@@ -42,8 +49,14 @@ def latest_bars(bars: DataFrame) -> DataFrame:
 
 
 def news_asof(articles: DataFrame, tags: DataFrame, as_of) -> DataFrame:
-    """Tagged articles visible at ``as_of`` with the sentiment given for each ticker (NULL when none)."""
-    visible = articles.filter(F.col("available_ts") <= _moment(as_of))
+    """Tagged articles visible at ``as_of`` with the sentiment given for each ticker (NULL when none).
+
+    Articles are available after publishing; a stored table, which carries the publishing date, is pruned by it.
+    """
+    moment = _moment(as_of)
+    visible = articles.filter(F.col("available_ts") <= moment)
+    if "date" in articles.columns:
+        visible = visible.filter(F.col("date") <= F.to_date(local_time(moment)))
     return visible.join(tags, "article_id")
 
 
@@ -81,8 +94,8 @@ def range_bars_asof(
     low, high = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
     wanted = calendar.filter(F.col("date").between(low, high))
     first, last = wanted.agg(F.min("open_ts"), F.max("label_ts")).first()
-    if first is None:
-        return bars.limit(0)
+    if first is None:  # no session: no row, in the schema of the others
+        first = last = dt.datetime(1970, 1, 1)
     visible = bars.filter(F.col("date").between(low, high) & (F.col("available_ts") <= F.lit(last)))
     if regular_only:
         return latest_revision(by_session(rth_bars(visible, wanted)), "open_min", "close_min")

@@ -2,55 +2,51 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import WalkForwardConfig
-from ..runtime import bounded_broadcast
-from ..sources.calendar import SESSION_BOUND
 
 TRAIN, CALIBRATE, TEST = "train", "calibrate", "test"
 
 
-def ordered_days(days: DataFrame) -> list[dt.date]:
-    """The distinct days in order: a calendar-sized list, checked against the session bound before it is read."""
-    found = [r["date"] for r in days.select("date").distinct().orderBy("date").limit(SESSION_BOUND + 1).collect()]
-    if len(found) > SESSION_BOUND:
-        raise ValueError(f"more than {SESSION_BOUND} distinct days: folds are laid out over trading sessions")
-    return found
+def ranked_days(days: DataFrame) -> DataFrame:
+    """date, its position ``i`` and the number of days ``n``: the window holds distinct days, not rows."""
+    distinct = days.select("date").distinct()
+    return distinct.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+
+
+def _tag(segment: str):
+    return lambda k: F.struct(k.cast("int").alias("fold_id"), F.lit(segment).alias("segment"))
 
 
 def walk_forward_folds(days: DataFrame, config: WalkForwardConfig) -> DataFrame:
     """Every (fold, segment, day) of the walk-forward layout
 
-    ``[train][embargo][calibrate][embargo][test]``; the last ``holdout_sessions`` days belong to no fold. The table
-    depends on the calendar and the layout only, so it enters plans as a local relation of known size.
+    ``[train][embargo][calibrate][embargo][test]``; the last ``holdout_sessions`` days belong to no fold. A day at
+    position i is in a segment of fold k if ``k * step + offset <= i < k * step + offset + length``, so each day lists its
+    folds by arithmetic.
     """
-    ordered = ordered_days(days)
-    fold_ids, segments, dates = [], [], []
-    for fold in range(config.fold_count(len(ordered))):
-        base = fold * config.step_sessions
-        spans = {
-            TRAIN: (0 if config.expanding else base, base + config.train_sessions),
-            CALIBRATE: (base + config.calibrate_offset, base + config.calibrate_offset + config.calibrate_sessions),
-            TEST: (base + config.test_offset, base + config.test_offset + config.test_sessions),
-        }
-        for segment, (start, stop) in spans.items():
-            picked = ordered[start:stop]
-            fold_ids += [fold] * len(picked)
-            segments += [segment] * len(picked)
-            dates += picked
-    table = {"fold_id": pa.array(fold_ids, pa.int32()), "segment": pa.array(segments, pa.string()), "date": pa.array(dates, pa.date32())}
-    return days.sparkSession.createDataFrame(pa.table(table))
+    step = config.step_sessions
+    spare = F.col("n") - (config.holdout_sessions + config.test_offset + config.test_sessions)
+    last_fold = F.when(spare >= 0, F.floor(spare / step)).otherwise(-1)
+    layout = {
+        TRAIN: (0, config.train_sessions),
+        CALIBRATE: (config.calibrate_offset, config.calibrate_sessions),
+        TEST: (config.test_offset, config.test_sessions),
+    }
+    parts = []
+    for segment, (offset, length) in layout.items():
+        lowest = F.greatest(F.lit(0), F.ceil((F.col("i") - (offset + length - 1)) / step))
+        highest = last_fold if segment == TRAIN and config.expanding else F.least(last_fold, F.floor((F.col("i") - offset) / step))
+        listed = F.when((highest >= lowest) & F.lit(length > 0), F.sequence(lowest, highest))
+        parts.append(F.transform(listed, _tag(segment)))
+    each = F.concat(*[F.coalesce(p, F.array().cast("array<struct<fold_id:int,segment:string>>")) for p in parts])
+    return ranked_days(days).select("date", F.inline(each)).select("fold_id", "segment", "date")
 
 
 def holdout_days(days: DataFrame, config: WalkForwardConfig) -> DataFrame:
     """The reserved last sessions."""
-    ordered = ordered_days(days)
-    held = ordered[len(ordered) - config.holdout_sessions :] if config.holdout_sessions else []
-    return days.sparkSession.createDataFrame(pa.table({"date": pa.array(held, pa.date32())}))
+    return ranked_days(days).filter(F.col("i") >= F.col("n") - config.holdout_sessions).select("date")
 
 
 def fold_bounds(folds: DataFrame) -> DataFrame:
@@ -63,8 +59,5 @@ def fold_bounds(folds: DataFrame) -> DataFrame:
 
 
 def tag_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """Repeat each row for every (fold, segment) its date belongs to: all folds run in one pass.
-
-    The fold table is counted before it is hinted for broadcast; a layout too large for that joins by shuffle.
-    """
-    return rows.join(bounded_broadcast(folds, folds.count()), "date")
+    """Repeat each row for every (fold, segment) its date belongs to: all folds run in one pass."""
+    return rows.join(folds, "date")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import bounded_broadcast
+from ..functions.rolling import running
 
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
@@ -15,34 +15,23 @@ def grouped_median(rows: DataFrame, value: str, *keys: str, name: str = "median"
 
     A mergeable sketch first brackets the median within its guaranteed rank error. Values below the bracket are only
     counted; those inside it, about a two-thousandth of the group, collapse to distinct values with counts, and the
-    middle ranks are read off their running count. Keys are few (folds, arms, slices), so their brackets are small.
+    middle ranks are read off a running count in a window that streams them in order.
     """
     known = rows.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     bracket = known.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN)), ACCURACY).alias("_b"),
         F.count(F.lit(1)).alias("_n"),
     )
-    placed = known.join(bounded_broadcast(bracket, bracket.count()), list(keys))
-    low, high = F.col("_b")[0], F.col("_b")[1]
+    placed = known.join(bracket, list(keys))
     # Everything below the bracket shares one cell per key; inside it every distinct value has its own.
-    cell = F.when(F.col("_v") >= low, F.col("_v"))
-    cells = placed.filter(F.col("_v") <= high).groupBy(*keys, "_n", cell.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = cells.groupBy(*keys, "_n").agg(
-        F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
-        F.sort_array(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_v", "_c")))).alias("_cells"),
-    )
+    cell = F.when(F.col("_v") >= F.col("_b")[0], F.col("_v"))
+    cells = placed.filter(F.col("_v") <= F.col("_b")[1]).groupBy(*keys, "_n", cell.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(running(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())))
 
     def at_rank(rank):
-        """Value whose running count first exceeds the zero-based rank."""
-        start = F.struct(F.col("_below").cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v"))
-
-        def step(state, x):
-            seen = state["seen"] + x["_c"]
-            hit = state["v"].isNull() & (seen > rank)
-            return F.struct(seen.alias("seen"), F.when(hit, x["_v"]).otherwise(state["v"]).alias("v"))
-
-        return F.aggregate("_cells", start, step, lambda s: s["v"])
+        """The first value whose running count exceeds the zero-based rank."""
+        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
 
     middle = F.col("_n") - 1
-    lower, upper = at_rank(F.floor(middle / 2)), at_rank(F.ceil(middle / 2))
-    return ranked.select(*keys, ((lower + upper) / 2).alias(name))
+    found = at_rank(F.floor(middle / 2)) + at_rank(F.ceil(middle / 2))
+    return cells.withColumn("_upto", upto).groupBy(*keys).agg((found / 2).alias(name))

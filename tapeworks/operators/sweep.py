@@ -12,6 +12,8 @@ from ..functions.rolling import SESSION, before, day_order, running, whole_sessi
 from ..functions.scalars import holds
 from .barriers import limit_then_touch
 
+# Fixed value: one-way cost per unit of a stock.
+STOCK_COST = 0.01
 SETUP_COLUMNS = ("direction", "signal_minute", "entry", "stop", "target", "used_fvg")
 
 
@@ -206,19 +208,25 @@ def sweep_trades(
     bars: DataFrame,
     daily: DataFrame,
     configs: tuple[SweepConfig, ...] = (SweepConfig(),),
-    cost_per_unit: float = 0.01,
+    costs: DataFrame | float = STOCK_COST,
 ) -> DataFrame:
     """Setups filled and closed within the day under each setting, with their result in risk multiples."""
     setups = sweep_setups(sweep_entries(bars, daily, configs[0]), configs)
     closed = limit_then_touch(setups, bars, ("setting", *SESSION, *SETUP_COLUMNS))
-    return with_r_multiple(closed, cost_per_unit)
+    return with_r_multiple(closed, costs)
 
 
-def with_r_multiple(closed: DataFrame, cost_per_unit: float) -> DataFrame:
-    """r = (price move - cost both ways) / initial risk; the equity at risk cancels out."""
+def with_r_multiple(closed: DataFrame, costs: DataFrame | float = STOCK_COST) -> DataFrame:
+    """r = (price move - cost both ways) / initial risk; the equity at risk cancels out.
+
+    ``costs`` is one cost per unit, or a table (ticker, unit_cost); a ticker that it does not list costs STOCK_COST.
+    """
+    cost = F.lit(costs) if not isinstance(costs, DataFrame) else F.coalesce("unit_cost", F.lit(STOCK_COST))
+    if isinstance(costs, DataFrame):
+        closed = closed.join(costs.select("ticker", "unit_cost"), "ticker", "left")
     stop_dist = F.abs(F.col("entry") - F.col("stop"))
-    move = F.col("direction") * (F.col("exit") - F.col("entry")) - 2 * cost_per_unit
-    return closed.filter(stop_dist > 0).withColumn("r_multiple", move / stop_dist)
+    move = F.col("direction") * (F.col("exit") - F.col("entry")) - 2 * cost
+    return closed.filter(stop_dist > 0).withColumn("r_multiple", move / stop_dist).drop("unit_cost")
 
 
 def compound_r(

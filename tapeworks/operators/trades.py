@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import BAR_MINUTES, HOLD, HORIZON_BARS, LONG, SHORT, CostModel
 from ..functions.rolling import SESSION
 from ..functions.scalars import share
-from ..runtime import materialize
 from .intraday import TARGET
 from .quantile import grouped_median
 
@@ -59,8 +58,7 @@ def trade_summary(trades: DataFrame, universe: DataFrame, *keys: str) -> DataFra
     All measures combine map-side; the exact median brackets its group first (see ``grouped_median``).
     """
     net = F.col("net_ret")
-    # Read several times below, and short next to the bars it came from: computed once.
-    trades = materialize(trades.select(*keys, "direction", "net_ret", "gross_ret"))
+    trades = trades.select(*keys, "direction", "net_ret", "gross_ret")
     stats = trades.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trades"),
         F.count_if(F.col("direction") == LONG).alias("n_long"),

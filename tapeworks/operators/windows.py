@@ -49,13 +49,16 @@ def session_windows(session_bars: DataFrame, grid: DataFrame) -> DataFrame:
     first_open = F.min_by("open", F.when(real, F.col("minute")))
     last_close = F.max_by("close", F.when(real, F.col("minute")))
     windows = rows.unionByName(padded).groupBy(*SESSION, "slot", "open_min")
-    return windows.agg(
+    # A group without a padded row belongs to a session that the grid does not list.
+    measured = windows.agg(
         F.abs(log_ratio(last_close, first_open)).alias("r_w"),
         F.coalesce(F.sum("dollars"), F.lit(0.0)).alias("dollar_vol"),
         F.coalesce(F.sum("trade_count"), F.lit(0)).alias("trade_count"),
         (F.count_if(F.col("volume") > 0) / BARS_PER_WINDOW).alias("active_subbar_fraction"),
         F.sum("bar").alias("n_subbars"),
+        F.count_if(F.col("bar") == 0).alias("listed"),
     )
+    return measured.filter(F.col("listed") > 0).drop("listed")
 
 
 def full_grid(tickers: DataFrame, calendar: DataFrame, start, end) -> DataFrame:
@@ -74,8 +77,10 @@ def stored_grid(session_bars: DataFrame) -> DataFrame:
 def build_windows(bars: DataFrame, calendar: DataFrame, start, end, universe: DataFrame | None = None) -> DataFrame:
     """Windows of every ticker and session in the range, each session read as of half an hour after its close.
 
-    ``universe`` lists the tickers; without it they are read off the bars (one extra scan of the ticker column).
+    ``universe`` lists the tickers, and only those appear; without it they are the tickers that have bars in the range
+    (one extra scan of the ticker column there).
     """
     low, high = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
     ranged = bars.filter(F.col("date").between(low, high))
-    return session_windows(session_bars_asof(ranged, calendar), full_grid(bars if universe is None else universe, calendar, start, end))
+    grid = full_grid(ranged if universe is None else universe, calendar, start, end)
+    return session_windows(session_bars_asof(ranged, calendar), grid)

@@ -127,14 +127,13 @@ def is_session(df: DataFrame, calendar: DataFrame, name: str = "is_session") ->
 
 
 def next_session(df: DataFrame, calendar: DataFrame, name: str = "next_session") -> DataFrame:
-    """First session strictly after each row's date; NULL past the calendar's end."""
-    # Every calendar day from one session up to the day before the next one points at that next session.
-    order = Window.orderBy("date")
-    spans = calendar.select(
-        F.coalesce(F.lag("date").over(order), F.date_sub("date", 14)).alias("since"), F.col("date").alias(name)
-    )
-    days = spans.select(F.explode(F.sequence("since", F.date_sub(F.col(name), 1))).alias("date"), name)
-    return df.join(bounded_broadcast(days, 2 * SESSION_BOUND), "date", "left")
+    """First session strictly after each row's date, however far ahead; NULL past the calendar's end."""
+    known = calendar.select("date", F.col("date").alias("session"))
+    asked = df.select("date", F.lit(None).cast("date").alias("session")).distinct()
+    # One row per distinct date, so the ordered window holds days, not rows.
+    days = known.union(asked).filter(F.col("date").isNotNull()).groupBy("date").agg(F.max("session").alias("session"))
+    later = Window.orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    return df.join(days.select("date", F.min("session").over(later).alias(name)), "date", "left")
 
 
 def premarket_cutoff(df: DataFrame, calendar: DataFrame) -> DataFrame:

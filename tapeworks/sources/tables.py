@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.clock import local_time
 
@@ -33,9 +33,12 @@ def new_articles(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is none yet; a table that cannot be read is an error."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -45,17 +48,24 @@ def _append(spark: SparkSession, path: str, incoming: DataFrame, key: tuple[str,
     if table is None:
         fresh = rows.dropDuplicates(list(key))
     else:
-        # Only the partitions the batch touches can hold its keys: two dates come back, not rows.
-        low, high = rows.agg(F.min("date"), F.max("date")).first()
-        if low is None:
-            return 0
-        fresh = new_rows(table.filter(F.col("date").between(low, high)), rows, key)
-    # The count is observed while the rows are written. Rebalancing gathers each date into well-sized files and splits
-    # a date that is too large for one task.
-    seen = Observation()
-    counted = fresh.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", "date")
-    counted.write.mode("append").partitionBy("date").parquet(path)
-    return int(seen.get["n"])
+        if instant in key:
+            # The date follows from the key, so only the partitions the batch touches can hold it: two dates come back.
+            low, high = rows.agg(F.min("date"), F.max("date")).first()
+            if low is None:
+                return 0
+            table = table.filter(F.col("date").between(low, high))
+        # Other keys can be stored under any date; the scan reads the key columns alone.
+        fresh = new_rows(table, rows, key)
+    # Rebalancing gathers each date into well-sized files and splits a date that is too large for one task. The rows are
+    # kept while they are counted and written, so both see the same ones.
+    kept = fresh.hint("rebalance", "date").persist()
+    try:
+        count = kept.count()
+        if count:
+            kept.write.mode("append").partitionBy("date").parquet(path)
+        return count
+    finally:
+        kept.unpersist()
 
 
 def append_bars(spark: SparkSession, path: str, incoming: DataFrame) -> int:

@@ -58,3 +58,11 @@ def test_with_et_inverts_exchange_instant(spark):
     rows = dates(spark, "2024-03-08", "2024-03-11", "2024-11-04").withColumn("m", F.lit(575))
     back = with_et(rows.select("date", "m", exchange_instant(F.col("date"), F.col("m")).alias("event_ts")).withColumnRenamed("date", "d"))
     assert all(r["d"] == r["date"] and r["minute"] == 575 and r["slot"] == 570 for r in back.collect())
+
+
+def test_next_session_far_from_the_calendar(spark):
+    calendar = cal.session_calendar(spark, "2024-01-01", "2024-01-31")
+    dates = ["2023-11-01", "2023-12-31", "2024-01-01", "2024-01-02", "2024-01-06", "2024-01-31", "2025-01-01"]
+    rows = spark.createDataFrame([(d,) for d in dates] * 2, "d string").selectExpr("cast(d as date) AS date")
+    got = {(str(r["date"]), str(r["next_session"])) for r in cal.next_session(rows, calendar).collect()}
+    assert got == set(zip(dates, ["2024-01-02"] * 3 + ["2024-01-03", "2024-01-08", "None", "None"]))

@@ -40,8 +40,8 @@ def chained(rows):
 
 
 def test_titles(spark):
-    rows = spark.createDataFrame([("Acme -- BEATS  Q3!",), (None,), ("***",)], "t string")
-    assert [r[0] for r in rows.select(normalize_title(F.col("t"))).collect()] == ["acme beats q3", "", ""]
+    rows = spark.createDataFrame([("Kite -- RISES  Q3!",), (None,), ("***",)], "t string")
+    assert [r[0] for r in rows.select(normalize_title(F.col("t"))).collect()] == ["kite rises q3", "", ""]
 
 
 def test_clusters_match_sequential_chaining_even_for_a_hot_title(spark):
@@ -67,7 +67,7 @@ def test_clusters_do_not_change_when_later_articles_arrive(spark):
 
 def test_priority_description_and_missing_text(spark):
     rows = spark.createDataFrame(
-        [("Analysts react as Acme earnings beat expectations", None), ("Acme update", "Company raised its full-year outlook"), (None, None), ("CEO\nresigns", None), ("CEO of Acme resigns", None)],
+        [("An analyst looks at the quarterly results of Northwind", None), ("Morning note", "The firm cuts its outlook for the fiscal year"), (None, None), ("CFO\nretires", None), ("CFO of Northwind retires", None)],
         "t string, d string",
     )
     got = [r[0] for r in rows.select(classify_event(F.col("t"), F.col("d"))).collect()]
@@ -91,8 +91,8 @@ def test_two_hour_window_is_open_below_and_closed_above(spark):
 def test_snapshot_counts_stories_not_copies(spark):
     cutoff = dt.datetime(2024, 3, 18, 13, 0)  # 09:00 exchange time
     rows = [
-        ("n1", cutoff - dt.timedelta(hours=30), "Acme earnings beat estimates", "W1"),
-        ("n2", cutoff - dt.timedelta(hours=6), "Acme earnings beat estimates", "W2"),
+        ("n1", cutoff - dt.timedelta(hours=30), "Northwind quarterly results are out", "W1"),
+        ("n2", cutoff - dt.timedelta(hours=6), "Northwind quarterly results are out", "W2"),
         ("n3", cutoff - dt.timedelta(hours=5), "Something else", "W2"),
         ("n4", cutoff - dt.timedelta(minutes=10), "Too late to be seen", "W3"),
     ]

@@ -28,6 +28,51 @@ def test_append_is_idempotent_and_keeps_revisions(spark, stored, tmp_path):
     assert spark.read.parquet(path).count() == 13
 
 
+def test_articles_are_appended_once_whatever_their_date(spark, tmp_path):
+    path = str(tmp_path / "news")
+    rows = lambda *items: spark.createDataFrame([(i, d, d) for i, d in items], "article_id string, published_ts timestamp, available_ts timestamp")
+    assert tables.append_news(spark, path, rows(("x", dt.datetime(2024, 3, 10)), ("y", dt.datetime(2024, 3, 11)))) == 2
+    assert tables.append_news(spark, path, rows(("x", dt.datetime(2024, 3, 12)), ("z", dt.datetime(2024, 3, 12)))) == 1
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_an_unreadable_table_is_an_error(spark, stored, tmp_path):
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        tables.append_bars(spark, str(tmp_path / "broken"), stored.drop("date", "minute"))
+
+
+def test_asof_reads_are_pruned_by_date(spark, stored, tmp_path):
+    path = str(tmp_path / "bars")
+    tables.append_bars(spark, path, stored.drop("date", "minute"))
+    table = spark.read.parquet(path).withColumn("minute", F.lit(600))
+    read = asof.bars_asof(table, dt.datetime(2024, 3, 18, 15, 0), 600)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "date#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert read.count() == 12
+
+
+def test_range_without_sessions_keeps_its_schema(spark, stored):
+    from tapeworks.sources.calendar import session_calendar
+
+    calendar = session_calendar(spark, "2024-03-01", "2024-03-31")
+    some = asof.range_bars_asof(stored, calendar, "2024-03-18", "2024-03-18")
+    none = asof.range_bars_asof(stored, calendar, "2024-03-16", "2024-03-17")
+    assert none.schema == some.schema and none.count() == 0 and some.count() > 0
+
+
+def test_windows_of_a_universe_alone(spark, stored):
+    from tapeworks.operators.windows import build_windows
+    from tapeworks.sources.calendar import session_calendar
+
+    calendar = session_calendar(spark, "2024-03-01", "2024-03-31")
+    other = stored.withColumn("ticker", F.lit("ZZZ"))
+    universe = stored.select("ticker").distinct()
+    got = build_windows(stored.unionByName(other), calendar, "2024-03-18", "2024-03-18", universe)
+    assert {r["ticker"] for r in got.collect()} == {r["ticker"] for r in universe.collect()} and got.count() == 26
+
+
 def test_wall_clock_timestamps_are_rejected(stored):
     with pytest.raises(ValueError, match="timezone-aware"):
         tables.new_bars(stored, stored.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz")))
