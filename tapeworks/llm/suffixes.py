@@ -15,12 +15,13 @@ from .lyndon import suffix_array
 LENGTH = 50
 ANCHOR = 16  # bytes of an anchor; each passage of LENGTH bytes has exactly one
 SPAN = LENGTH - ANCHOR  # how far an anchor may stand from its passage's start
-BUCKET_BYTES = 16 << 20  # of text whose anchors share a bucket, and a task's text before it hands on anchors
-BLOCK = 2000  # contexts of one suffix array
-CROWD = 4096  # more contexts of one anchor than this are compared by passage instead
-_SLICE = 1 << 20
+BUCKET_BYTES = 6 << 20  # of text whose anchors share a bucket, and a task's text before it hands on anchors
+BLOCK = 2048  # contexts of one block
+CROWD = 4096  # an anchor with more contexts than this is compared by passage instead
+_NONE = np.iinfo(np.int64).max
+_SLICE = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
-_FIELDS = (("id", 8, 0), ("anchor", 5, 24), ("context", 6, 16), ("tag", 2, 0), ("pos", 4, 0))  # name, bytes, bits cut
+_FIELDS = (("id", 8, 0), ("anchor", 4, 32), ("context", 6, 16), ("tag", 2, 0), ("pos", 4, 0))  # name, bytes, bits cut
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -122,7 +123,7 @@ def _collect_anchors(buckets: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-        for batch in blocks(batches, 2):
+        for batch in blocks(batches, 2, 1 << 19):
             segments, ids, tags, offsets = [], [], [], []
             for doc, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 name = xxhash.xxh3_128_intdigest(text)
@@ -149,10 +150,10 @@ def _collect_anchors(buckets: int):
 
 
 def _shared_anchors(group: pa.Table) -> pa.Table:
-    """Of one bucket, what needs no text (a context seen in an earlier document) and what does (anchors of several contexts).
+    """The rows of one bucket whose anchor more than one document holds, by what they need.
 
-    ``whole`` says that every passage around the anchor is in an earlier document; else ``first`` marks one row of each
-    context, the earliest, and ``crowd`` anchors with more than CROWD contexts.
+    ``kind`` 0: an earlier document has the same context, so every passage around the anchor goes. 1: the row is the first of
+    its context, and there are others to compare it with. 2: the same, with more than CROWD contexts.
     """
     rows = _unpacked(group["blob"].to_pylist())
     ids = rows["id"].view(np.int64)
@@ -163,57 +164,111 @@ def _shared_anchors(group: pa.Table) -> pa.Table:
     again = np.concatenate(([False], (ids[1:] == ids[:-1]) & (rows["tag"][1:] == rows["tag"][:-1]) & (rows["pos"][1:] == rows["pos"][:-1]))) & ~new_context
     starts = np.flatnonzero(new_anchor)
     of_anchor, of_context = np.cumsum(new_anchor) - 1, np.cumsum(new_context) - 1
-    contexts = np.add.reduceat(new_context.astype(np.int64), starts)[of_anchor]
+    contexts = np.add.reduceat(new_context.astype(np.int32), starts)[of_anchor]
     documents = (np.maximum.reduceat(ids, starts) != np.minimum.reduceat(ids, starts))[of_anchor]
-    earliest = ids[np.flatnonzero(new_context)][of_context]
-    whole = (contexts == 1) & (ids > earliest)
-    text = (contexts > 1) & documents
-    stay = np.flatnonzero((whole | text) & ~again)
+    later = ids > ids[np.flatnonzero(new_context)][of_context]
+    kind = np.where(later, 0, np.where(contexts > CROWD, 2, 1)).astype(np.int8)
+    stay = np.flatnonzero((later | (contexts > 1) & documents) & ~again)
     pick = lambda c: pa.array(c[stay])
-    return pa.table({
-        "_id": pick(ids), "tag": pick(rows["tag"].astype(np.int32)), "pos": pick(rows["pos"].astype(np.int64)), "whole": pick(whole),
-        "first": pick(new_context & text), "crowd": pick(contexts > CROWD),
-        "anchor": pick(rows["anchor"].view(np.int64)), "context": pick(rows["context"].view(np.int64)),
-    })
+    name = np.where(kind == 0, 0, rows["anchor"] & np.uint64(2**31 - 1)).astype(np.int32)
+    return pa.table({"_id": pick(ids), "tag": pick(rows["tag"].astype(np.int32)), "pos": pick(rows["pos"].astype(np.int64)), "kind": pick(kind), "name": pick(name)})
 
 
-def _least_ids(group: pa.Table) -> pa.Table:
-    """For each context the least document of each of its passages, by a suffix array over all contexts of the block."""
-    texts = group["text"].to_pylist()
-    ids = np.asarray(group["_id"])
+def _rows_of_bytes(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as rows of a matrix, filled up with zeros, and their lengths."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    filled = b"".join(p.ljust(width, b"\0") for p in parts)
+    return np.frombuffer(filled, np.uint8).reshape(-1, width), lengths
+
+
+def _longest_shared(names: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each row the longest prefix that it shares with another row of the same name."""
+    head = names.astype(">u4").view(np.uint8).reshape(-1, 4)
+    order = np.argsort(np.ascontiguousarray(np.hstack([head, matrix])).view(f"V{4 + matrix.shape[1]}").ravel(), kind="stable")
+    m, n, size = matrix[order], names[order], lengths[order]
+    differs = m[1:] != m[:-1]
+    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), matrix.shape[1])
+    shared = np.where(n[1:] == n[:-1], np.minimum(shared, np.minimum(size[1:], size[:-1])), 0)
+    best = np.zeros(len(order), dtype=np.int64)
+    best[order] = np.maximum(np.append(shared, 0), np.append(0, shared)) if len(order) else 0
+    return best
+
+
+def _passage_owners(texts: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """The least id of each passage of each text (its columns are starts), by a suffix array over all texts."""
     raw = b"".join(t + b"\xff" for t in texts)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    begins = ends - [len(t) + 1 for t in texts]
     order = np.array(suffix_array(raw), dtype=np.int64)
     owner = np.searchsorted(ends, order, side="right")
-    offset = order - begins[owner]
-    fits = (order + LENGTH < ends[owner]) & (offset <= SPAN)  # the byte that ends a context is not part of it
+    offset = order - ends[owner] + np.array([len(t) + 1 for t in texts])[owner]
+    fits = order + LENGTH < ends[owner]  # the byte that ends a text is not part of it
     order, owner, offset = order[fits], owner[fits], offset[fits]
-    least = np.full((len(texts), SPAN + 1), np.iinfo(np.int64).max)
-    if len(order):
-        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), LENGTH)
-        fresh = np.ones(len(order), dtype=bool)
-        for at in range(1, len(order), 1 << 14):
-            part = slice(at, at + (1 << 14))
-            fresh[part] = (windows[order[part]] != windows[order[at - 1 : at - 1 + len(order[part])]]).any(axis=1)
-        lows = np.minimum.reduceat(ids[owner], np.flatnonzero(fresh))
-        least[owner, offset] = lows[np.cumsum(fresh) - 1]
-    return pa.table({"anchor": group["anchor"], "context": group["context"], "least": pa.array(list(least), pa.list_(pa.int64()))})
-
-
-def _passages(crowded: DataFrame) -> DataFrame:
+    least = np.full((len(texts), SPAN + 1), _NONE)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), LENGTH)
+    fresh = np.ones(len(order), dtype=bool)
+    for at in range(1, len(order), 1 << 14):
+        part = order[at : at + (1 << 14)]
+        fresh[at : at + (1 << 14)] = (windows[part] != windows[order[at - 1 : at - 1 + len(part)]]).any(axis=1)
+    lows = np.minimum.reduceat(ids[owner], np.flatnonzero(fresh))
+    least[owner, offset] = lows[np.cumsum(fresh) - 1]
+    return least
+
+
+def _judge_block(group: pa.Table) -> pa.Table:
+    """(_id, tag, start, mask) of the passages of one block that an earlier document holds.
+
+    Each context is cut to what it shares with another place of its anchor on either side, and dropped if that leaves no passage.
+    Where an anchor's cut contexts are all the same, their least document owns every passage; the others, each text once,
+    go through a suffix array.
+    """
+    ids, names, pos = np.asarray(group["_id"]), np.asarray(group["name"]), np.asarray(group["pos"])
+    texts, lead = group["text"].to_pylist(), np.minimum(pos, SPAN)
+    right, right_size = _rows_of_bytes([t[k:] for t, k in zip(texts, lead.tolist())], LENGTH)
+    left, left_size = _rows_of_bytes([t[:k][::-1] for t, k in zip(texts, lead.tolist())], SPAN)
+    sizes = np.stack([left_size, right_size], axis=1).astype(np.uint8)
+    key = np.ascontiguousarray(np.hstack([names.astype(">u4").view(np.uint8).reshape(-1, 4), right, left, sizes]))
+    _, one, same, times = np.unique(key.view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+    # A context that stands in several places shares all of itself.
+    r = np.where(times > 1, right_size[one], _longest_shared(names[one], right[one], right_size[one]))
+    l = np.where(times > 1, left_size[one], _longest_shared(names[one], left[one], left_size[one]))  # noqa: E741
+    cut = [texts[i][lead[i] - a : lead[i] + b] if a + b >= LENGTH else b"" for i, a, b in zip(one.tolist(), l.tolist(), r.tolist())]
+    index = {t: k for k, t in enumerate(dict.fromkeys(t for t in cut if t))}
+    of = np.fromiter((index.get(t, -1) for t in cut), np.int64, len(cut))
+    row_of = of[same]
+    live = np.flatnonzero(row_of >= 0)
+    low = np.full(len(index), _NONE)
+    np.minimum.at(low, row_of[live], ids[live])
+    kinds: dict[int, set[int]] = {}
+    for name, k in zip(names[one].tolist(), of.tolist()):
+        if k >= 0:
+            kinds.setdefault(name, set()).add(k)
+    mixed = np.array(sorted({k for found in kinds.values() if len(found) > 1 for k in found}), dtype=np.int64)
+    strings = list(index)
+    counts = np.array([len(t) - LENGTH + 1 for t in strings], dtype=np.int64)
+    least = np.where(np.arange(SPAN + 1)[None, :] < counts[:, None], low[:, None], _NONE) if len(strings) else np.zeros((0, SPAN + 1), np.int64)
+    if len(mixed):
+        least[mixed] = _passage_owners([strings[k] for k in mixed], low[mixed])
+    bits = (least[row_of[live]] < ids[live, None]) @ (np.int64(1) << np.arange(SPAN + 1, dtype=np.int64))
+    mask = bits << (lead[live] - l[same][live])
+    some = mask != 0
+    tags, start = np.asarray(group["tag"])[live][some], (pos - lead)[live][some]
+    return pa.table({"_id": ids[live][some], "tag": pa.array(tags, pa.int32()), "start": start, "mask": mask[some]})
+
+
+def _judge_passages(crowded: DataFrame) -> DataFrame:
     """The same for crowded anchors: passages grouped by their bytes, however many there are."""
-    each = crowded.select("anchor", "context", "_id", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(SPAN)), lambda i: F.substring("text", i + 1, F.lit(LENGTH)))).alias("at", "passage"),
-    ).filter(F.octet_length("passage") == LENGTH)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(SPAN)), lambda i: F.substring("text", i + 1, F.lit(LENGTH)))
+    each = crowded.select("_id", "tag", "pos", F.posexplode(pieces).alias("at", "passage"))
+    # Of the passages that fit, those around the anchor start at most at the anchor itself.
+    each = each.filter((F.octet_length("passage") == LENGTH) & (F.col("at") <= F.col("pos")))
     lows = each.groupBy("passage").agg(F.min("_id").alias("low"))
-    found = each.join(lows, "passage").groupBy("anchor", "context").agg(F.map_from_entries(F.collect_list(F.struct("at", "low"))).alias("m"))
-    least = F.transform(F.sequence(F.lit(0), F.lit(SPAN)), lambda i: F.coalesce(F.element_at("m", i), F.lit(2**63 - 1)))
-    return found.select("anchor", "context", least.alias("least"))
+    gone = each.join(lows, "passage").filter(F.col("low") < F.col("_id"))
+    mask = F.bit_or(F.expr("shiftleft(1L, at)"))
+    return gone.groupBy("_id", "tag", "pos").agg(mask.alias("mask")).select("_id", "tag", _start(), "mask")
 
 
-def _bits(least: str) -> Column:
-    return F.expr(f"aggregate(sequence(0, {SPAN}), 0L, (m, i) -> m | if({least}[i] < _id, shiftleft(1L, i), 0L))")
+def _start() -> Column:
+    return (F.col("pos") - F.least("pos", F.lit(SPAN))).alias("start")
 
 
 def _cover(text: bytes, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -262,33 +317,37 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     Anchors choose which passages must meet, so that suffix arrays are needed only where anchors agree and their
     surroundings do not: everything around an anchor that is the same in an earlier document goes without one, and
-    equal texts are settled by their hashes. The remaining contexts, one of each kind, are dealt to blocks of about BLOCK
-    by anchor; a suffix array (Lyndon grouping) over a block brings equal passages together with their least document. An
-    anchor with over CROWD contexts is compared by its passages' bytes in an aggregate instead. Texts move once, by id.
+    equal texts are settled by their hashes. The other contexts are dealt by anchor to blocks of about BLOCK and cut to what
+    they share with another; a suffix array (Lyndon grouping) over a block's texts brings equal passages together with
+    their least document. An anchor with over CROWD rows is compared by its passages' bytes in an aggregate instead, so
+    no block grows with one passage. Texts move once, by id.
     """
     text = whole_text()
-    texts = docs.select(id_or_none().alias("_id"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("tag"), binary_text(text).alias("t"))
+    # Not nullable, so that both joins below read the same shuffle of the texts.
+    own = (id_or_none().alias("_id"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("tag"))
+    texts = docs.select(*own, binary_text(text).alias("t"))
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    blobs = texts.select("_id", "tag", "t").mapInArrow(_collect_anchors(buckets), "bucket long, blob binary")
-    schema = "_id long, tag int, pos long, whole boolean, first boolean, crowd boolean, anchor long, context long"
-    found = table(blobs.groupBy("bucket").applyInArrow(_shared_anchors, schema))
+    blobs = texts.mapInArrow(_collect_anchors(buckets), "bucket long, blob binary")
+    found = table(blobs.groupBy("bucket").applyInArrow(_shared_anchors, "_id long, tag int, pos long, kind byte, name int"))
 
     low = F.greatest(F.col("pos") - SPAN, F.lit(0))
-    firsts = found.filter("first").join(texts, ["_id", "tag"]).select("anchor", "context", "crowd", "_id", F.substring("t", (low + 1).cast("int"), (F.col("pos") + LENGTH - low).cast("int")).alias("text"))
-    count = max(1, -(-found.filter("first and not crowd").count() // BLOCK))
-    dealt = firsts.filter("not crowd").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(count)).alias("block"))
-    least = dealt.applyInArrow(_least_ids, "anchor long, context long, least array<long>")
-    if not found.filter("crowd and first").isEmpty():
-        least = least.union(_passages(firsts.filter("crowd")))
-    start = F.col("pos") - F.least("pos", F.lit(SPAN))
-    judged = found.filter("not whole").join(least.dropDuplicates(["anchor", "context"]), ["anchor", "context"]).select("_id", "tag", start.alias("start"), _bits("least").alias("mask"))
-    direct = found.filter("whole").select("_id", "tag", start.alias("start"), F.expr(f"shiftleft(1L, cast(least(pos, {SPAN}) + 1 as int)) - 1").alias("mask"))
-    marks = direct.union(judged.filter("mask <> 0")).select("_id", "tag", F.struct("start", "mask").alias("mark"), F.lit(False).alias("copy"))
-
-    hashed = docs.select(id_or_none().alias("_id"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("tag"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    around = F.substring("t", (low + 1).cast("int"), (F.col("pos") + LENGTH - low).cast("int")).alias("text")
+    direct = found.filter("kind = 0").select("_id", "tag", _start(), F.expr(f"shiftleft(1L, cast(least(pos, {SPAN}) + 1 as int)) - 1").alias("mask"))
+    compared = found.filter("kind = 1")
+    count = max(1, -(-compared.count() // BLOCK))
+    dealt = compared.join(texts, ["_id", "tag"]).select("_id", "tag", "pos", "name", around)
+    marks = direct.union(dealt.groupBy(F.pmod("name", F.lit(count)).alias("block")).applyInArrow(_judge_block, "_id long, tag int, start long, mask long"))
+    crowded = found.filter("kind = 2")
+    if not crowded.isEmpty():
+        marks = marks.union(_judge_passages(crowded.join(texts, ["_id", "tag"]).select("_id", "tag", "pos", around)))
+
+    hashed = docs.select(*own, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     repeated = hashed.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).filter(F.col("low") != F.col("high"))
-    copies = hashed.join(repeated, ["h1", "h2"]).filter(F.col("_id") > F.col("low")).select("_id", "tag", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.lit(True).alias("copy"))
-    per_text = marks.union(copies).groupBy("_id", "tag").agg(F.max("copy").alias("copy"), F.collect_list("mark").alias("marks"))
+    # A whole copy is marked by a start before the text.
+    copies = hashed.join(repeated, ["h1", "h2"]).filter(F.col("_id") > F.col("low")).select("_id", "tag", F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("mask"))
+    # Spread first: a text's marks come from many blocks, so combining them before the shuffle saves nothing.
+    spread = marks.union(copies).repartition("_id", "tag")
+    per_text = spread.groupBy("_id", "tag").agg((F.min("start") < 0).alias("copy"), F.collect_list(F.struct("start", "mask")).alias("marks"))
     cut = texts.join(per_text, ["_id", "tag"], "left").select("_id", "t", "copy", "marks").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select(as_id("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

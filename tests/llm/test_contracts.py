@@ -394,6 +394,17 @@ def test_suffixes_crowded_and_small_blocks(spark, monkeypatch):
         assert sorted(got) == want
 
 
+def test_suffixes_in_few_words(spark):
+    """Contexts that recur whole beside others that share only their anchor, and every mixture of the two."""
+    import random
+
+    rng = random.Random(11)
+    stock = [brute.sentence(rng, rng.randint(3, 14)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(stock) if rng.random() < 0.7 else brute.sentence(rng, 6) for _ in range(rng.randint(1, 9)))) for i in range(150)]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffixes.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute.repeats_cut(rows))
+
+
 def test_suffix_array():
     import random
 
