@@ -54,7 +54,7 @@ def classify_sessions(qualified: DataFrame, config: LabelConfig = LabelConfig(),
 
 
 def label_distribution(labels: DataFrame) -> DataFrame:
-    """Sessions per ticker and label (zero-filled), with the overall share of each label in the total row."""
+    """Sessions per ticker and label, zero-filled."""
     counted = labels.groupBy("ticker").pivot("label", list(LABELS)).count().na.fill(0)
     return counted.select("ticker", *LABELS)
 

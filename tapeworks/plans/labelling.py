@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import LabelConfig, WalkForwardConfig
 from ..operators.folds import TEST, TRAIN, tag_folds, walk_forward_folds
 from ..operators.labels import classify_sessions, label_stability, qualify_windows
-from ..operators.tod import tod_rank, tod_stats_fit
+from ..operators.tod import SLOT, tod_rank
 from ..operators.windows import build_windows
 
 
@@ -41,8 +41,13 @@ def label_range(
 
 
 def label_folds(windows: DataFrame, folds: DataFrame, config: LabelConfig = LabelConfig()) -> Labelled:
-    """Label every segment of every fold against that fold's training windows, in one job keyed by fold_id."""
-    tagged = tag_folds(windows, folds).withColumn("is_train", F.col("segment") == TRAIN)
+    """Label every segment of every fold against that fold's training windows, in one job keyed by fold_id.
+
+    Windows are hashed by (ticker, slot) before the folds multiply them, so the per-fold ranks need no shuffle of the copies;
+    the fold table holds a row per day and segment, a calendar's size.
+    """
+    placed = windows.repartition("ticker", "slot")
+    tagged = tag_folds(placed, F.broadcast(folds)).withColumn("is_train", F.col("segment") == TRAIN)
     ranked = tod_rank(tagged, config.min_obs, config.eps, "fold_id")
     qualified = qualify_windows(ranked, config)
     return Labelled(tagged, qualified, classify_sessions(qualified, config, "fold_id", "segment"))
@@ -55,5 +60,5 @@ def walk_forward_labels(
     folds = walk_forward_folds(days, layout)
     done = label_folds(windows, folds, config)
     test = F.col("segment") == TEST
-    trusted = tod_stats_fit(done.windows.filter("is_train"), config.min_obs, "fold_id")
+    trusted = done.qualified.filter("trusted_slot").select("fold_id", *SLOT).distinct()
     return label_stability(done.qualified.filter(test), done.labels.filter(test), trusted)
