@@ -18,6 +18,7 @@ SPAN = LENGTH - ANCHOR  # how far an anchor may stand from its passage's start
 BUCKET_BYTES = 6 << 20  # of text whose anchors share a bucket, and a task's text before it hands on anchors
 BLOCK = 2048  # contexts of one block
 CROWD = 4096  # an anchor with more contexts than this is compared by passage instead
+SALTS = 8
 _NONE = np.iinfo(np.int64).max
 _SLICE = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
@@ -261,8 +262,12 @@ def _judge_passages(crowded: DataFrame) -> DataFrame:
     each = crowded.select("_id", "tag", "pos", F.posexplode(pieces).alias("at", "passage"))
     # Of the passages that fit, those around the anchor start at most at the anchor itself.
     each = each.filter((F.octet_length("passage") == LENGTH) & (F.col("at") <= F.col("pos")))
-    lows = each.groupBy("passage").agg(F.min("_id").alias("low"))
-    gone = each.join(lows, "passage").filter(F.col("low") < F.col("_id"))
+    # A passage may stand in any share of the rows: its ids are combined first, and it meets the rows in SALTS parts. Those
+    # of one document are dropped before, as they mark nothing.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    lows = each.groupBy("passage").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).filter(F.col("low") < F.col("high")).select("passage", "low", salts)
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("_id", "pos"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(lows, ["passage", "salt"]).filter(F.col("low") < F.col("_id"))
     mask = F.bit_or(F.expr("shiftleft(1L, at)"))
     return gone.groupBy("_id", "tag", "pos").agg(mask.alias("mask")).select("_id", "tag", _start(), "mask")
 
