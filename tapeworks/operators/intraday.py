@@ -12,6 +12,7 @@ from ..sources.calendar import SESSION_BOUND
 from .asof import by_session
 
 EPS = 1e-12
+# Output column names.
 PRICE_FEATURES = (
     "r5", "r15", "r30", "rv30", "rv60", "range_frac", "close_pos", "vwap_dist", "vol_ratio", "vol_accel",
     "minutes_since_open", "minutes_to_close", "overnight_gap", "spy_r15", "spy_r30", "qqq_r15", "qqq_r30",

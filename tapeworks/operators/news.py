@@ -21,6 +21,7 @@ SNAPSHOT_NEWS = (
     "news_clusters_24h", "news_clusters_7d", "news_decayed_weight", "news_sent_signed", "news_sent_magnitude",
     "news_source_diversity", "news_novelty_frac", "news_burst", *(f"news_evt_{t}_w" for t in FEATURED_EVENTS),
 )
+# Output column names.
 BAR_NEWS = (
     "news_articles_2h", "news_articles_24h", "news_sent_signed_2h", *(f"news_evt_{t}_2h" for t in FEATURED_EVENTS),
 )

@@ -13,6 +13,7 @@ from ..sources.calendar import SESSION_BOUND, small_calendar
 
 EPS = 1e-12
 MARKET_TICKER = "SPY"
+# Output column names.
 SNAPSHOT_FEATURES = (
     "gap", "gap_norm", "pm_ret", "pm_range", "pm_dollar_vol", "pm_vol_ratio", "n_pm_bars", "vol5", "vol20",
     "prev_day_ret", "prev_day_range", "prev_rth_vol_ratio", "spy_gap", "spy_pm_ret", "rel_gap",
