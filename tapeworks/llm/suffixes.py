@@ -21,6 +21,7 @@ CROWD = 4096  # an anchor with more contexts than this is compared by passage in
 SALTS = 8
 _NONE = np.iinfo(np.int64).max
 _SLICE = 1 << 19
+_CALL = 2 << 20  # bytes of segments that look for their anchors together
 _PLACE = np.uint64((1 << 24) - 1)
 _FIELDS = (("id", 8, 0), ("anchor", 4, 32), ("context", 6, 16), ("tag", 2, 0), ("pos", 4, 0))  # name, bytes, bits cut
 
@@ -49,9 +50,12 @@ def anchors(segments: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, ...]:
 
     A segment is bytes and the first and last start of its passages. A passage's anchor is the gram in it with the least
     hash, the rightmost of equals: equal passages have equal anchors at equal distance. A context is all that an anchor's
-    passages can cover, cut off at the segment's ends; its hash also tells where it is cut.
+    passages can cover, cut off at the segment's ends; its hash also tells where it is cut. Places are packed beside the
+    hashes, so all segments of a call together must stay within what _PLACE can hold.
     """
     raw = np.frombuffer(b"\xff".join(s for s, _, _ in segments) + b"\xff" * LENGTH, np.uint8)
+    if len(raw) > _PLACE:
+        raise ValueError(f"{len(raw)} bytes of segments in one call, {_PLACE} at most")
     sizes = np.array([len(s) for s, _, _ in segments], dtype=np.int64)
     begins = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))
     words = _words(raw)
@@ -87,6 +91,17 @@ def _segments(text: bytes) -> Iterator[tuple[int, tuple[bytes, int, int]]]:
         yield low, (text[low : start + _SLICE + margin], start - low, min(last, start + _SLICE - 1) - low)
 
 
+def _calls(segments: list[tuple[bytes, int, int]]) -> Iterator[slice]:
+    """Runs of segments of about _CALL bytes, one at least."""
+    ends = np.cumsum([len(s) for s, _, _ in segments])
+    start = 0
+    while start < len(segments):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + _CALL, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def _packed(columns: dict[str, np.ndarray]) -> bytes:
     """Columns of whole numbers by byte plane, so that their empty high bytes lie together."""
     return b"".join(
@@ -136,14 +151,13 @@ def _collect_anchors(buckets: int):
                     ids.append(doc)
                     tags.append(tag)
                     offsets.append(offset)
-            for at in range(0, len(segments), 4096):
-                part = slice(at, at + 4096)
+            for part in _calls(segments):
                 owner, place, anchor, context = anchors(segments[part])
                 held.append((np.array(ids[part])[owner], anchor, context, np.array(tags[part])[owner], np.array(offsets[part])[owner] + place))
                 size += sum(len(s) for s, _, _ in segments[part])
-            if size > BUCKET_BYTES:
-                yield flush()
-                size = 0
+                if size > BUCKET_BYTES:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 

@@ -405,6 +405,18 @@ def test_suffixes_in_few_words(spark):
     assert sorted(got) == sorted(brute.repeats_cut(rows))
 
 
+def test_suffixes_of_a_long_text(spark):
+    """Beyond byte 2^24 a text is searched like before it: passages there are found first, and are taken out."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz  ", np.uint8)
+    noise = lambda seed, n: letters[np.random.default_rng(seed).integers(0, len(letters), n)].tobytes().decode()
+    one, two, long = noise(1, 300), noise(2, 400), (1 << 24) + 5000
+    rows = [(1, noise(3, long) + one), (2, "A" + one + "B"), (3, "C" + two + "D"), (4, noise(4, long) + two + noise(5, 3_000_000))]
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()}
+    assert got == {1: 0, 2: len(one), 3: 0, 4: len(two)}
+    with pytest.raises(ValueError):
+        suffixes.anchors([(b"x" * (1 << 24), 0, 0)])
+
+
 def test_suffix_array():
     import random
 
