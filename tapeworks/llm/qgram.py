@@ -14,9 +14,13 @@ Q = 8  # one gram is eight bytes, which is one machine word
 PIECE = 100
 STRIDE = 50
 BUDGET = 0.1
+RUN = 50  # the shortest copied run that is found at every offset of an item
+RUN_STRIDE = 4
+RUN_BUDGET = 4  # a run is at most RUN_STRIDE / 2 bytes beside a window, which leaves two edits
 BLOCK_BYTES = 4 << 20
 _SLICE = 1 << 20
 _BITS = 20
+_BATCH = 2048
 
 
 def normal(text: str | None) -> bytes:
@@ -51,15 +55,50 @@ def banded_distance(piece: bytes, region: bytes, budget: int) -> tuple[int, int]
     return int(row[best]), len(piece) + best
 
 
+def banded_distances(pieces: np.ndarray, raw: np.ndarray, low: np.ndarray, width: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """``banded_distance`` of each row of ``pieces`` (all of one length) to the region of ``raw`` that starts at its ``low``."""
+    edits, ends = np.full(len(low), budget + 1), np.zeros(len(low), dtype=np.int64)
+    place = np.arange(width, dtype=np.int16)
+    for at in range(0, len(low), _BATCH):
+        live = np.arange(at, min(at + _BATCH, len(low)))
+        text = raw[np.minimum(low[live, None] + np.arange(pieces.shape[1] + width - 1), len(raw) - 1)]
+        row = np.zeros((len(live), width), dtype=np.int16)
+        for i in range(pieces.shape[1]):
+            step = row + (text[:, i : i + width] != pieces[live, i, None])
+            step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
+            row = np.minimum.accumulate(step - place, axis=1) + place
+            if i % 8 == 7:
+                stay = row.min(axis=1) <= budget
+                live, text, row = live[stay], text[stay], row[stay]
+                if not len(live):
+                    break
+        if len(live):
+            best = row.argmin(axis=1)
+            edits[live] = np.minimum(row[np.arange(len(live)), best], budget + 1)
+            ends[live] = pieces.shape[1] + best
+    return edits, ends
+
+
 class GramIndex:
     """Pieces of a block of benchmark items and where each of their grams stands."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
-        self.items, self.pieces = [], []
-        for item, text in items:
-            for piece in pieces_of(text):
+        self.items, self.pieces, self.of, self.at = [], [], [], []
+        for k, (item, text) in enumerate(items):
+            last = max(0, len(text) - PIECE)
+            for i, piece in enumerate(pieces_of(text)):
                 self.items.append(item)
                 self.pieces.append(piece)
+                self.of.append(k)
+                self.at.append(min(i * STRIDE, last))
+        self.of, self.at = np.array(self.of, dtype=np.int64), np.array(self.at, dtype=np.int64)
+        self.items += [item for item, _ in items]  # a run that covers no piece has its item's own number after the pieces
+        # Items stand a RUN apart, so that no window reaches into the next.
+        self.whole = np.frombuffer(b"".join(t + b"\0" * RUN for _, t in items), np.uint8)
+        sizes = np.array([len(t) for _, t in items], dtype=np.int64)
+        self.begin = np.cumsum(sizes + RUN) - sizes - RUN
+        self.last = np.maximum(0, sizes - RUN)
+        self.short = sizes < RUN
         self.length = np.array([len(p) for p in self.pieces], dtype=np.int64)
         self.budget = np.minimum((self.length * BUDGET).astype(np.int64), (self.length - Q) // Q)
         self.need = self.length - Q + 1 - self.budget * Q  # the lemma: a region within the budget shares so many grams
@@ -72,6 +111,12 @@ class GramIndex:
         self.grams, self.first = np.unique(words[order], return_index=True)
         self.upto = np.append(self.first[1:], len(words))
         self.owner, self.offset = owner[order], offset[order]
+        # Grams of the items, each place once although pieces overlap.
+        place = self.begin[self.of[self.owner]] + self.at[self.owner] + self.offset
+        gram = np.repeat(np.arange(len(self.grams)), self.upto - self.first)
+        gram, self.place = np.divmod(np.unique(gram * max(1, len(self.whole)) + place), max(1, len(self.whole)))
+        self.place_first = np.searchsorted(gram, np.arange(len(self.grams)))
+        self.place_upto = np.append(self.place_first[1:], len(self.place))
         self.maybe = np.zeros(1 << _BITS, dtype=bool)
         self.maybe[self._cell(self.grams)] = True
 
@@ -79,55 +124,115 @@ class GramIndex:
     def _cell(words: np.ndarray) -> np.ndarray:
         return (words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
 
-    def _hits(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece and diagonal of every gram that the text shares with one."""
+    def _shared(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the text has grams of the index, and which."""
         count = len(raw) - Q + 1
         words = np.empty(count, dtype="<u8")
         for i in range(min(Q, count)):
             part = (count - i + Q - 1) // Q
             words[i::Q] = raw[i : i + part * Q].view("<u8")
         at = np.flatnonzero(self.maybe[self._cell(words)])
-        place = np.searchsorted(self.grams, words[at])
-        place[place == len(self.grams)] = 0
-        true = self.grams[place] == words[at]
-        at, place = at[true], place[true]
-        times = self.upto[place] - self.first[place]
-        run = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[place], times)
-        return self.owner[run], np.repeat(at, times) - self.offset[run] + self.length.max()
+        gram = np.searchsorted(self.grams, words[at])
+        gram[gram == len(self.grams)] = 0
+        true = self.grams[gram] == words[at]
+        return at[true], gram[true]
+
+    @staticmethod
+    def _each(first: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers from each ``first`` to before its ``upto``, and how many."""
+        times = upto - first
+        return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times), times
+
+    def _pieces_found(self, raw: np.ndarray, at: np.ndarray, gram: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Piece, edits and end in ``raw`` of the pieces within their budget."""
+        run, times = self._each(self.first[gram], self.upto[gram])
+        base = int(self.length.max())
+        piece, diagonal = self.owner[run], np.repeat(at, times) - self.offset[run] + base
+        stride = len(raw) + 2 * base
+        bands, counts = np.unique(piece * stride + diagonal // (self.budget[piece] + 1), return_counts=True)
+        nxt = np.minimum(np.searchsorted(bands, bands + 1), len(bands) - 1)
+        both = counts + np.where(bands[nxt] == bands + 1, counts[nxt], 0)
+        # A band alone covers its own diagonals; with the next one it covers any budget + 1 in a row that start in it.
+        bands = bands[both >= self.need[bands // stride]]
+        of = bands // stride
+        for size in np.unique(self.length[of]):
+            mine = np.flatnonzero(self.length[of] == size)
+            p, budget = of[mine], int(self.budget[of[mine[0]]])
+            low = np.maximum(0, bands[mine] % stride * (budget + 1) - base - budget)
+            rows = np.frombuffer(b"".join(self.pieces[i] for i in p), np.uint8).reshape(-1, size)
+            edits, ends = banded_distances(rows, raw, low, 4 * budget + 3, budget)
+            good = edits <= budget
+            yield p[good], edits[good], (low + ends)[good]
+
+    def _runs_found(self, raw: np.ndarray, at: np.ndarray, gram: np.ndarray, skip: Callable) -> tuple[np.ndarray, ...]:
+        """The same for windows of RUN bytes every RUN_STRIDE of the items, with the item's number in place of the piece.
+
+        ``skip`` tells which pairs of a place in ``raw`` and an item need no search.
+        """
+        run, times = self._each(self.place_first[gram], self.place_upto[gram])
+        place, reach = self.place[run], len(self.whole)
+        band = (np.repeat(at, times) - place + reach) // (RUN_BUDGET + 1)
+        band, place = np.concatenate([band, band - 1]), np.tile(place, 2)  # each band holds the next one's grams too
+        keys = np.sort((band + 1) * (2 * reach) + place)
+        need, wide = RUN - Q + 1 - RUN_BUDGET * Q, RUN - Q
+        first, last = keys[: max(0, len(keys) - need + 1)], keys[need - 1 :]
+        near = last - first <= wide
+        band, low, high = first[near] // (2 * reach) - 1, first[near] % (2 * reach), last[near] % (2 * reach)
+        item = np.searchsorted(self.begin, low, side="right") - 1
+        begin, end = self.begin[item], self.last[item]
+        # Windows that hold all of these grams: on the grid, and the one flush with the item's end.
+        a = np.maximum(0, -(-(high - wide - begin) // RUN_STRIDE))
+        b = np.minimum(low - begin, end) // RUN_STRIDE
+        grid, times = self._each(a, np.maximum(a, b + 1))
+        flush = (end >= high - wide - begin) & (end <= low - begin)
+        window = np.concatenate([np.repeat(begin, times) + grid * RUN_STRIDE, (begin + end)[flush]])
+        band, item = np.concatenate([np.repeat(band, times), band[flush]]), np.concatenate([np.repeat(item, times), item[flush]])
+        _, one = np.unique(band * (2 * reach) + window, return_index=True)
+        start = window + band * (RUN_BUDGET + 1) - reach
+        one = one[~self.short[item[one]] & ~skip(start[one] + RUN, item[one])]
+        window, item, start = window[one], item[one], np.maximum(0, start[one] - RUN_BUDGET)
+        edits, ends = banded_distances(self.whole[window[:, None] + np.arange(RUN)], raw, start, 4 * RUN_BUDGET + 3, RUN_BUDGET)
+        good = edits <= RUN_BUDGET
+        return item[good], edits[good], (start + ends)[good]
 
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, piece, edits, end in the text) of every piece within its budget of a part of the text."""
+        """(text, piece, edits, end in the text) of every piece within its budget of a part of the text.
+
+        An item of which the text holds no piece but a run has its own number as its piece.
+        """
         if not self.pieces:
             return
-        reach = int(self.length.max()) + 4 * self.pad
+        reach = int(self.length.max()) + 4 * self.pad + RUN
         parts = [(k, s) for k, t in enumerate(texts) for s in range(0, max(1, len(t)), _SLICE)]
         gap = b"\n" * reach
-        raw = gap + gap.join(texts[k][s : s + _SLICE + 2 * reach] for k, s in parts) + gap
+        raw = np.frombuffer(gap + gap.join(texts[k][s : s + _SLICE + 2 * reach] for k, s in parts) + gap, np.uint8)
         sizes = np.array([min(_SLICE + 2 * reach, max(0, len(texts[k]) - s)) for k, s in parts], dtype=np.int64)
         starts = reach + np.concatenate(([0], np.cumsum(sizes[:-1] + reach))) if len(parts) else np.array([], dtype=np.int64)
-        piece, diagonal = self._hits(np.frombuffer(raw, np.uint8))
-        if not len(piece):
+        at, gram = self._shared(raw)
+        if not len(at):
             return
-        base, width = int(self.length.max()), self.budget[piece] + 1
-        stride = len(raw) + 2 * base
-        bands, counts = np.unique(piece * stride + diagonal // width, return_counts=True)
-        nxt = np.minimum(np.searchsorted(bands, bands + 1), len(bands) - 1)
-        both = counts + np.where(bands[nxt] == bands + 1, counts[nxt], 0)
-        of = bands // stride
+        owner, offset = np.array(parts, dtype=np.int64).T
+        part_of = lambda place: np.maximum(0, np.searchsorted(starts, place, side="right") - 1)
         found: set[tuple[int, int]] = set()
-        # A band alone covers its own diagonals; with the next one it covers any budget + 1 in a row that start in it.
-        for i in np.flatnonzero(both >= self.need[of]):
-            p, budget = int(of[i]), int(self.budget[of[i]])
-            low = int(bands[i] % stride) * (budget + 1) - base - budget
-            high = low + len(self.pieces[p]) + 2 * (budget + 1) + 2 * budget
-            edits, end = banded_distance(self.pieces[p], raw[max(0, low) : high], budget)
-            if edits > budget:
-                continue
-            k = int(np.searchsorted(starts, max(0, low) + end, side="right")) - 1
-            text, offset = parts[k]
-            if (text, p) not in found:
-                found.add((text, p))
-                yield text, p, edits, max(0, low) + end - int(starts[k]) + offset
+        held: set[int] = set()
+        count = len(self.begin)
+        for p, edits, end in self._pieces_found(raw, at, gram):
+            k = part_of(end)
+            held.update((owner[k] * count + self.of[p]).tolist())
+            for row in zip(owner[k].tolist(), p.tolist(), edits.tolist(), (end - starts[k] + offset[k]).tolist()):
+                if row[:2] not in found:
+                    found.add(row[:2])
+                    yield row
+        known = np.array(sorted(held), dtype=np.int64)
+        item, edits, end = self._runs_found(raw, at, gram, lambda place, item: np.isin(owner[part_of(place)] * count + item, known))
+        k = part_of(end)
+        least: dict[tuple[int, int], tuple[int, int]] = {}
+        for text, i, e, z in zip(owner[k].tolist(), item.tolist(), edits.tolist(), (end - starts[k] + offset[k]).tolist()):
+            a, b = least.get((text, i), (e, z))
+            least[text, i] = min(a, e), min(b, z)
+        for (text, i), (e, z) in least.items():
+            if text * count + i not in held:
+                yield text, len(self.pieces) + i, e, z
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[GramIndex]:

@@ -219,6 +219,43 @@ def test_leaks_with_edits(spark):
     assert got == {(d, i) for d in (1, None, 4, 5) for i in (7, None)}
 
 
+def test_short_runs_at_every_offset():
+    """Runs of 50 to 150 bytes of a longer item, verbatim and with two edits; runs of other items' words are none."""
+    import random
+
+    rng = random.Random(6)
+    noise = lambda n: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    item, other = noise(317), noise(200)
+    index = qgram.GramIndex([(7, item), (8, other), (9, b"tiny item")])
+    for size in (50, 51, 73, 90, 99, 100, 110, 120, 131, 150):
+        for spoiled in (False, True):
+            texts, ends = [], []
+            for at in range(len(item) - size + 1):
+                run = bytearray(item[at : at + size])
+                if spoiled:
+                    run[size // 3] = 35
+                    del run[2 * size // 3]
+                before = noise(40)
+                texts.append(before + b"#" + run + b"#" + noise(40))
+                ends.append(41 + len(run))
+            got = list(index.find(texts))
+            assert {k for k, *_ in got} == set(range(len(texts)))
+            assert {index.items[p] for _, p, _, _ in got} == {7}
+            assert all(abs(end - ends[k]) <= size for k, _, _, end in got)
+    assert not list(index.find([noise(60) + item[at : at + 34] + noise(60) for at in range(len(item) - 34)]))
+
+
+def test_banded_distances():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 100, 4000).astype(np.uint8)
+    low = rng.integers(0, 3000, 300)
+    rows = np.stack([raw[x + 3 : x + 33] for x in low])
+    rows[rng.random(rows.shape) < 0.08] = 120
+    edits, ends = qgram.banded_distances(rows, raw, low, 7, 4)
+    want = [qgram.banded_distance(r.tobytes(), raw[x : x + 36].tobytes(), 4) for r, x in zip(rows, low)]
+    assert [(e, z) for e, z in zip(edits, ends) if e <= 4] == [w for w in want if w[0] <= 4] and (edits > 4).tolist() == [w[0] > 4 for w in want]
+
+
 def test_banded_distance():
     import random
 
