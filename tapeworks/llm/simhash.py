@@ -48,14 +48,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, 1):
-        prints = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=["_id", "print"])
+    for batch in blocks(batches, 0):
+        prints = pa.array([fingerprint(t) for t in batch.column(0).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], prints], names=[*batch.schema.names[1:], "print"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """_id and print (the 64 bits as a long) of every whole text."""
-    return docs.select(id_or_none().alias("_id"), binary_text(whole_text()).alias("t")).mapInArrow(_fingerprints, "_id long, print long")
+    return docs.select(binary_text(whole_text()).alias("t"), id_or_none().alias("_id")).mapInArrow(_fingerprints, "_id long, print long")
 
 
 def _quarter_counts(prints: np.ndarray) -> np.ndarray:
@@ -182,3 +182,20 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = named.join(stay, named["_own"] == stay["_stay"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("_own").orderBy(F.xxhash64(whole_text())))
     return kept.withColumn("_nth", nth).filter(F.col("_nth") == 1).select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component of fingerprints, the one with the least doc_id (a null one first), with its own columns.
+
+    Only texts link rows: those that share a doc_id, or have none, stay or go like any others. Of rows with the same
+    doc_id and text one stays. The choice is a minimum over ids and text hashes; texts move once, and what is the same
+    within a task is dropped before.
+    """
+    text, names = whole_text(), ["_own", "_own1", "_own2"]
+    own = [id_or_none().alias("_own"), F.xxhash64(text).alias("_own1"), F.xxhash64(F.lit(1), text).alias("_own2")]
+    rows = docs.select(binary_text(text).alias("t"), *own).mapInArrow(_fingerprints, "_own long, _own1 long, _own2 long, print long")
+    nodes = keep(rows.groupBy("print").agg(F.min(F.struct(*names)).alias("least")))
+    groups = components(links(nodes.select("print", F.col("print").alias("low")), radius))
+    named = nodes.join(groups, nodes["print"] == groups["node"], "left").groupBy(F.coalesce("component", "print")).agg(F.min("least").alias("least"))
+    once = docs.select("*", *own).dropDuplicates(names)
+    return once.join(named.select("least.*"), names, "left_semi").select(*docs.columns)

@@ -51,6 +51,21 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in again.collect()) == sorted(kept["shard"])
 
 
+def test_rows_without_an_id_are_documents(spark):
+    """A third of the rows has no id, others share one: unrelated texts stay, near copies go, equal rows stay once."""
+    import random
+
+    rng = random.Random(8)
+    texts = [brute.sentence(rng, 60) for _ in range(60)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else 100 + i, t) for i, t in enumerate(texts)]
+    copies = [(1000 + i, t) for i, t in enumerate(texts)] + rows[:9] + [(None, texts[2])]
+    frame = spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(5)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, frame, FOLDER).collect())
+    prints = [brute.fingerprint(t) for t in texts]
+    assert all((prints[i] ^ prints[j]).bit_count() > 4 for i in range(60) for j in range(i))
+    assert got == Counter([(None, texts[2]), *rows[:2], *rows[3:]])
+
+
 def test_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
