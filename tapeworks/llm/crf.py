@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import as_id, blocks, crc_of_id, id_or_none, whole_text
@@ -216,11 +216,25 @@ def fit_tagger(texts: list[bytes], langs: list[str], rounds: int = ROUNDS, seed:
     return Tagger(labels, weights, moves)
 
 
+def _excerpt() -> Column:
+    """The text ``t``, or of one over SAMPLE_BYTES a run of words of about so many from a place hashed from the id.
+
+    Where that run has no letter, it is the one from the text's first letter on.
+    """
+    size, chars = F.octet_length("t"), F.char_length("t")
+    most = F.floor(chars * F.lit(SAMPLE_BYTES) / size).cast("int")
+    start = F.pmod(F.xxhash64("doc_id", F.lit(5)), (chars - most + 1).cast("long")).cast("int")
+    inner = F.regexp_replace(F.substring("t", start + 1, most), r"^\S*\s+|\s+\S*$", "")
+    first = F.regexp_replace(F.substring("t", F.regexp_instr("t", F.lit(r"\p{L}")), most), r"\s+\S*$", "")
+    return F.when(size <= SAMPLE_BYTES, F.col("t")).when(inner.rlike(r"\p{L}"), inner).otherwise(first)
+
+
 def labelled_sample(docs: DataFrame, fold: int = 5, held: int = 0) -> DataFrame:
-    """text and lang of at most SAMPLE learnable rows a language, the least by a hash of the id, of SAMPLE_BYTES or fewer."""
+    """text and lang of at most SAMPLE learnable rows a language, the least by a hash of the id; of long texts an excerpt."""
     rows = docs.select(F.col("doc_id"), F.lower(whole_text()).alias("t"), F.col("lang").cast("string").alias("l")).filter(
-        F.col("l").isNotNull() & (crc_of_id() % fold != held) & F.col("t").rlike(r"\p{L}") & (F.octet_length("t") <= SAMPLE_BYTES)
+        F.col("l").isNotNull() & (crc_of_id() % fold != held) & F.col("t").rlike(r"\p{L}")
     )
+    rows = rows.withColumn("t", _excerpt())
     key = F.xxhash64("doc_id", F.lit(3))
     part = Window.partitionBy("l", F.pmod(key, F.lit(SALTS))).orderBy(key, "t")
     return rows.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= SAMPLE // SALTS).select("t", "l")
@@ -256,7 +270,7 @@ def languages(docs: DataFrame, fold: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row's whole text.
 
     Learned from text and non-null lang of rows whose crc32(doc_id) mod ``fold`` isn't ``held``, at most SAMPLE of each
-    language (a bounded sample; meant for tens of languages). A text's words get posteriors by forward-backward over
+    language (a bounded sample; meant for tens of languages), of texts over SAMPLE_BYTES a run of words of that size. A text's words get posteriors by forward-backward over
     the whole text; lang_pred has the largest mean, which is the score (ties: the first by name). A null text or one
     without a letter, or any text when nothing can be learned, is ``und`` with score 0. Repeated rows are judged alike;
     an empty table gives no row; other columns are ignored.

@@ -330,6 +330,21 @@ def test_languages(odd, docs):
     assert crf.in_a_language(odd).columns == odd.columns
 
 
+def test_languages_of_long_texts_alone(spark):
+    """A language that has only books is learned from runs of their words, also where most of a book has no letter."""
+    import random
+
+    rng = random.Random(4)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, text("abcde", 80), "a") for i in range(40)] + [(100 + i, text("vwxyzé", 3000), "v") for i in range(20)]
+    rows += [(200 + i, "12 " * 20_000 + text("klmno", 40), "k") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = crf.labelled_sample(frame).collect()
+    assert {r["l"] for r in sample} == {"a", "v", "k"} and all(len(r["t"].encode()) <= 1.1 * crf.SAMPLE_BYTES for r in sample)
+    truth = {d: lang for d, _, lang in rows}
+    assert {r["doc_id"]: r["lang_pred"] for r in crf.languages(frame).collect()} == truth
+
+
 def test_segments_change_nothing(monkeypatch):
     rng = np.random.default_rng(1)
     tagger = crf.Tagger(["a", "b", "c"], rng.normal(size=(crf._ZERO + 1, 3)).astype(np.float32), rng.normal(size=(3, 3)))
