@@ -9,7 +9,7 @@ from tapeworks.llm.common import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language stay; texts without letters and those mixed beyond recognition go."""
+    """Texts in one language or several stay; texts without letters and those whose words fit no language go."""
     return crf.in_a_language(docs)
 
 

@@ -108,14 +108,18 @@ class Tagger:
 
     def judge(self, texts: list[bytes]) -> np.ndarray:
         """Mean posterior of each label over the words of each text; zeros for a text without words."""
+        return self.means(texts)[0]
+
+    def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``judge`` gives, and the mean over the words of each text of their largest posterior."""
         k = len(self.labels)
         raw, begins = buffer_of(texts)
         scores, starts = emissions(raw, self.weights)
         owner = np.searchsorted(begins, starts, side="right") - 1
         words = np.bincount(owner, minlength=len(texts))
-        result = np.zeros((len(texts), k))
+        result, sure = np.zeros((len(texts), k)), np.zeros(len(texts))
         if not len(starts):
-            return result
+            return result, sure
         psi = np.exp(scores.astype(np.float64) - scores.max(axis=1, keepdims=True))
         psi = np.maximum(psi, 1e-30)
         parts = -(-words // SEGMENT)
@@ -132,8 +136,10 @@ class Tagger:
         moves = np.exp(self.moves)
         first, last = self._bounds(chains, lengths, text_of, number, parts, moves)
         posterior, _ = _forward_backward(chains, lengths, moves, first, last)
-        np.add.at(result, text_of[row], posterior[row, step])
-        return result / np.maximum(words, 1)[:, None]
+        each = posterior[row, step]
+        np.add.at(result, text_of[row], each)
+        sure += np.bincount(text_of[row], each.max(axis=1), len(texts))
+        return result / np.maximum(words, 1)[:, None], sure / np.maximum(words, 1)
 
     @staticmethod
     def _bounds(chains, lengths, text_of, number, parts, moves) -> tuple[np.ndarray, np.ndarray]:
@@ -288,14 +294,22 @@ def languages(docs: DataFrame, fold: int = 5, held: int = 0) -> DataFrame:
 
 
 def in_a_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents with a language, known by ``min_score`` of their words or more, with their own columns."""
+    """Documents whose words fit languages, one or several, with their own columns.
+
+    A text goes if it is ``und``, or if the mean over its words of their largest posterior is below ``min_score``, or
+    below twice the even share where that is less, so that more labels make it no stricter.
+    """
     tagger = train(docs)
     limit, names = _limit(tagger), docs.columns
+    least = min(min_score, 2 / max(1, len(tagger.labels)))
     rows = docs.select(_letters(), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 0, limit):
-            labels, top = _judged(batch, 0, tagger)
-            yield batch.filter(pa.array((np.array(labels) != UNKNOWN) & (top >= min_score)))
+            texts = batch.column(0).to_pylist()
+            stay = np.array([t is not None and bool(tagger.labels) for t in texts])
+            if tagger.labels:
+                stay &= tagger.means([t or b"" for t in texts])[1] >= least - 1e-9
+            yield batch.filter(pa.array(stay))
 
     return rows.mapInArrow(run, rows.schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

@@ -345,6 +345,20 @@ def test_languages_of_long_texts_alone(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in crf.languages(frame).collect()} == truth
 
 
+def test_texts_in_several_languages_stay(spark):
+    """Three known languages in one text score a third each and stay, as all clean texts do; words of none go."""
+    import random
+
+    rng = random.Random(12)
+    letters = {"a": "abcde", "k": "klmno", "p": "pqrst", "v": "vwxyz"}
+    text = lambda of, n: " ".join("".join(rng.choice(of) for _ in range(rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, text(letters[k], 60), k) for i, k in enumerate("akpv" * 30)]
+    rows += [(900, " ".join(text(letters[k], 40) for k in "akp"), None), (901, text("αβγδε", 60), None), (902, "1 2 3", None), (903, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["score"] for r in crf.languages(frame).collect()}[900] < crf.MIN_SCORE
+    assert {r["doc_id"] for r in crf.in_a_language(frame).collect()} == {*range(120), 900}
+
+
 def test_segments_change_nothing(monkeypatch):
     rng = np.random.default_rng(1)
     tagger = crf.Tagger(["a", "b", "c"], rng.normal(size=(crf._ZERO + 1, 3)).astype(np.float32), rng.normal(size=(3, 3)))
