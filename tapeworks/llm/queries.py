@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown, crf, curves, lines, pivotal, qgram, shards, simhash, suffixes, urls
+from . import brown, crf, curves, infill, lines, pivotal, qgram, shards, simhash, suffixes, urls
 from .common import binary_text
 
 
@@ -54,11 +54,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = infill.fill_in_middle(_read(spark, sf_dir, "documents"))
+    output = F.sha2(binary_text(F.col("output")), 256).alias("output_sha256")
+    return filled.select("doc_id", "n", "form", "prefix_chars", "middle_chars", output, F.sha2(binary_text(infill.restored()), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op6_qgram_leaks,
-        op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups, op10_suffix_dedup,
+        op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups, op10_suffix_dedup, op13_fill_in_middle,
     )
 }
 
@@ -81,5 +87,28 @@ judged AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op13_fill_in_middle": r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+cut AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units,
+         [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS draw FROM docs
+),
+drawn AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, least(draw[1] % (len(units) + 1), draw[2] % (len(units) + 1)) AS low,
+         greatest(draw[1] % (len(units) + 1), draw[2] % (len(units) + 1)) AS high,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR draw[3] % 100 >= 90 THEN 'plain'
+              WHEN draw[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut
+),
+parts AS (
+  SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix, coalesce(array_to_string(units[low + 1:high], ''), '') AS middle,
+         coalesce(array_to_string(units[high + 1:n], ''), '') AS suffix FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
 """,
 }
