@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown, crf, curves, infill, lines, pivotal, qgram, shards, simhash, suffixes, urls
+from . import brown, crf, curves, infill, lines, periods, pivotal, qgram, shards, simhash, suffixes, urls
 from .common import binary_text
 
 
@@ -54,6 +54,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_read(spark, sf_dir, "documents"), plant=True)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    each = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.before")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.shorter")).alias("period"),
+        F.expr("(1000 * top.length) div -top.shorter").alias("exponent_milli"),
+        F.sha2(binary_text(F.array_join(each, "")), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = infill.fill_in_middle(_read(spark, sf_dir, "documents"))
     output = F.sha2(binary_text(F.col("output")), 256).alias("output_sha256")
@@ -64,7 +76,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op6_qgram_leaks,
-        op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups, op10_suffix_dedup, op13_fill_in_middle,
+        op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups, op10_suffix_dedup, op11_periodic_runs, op13_fill_in_middle,
     )
 }
 
