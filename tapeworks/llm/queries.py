@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown, crf, curves, infill, lines, periods, pivotal, qgram, shards, simhash, suffixes, urls
+from . import brown, crf, curves, infill, lines, passages, periods, pivotal, qgram, shards, simhash, suffixes, urls
 from .common import binary_text
 
 
@@ -66,6 +66,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fm_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.drop_passages(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = infill.fill_in_middle(_read(spark, sf_dir, "documents"))
     output = F.sha2(binary_text(F.col("output")), 256).alias("output_sha256")
@@ -76,7 +81,8 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_hilbert_shards, op2_line_dedup, op3_brown_scores, op4_pivotal_mix, op5_url_filter, op6_qgram_leaks,
-        op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups, op10_suffix_dedup, op11_periodic_runs, op13_fill_in_middle,
+        op7_hilbert_neighbours, op8_crf_languages, op9_simhash_groups, op10_suffix_dedup, op11_periodic_runs,
+        op12_fm_passages, op13_fill_in_middle,
     )
 }
 
