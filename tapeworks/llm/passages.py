@@ -310,7 +310,7 @@ def drop_passages(docs: DataFrame) -> DataFrame:
     text = whole_text()
     own = (id_or_none().alias("_id"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"))
     texts = docs.select(*own, binary_text(text).alias("t"))
-    every = texts.mapInArrow(_occurrences, "_id long, tag int, anchor long, around long")
+    every = table(texts.mapInArrow(_occurrences, "_id long, tag int, anchor long, around long"))
     several = every.groupBy("anchor").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).filter("low < high").select("anchor")
     shared = table(every.join(several, "anchor").distinct())
     first = F.min(F.struct("_id", "tag")).alias("first")
