@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,58 +11,35 @@ from ..config import BoostConfig
 from ..functions.scalars import linear_score, log_probability
 from ..operators.intraday import TARGET
 from ..operators.metrics import P_COLUMNS, label_index
-from .encoding import FeatureEncoder
-
-FEATURES, FLAG = "features", "_flag"
-
-
-def grow_classifier(encoded: DataFrame, condition: Column, config: BoostConfig):
-    """A probability forest on ``condition`` (0, 1, ...), or the one class that the training rows hold.
-
-    All trees grow together, level by level, and predict in one expression, so neither jobs nor plan grow with them.
-    """
-    rows = encoded.select(FEATURES, condition.cast("double").alias(FLAG)).filter(F.col(FLAG).isNotNull())
-    low, high = rows.agg(F.min(FLAG), F.max(FLAG)).first()
-    if low == high:
-        return int(low or 0)
-    return RandomForestClassifier(
-        featuresCol=FEATURES,
-        labelCol=FLAG,
-        rawPredictionCol="_raw",
-        probabilityCol="_p",
-        predictionCol="_hat",
-        numTrees=config.rounds,
-        maxDepth=config.depth,
-        minInstancesPerNode=config.min_rows_per_leaf,
-        seed=config.seed,
-    ).fit(rows)
-
-
-def class_shares(model, encoded: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Add the probability of each class under ``names``; a class that training never saw has probability 0."""
-    if isinstance(model, int):
-        return encoded.withColumns({n: F.lit(1.0 if i == model else 0.0) for i, n in enumerate(names)})
-    scored = model.transform(encoded).withColumn("_pa", vector_to_array("_p"))
-    shares = {n: F.coalesce(F.get("_pa", F.lit(i)), F.lit(0.0)) for i, n in enumerate(names)}
-    return scored.withColumns(shares).drop("_raw", "_p", "_hat", "_pa")
+from .boosting import Objective, boost
+
+def seen_classes(rows: DataFrame, condition: Column) -> list[int]:
+    """The classes (0, 1, ...) that the rows hold."""
+    return sorted(r[0] for r in rows.select(condition.cast("int")).distinct().collect() if r[0] is not None)
 
 
 class OpportunityClassifier:
-    """Probabilities of the three session classes from one forest."""
+    """Probabilities of the three session classes: boosted heads on the log loss, normalised over the classes that training saw."""
 
     def __init__(self, columns: tuple[str, ...], config: BoostConfig = BoostConfig()):
         self.columns, self.config = columns, config
 
     def fit(self, train: DataFrame) -> OpportunityClassifier:
         rows = train.na.drop(subset=["label"])
-        self.encoder = FeatureEncoder.fit(rows, self.columns)
-        self.model = grow_classifier(self.encoder.transform(rows), label_index(F.col("label")), self.config)
+        label = label_index(F.col("label"))
+        self.seen = seen_classes(rows, label)
+        self.model = None
+        if len(self.seen) > 1:
+            heads = {f"_is_{k}": label == k for k in self.seen}
+            self.model = boost(rows, self.columns, heads, Objective("softmax", len(heads)), self.config)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Add p_none, p_opening_only, p_sustained and opportunity_score."""
-        scored = class_shares(self.model, self.encoder.transform(rows), P_COLUMNS)
-        return scored.drop(FEATURES).withColumn("opportunity_score", linear_score())
+        """Add p_none, p_opening_only, p_sustained and opportunity_score; a class that training never saw has probability 0."""
+        kept = [c for c in rows.columns if c not in P_COLUMNS]
+        scored = rows.select(*kept, (F.array(F.lit(1.0)) if self.model is None else self.model.column()).alias("_p"))
+        shares = {p: F.col("_p")[self.seen.index(i)] if i in self.seen else F.lit(0.0) for i, p in enumerate(P_COLUMNS)}
+        return scored.withColumns(shares).drop("_p").withColumn("opportunity_score", linear_score())
 
 
 class DirichletCalibrator:
@@ -110,21 +87,24 @@ class DirichletCalibrator:
 
 
 class CostHeads:
-    """P(forward return > cost) and P(forward return < -cost)."""
+    """P(forward return > cost) and P(forward return < -cost): two boosted heads of their own over the same rows."""
 
     def __init__(self, columns: tuple[str, ...], cost: float, config: BoostConfig = BoostConfig(min_rows_per_leaf=200)):
         self.columns, self.cost, self.config = columns, cost, config
 
     def fit(self, train: DataFrame) -> CostHeads:
         rows = train.na.drop(subset=[TARGET])
-        self.encoder = FeatureEncoder.fit(rows, self.columns)
-        encoded = self.encoder.transform(rows).select(FEATURES, TARGET)
-        self.long = grow_classifier(encoded, F.col(TARGET) > self.cost, self.config)
-        self.short = grow_classifier(encoded, F.col(TARGET) < -self.cost, self.config)
+        wins = {"p_long_win": F.col(TARGET) > self.cost, "p_short_win": F.col(TARGET) < -self.cost}
+        ranges = rows.agg(*[f(w.cast("int")).alias(f"{n}_{f.__name__}") for n, w in wins.items() for f in (F.min, F.max)]).first()
+        self.fixed = {n: float(ranges[f"{n}_min"] or 0) for n in wins if ranges[f"{n}_min"] == ranges[f"{n}_max"]}
+        heads = {n: w for n, w in wins.items() if n not in self.fixed}
+        self.heads = list(heads)
+        self.model = boost(rows, self.columns, heads, Objective("logistic", len(heads)), self.config) if heads else None
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        encoded = self.encoder.transform(rows)
-        for model, name in ((self.long, "p_long_win"), (self.short, "p_short_win")):
-            encoded = class_shares(model, encoded, ("_lost", name)).drop("_lost")
-        return encoded.drop(FEATURES)
+        """Add p_long_win and p_short_win; what always or never held in training has probability 1 or 0."""
+        if self.model is not None:
+            rows = rows.withColumn("_p", self.model.column())
+        found = {n: F.col("_p")[i] for i, n in enumerate(self.heads)} | {n: F.lit(p) for n, p in self.fixed.items()}
+        return rows.withColumns({n: found[n] for n in ("p_long_win", "p_short_win")}).drop("_p")

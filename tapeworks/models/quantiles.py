@@ -1,29 +1,22 @@
-"""Quantile regression by a forest whose leaves carry the quantiles of their training rows."""
+"""Quantile regression by gradient boosting on the pinball loss."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import QUANTILES, BoostConfig
 from ..functions.scalars import sorted_quantiles
 from ..operators.intraday import TARGET
-from .encoding import FeatureEncoder
+from .boosting import Objective, boost
 
-FEATURES = "features"
-ACCURACY = 10_000
 NAMES = tuple(f"q{round(100 * q)}" for q in QUANTILES)
 
 
 class QuantileForecaster:
-    """q10, q50 and q90 of the forward return, sorted within each row: means over the trees of their leaves' quantiles.
+    """q10, q50 and q90 of the forward return, sorted within each row: one boosted ensemble each, grown side by side.
 
-    Trees grow together. One job places the training rows in all trees and folds each (tree, leaf) to a sketch, with
-    map-side combine, so a leaf may hold any share of the rows. The table of leaves (trees x 2^depth rows at most) enters the
-    prediction as one constant: its plan has the same size for any number of trees.
+    Trees follow the gradient of the pinball loss; their leaves are refitted to the quantile of the residuals there, from counts of
+    binned residuals over all rows.
     """
 
     def __init__(self, columns: tuple[str, ...], config: BoostConfig = BoostConfig(min_rows_per_leaf=200)):
@@ -31,34 +24,10 @@ class QuantileForecaster:
 
     def fit(self, train: DataFrame) -> QuantileForecaster:
         rows = train.na.drop(subset=[TARGET])
-        self.encoder = FeatureEncoder.fit(rows, self.columns)
-        encoded = self.encoder.transform(rows).select(FEATURES, TARGET)
-        self.forest = RandomForestRegressor(
-            featuresCol=FEATURES,
-            labelCol=TARGET,
-            predictionCol="_hat",
-            leafCol="_leaves",
-            numTrees=self.config.rounds,
-            maxDepth=self.config.depth,
-            minInstancesPerNode=self.config.min_rows_per_leaf,
-            seed=self.config.seed,
-        ).fit(encoded)
-        placed = self.forest.transform(encoded).select(TARGET, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
-        sketch = F.percentile_approx(TARGET, F.array(*[F.lit(q) for q in QUANTILES]), ACCURACY)
-        found = placed.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(sketch.alias("q")).collect()
-        self.width = 1 + max(r["leaf"] for r in found)
-        self.leaves = [[0.0] * len(QUANTILES) for _ in range(self.width * self.config.rounds)]
-        for r in found:
-            self.leaves[r["tree"] * self.width + r["leaf"]] = list(r["q"])
+        self.model = boost(rows, self.columns, {"_y": F.col(TARGET)}, Objective("quantile", len(QUANTILES), QUANTILES), self.config)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        table = F.from_json(F.lit(json.dumps(self.leaves)), "array<array<double>>")
         kept = [c for c in rows.columns if c not in NAMES]
-        placed = self.forest.transform(self.encoder.transform(rows.select(*kept))).withColumn("_at", vector_to_array("_leaves"))
-        # A row without a leaf in some tree's training rows cannot occur: every leaf of a fitted tree holds some.
-        found = F.transform("_at", lambda leaf, tree: F.get(table, tree * self.width + leaf.cast("int")))
-        placed = placed.withColumn("_found", found)
-        mean = lambda i: F.aggregate("_found", F.lit(0.0), lambda s, x: s + x[i]) / float(self.config.rounds)
-        scored = placed.withColumns({name: mean(i) for i, name in enumerate(NAMES)})
-        return scored.select(*kept, *sorted_quantiles(*NAMES))
+        scored = rows.select(*kept, self.model.column().alias("_q"))
+        return scored.withColumns({n: F.col("_q")[i] for i, n in enumerate(NAMES)}).select(*kept, *sorted_quantiles(*NAMES))
