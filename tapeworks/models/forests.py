@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import threshold_flag
-from ..runtime import materialize
+from ..runtime import materialize, runs_at_once
 
 # Predictors of the first model, and the probability from which a rise is called.
 RAW_PREDICTORS = ("close", "volume", "open", "high", "low")
@@ -55,14 +53,16 @@ def expanding_backtest(
     trees: int = 200,
     min_split: int = 50,
 ) -> DataFrame:
-    """Refit on all earlier rows every ``step`` rows from ``start`` on, and predict the next ``step``."""
+    """Refit on all earlier rows every ``step`` rows from ``start`` on, and predict the next ``step``; refits run side by side."""
     rows = materialize(numbered(daily.na.drop(subset=list(predictors))))  # read by every refit
     n = (rows.agg(F.max("row_no")).first()[0] or 0) + 1
-    parts = []
-    for first in range(start, n, step):
-        test = rows.filter(F.col("row_no").between(first, first + step - 1))
-        scored = fit_predict(rows.filter(F.col("row_no") < first), test, predictors, trees, min_split)
-        parts.append(scored.withColumn("prediction", threshold_flag(F.col("p_up"), CALL_FLOOR)))
-    if not parts:
+    firsts = range(start, n, step)
+    if not firsts:
         raise ValueError(f"{n} rows are too few for a first prediction at row {start}")
-    return reduce(DataFrame.unionByName, parts)
+
+    def refit(first: int) -> DataFrame:
+        test = rows.filter(F.col("row_no").between(first, first + step - 1))
+        return fit_predict(rows.filter(F.col("row_no") < first), test, predictors, trees, min_split)
+
+    scored = runs_at_once(firsts, refit, "first_row").drop("first_row")
+    return scored.withColumn("prediction", threshold_flag(F.col("p_up"), CALL_FLOOR))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,7 +18,7 @@ from ..operators.folds import CALIBRATE, TEST, TRAIN, fold_bounds, walk_forward_
 from ..operators.metrics import class_prior, classifier_metrics, compare_rankers, forecast_metrics
 from ..operators.trades import thin_events, trade_summary
 from ..operators.windows import session_windows, stored_grid
-from ..runtime import bounded_broadcast, materialize
+from ..runtime import bounded_broadcast, materialize, runs_at_once
 from ..sources.calendar import SESSION_BOUND
 from .comparisons import arm_compare, arm_curves, arm_trades, slice_ablation
 from .feature_tables import BAR_FEATURES, SESSION_FEATURES, bar_feature_table, session_feature_table
@@ -70,11 +69,11 @@ def prepare(bars: DataFrame, calendar: DataFrame, config: StudyConfig, tagged: D
     )
 
 
-def walk_forward_run(fold_ids: list[int], run_fold: Callable[[int], DataFrame]) -> DataFrame:
-    """Run a fold function per fold and stack its result rows; folds are few, the data of each is distributed."""
+def walk_forward_run(fold_ids: list[int], run_fold: Callable[[int], DataFrame], in_flight: int = 4) -> DataFrame:
+    """Run a fold function for each fold, several at once, and give its rows with their fold_id as one written table."""
     if not fold_ids:
         raise ValueError("no folds fit in the requested range")
-    return reduce(DataFrame.unionByName, [run_fold(k).withColumn("fold_id", F.lit(k)) for k in fold_ids])
+    return runs_at_once(fold_ids, run_fold, "fold_id", in_flight)
 
 
 def segment_rows(rows: DataFrame, study: Study, fold: int, segment: str) -> DataFrame:
@@ -153,14 +152,14 @@ def end_to_end_backtest(study: Study) -> BacktestResult:
     """All folds: candidates, forecasts on candidate sessions only, decisions, thinning, summaries, stitched curve."""
     config = study.config
 
-    picked = materialize(walk_forward_run(study.fold_ids, lambda k: fold_candidates(study, k)))
+    picked = walk_forward_run(study.fold_ids, lambda k: fold_candidates(study, k))
 
     def decided(fold: int) -> DataFrame:
         listed = picked.filter(F.col("fold_id") == fold).select(*SESSION)
         rows = study.bars.join(listed, list(SESSION), "left_semi")
         return decide(forecast(study, fold, rows), config.costs, config.decisions)
 
-    rows = materialize(walk_forward_run(study.fold_ids, decided))
+    rows = walk_forward_run(study.fold_ids, decided)
     trades = materialize(thin_events(rows, config.costs, "fold_id"))
     test_days = study.folds.filter(F.col("segment") == TEST).groupBy("fold_id").agg(F.count_distinct("date").alias("n_days"))
     chosen = picked.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("date").alias("candidate_days"))
@@ -195,13 +194,13 @@ def bar_model_metrics(study: Study, fold: int) -> DataFrame:
 
 def breakout_study(study: Study, rth: DataFrame, breakout: BreakoutConfig = BreakoutConfig()) -> tuple[DataFrame, Curve]:
     """Breakouts on all test sessions against those on the scored watchlist: summaries per (fold, arm), and curves."""
-    listed = materialize(walk_forward_run(study.fold_ids, lambda k: fold_watchlist(study, k)))
+    listed = walk_forward_run(study.fold_ids, lambda k: fold_watchlist(study, k))
     trades = materialize(arm_trades(rth, listed, study.folds, breakout, study.config.costs))
     return arm_compare(trades, study.folds), arm_curves(trades, study.config.risk)
 
 
 def ablation_study(study: Study) -> tuple[DataFrame, DataFrame]:
     """One forecaster per fold, judged on all test rows and on candidate rows: forecast metrics and trade summaries."""
-    picked = materialize(walk_forward_run(study.fold_ids, lambda k: fold_candidates(study, k)))
+    picked = walk_forward_run(study.fold_ids, lambda k: fold_candidates(study, k))
     rows = walk_forward_run(study.fold_ids, lambda k: forecast(study, k, segment_rows(study.bars, study, k, TEST)))
-    return slice_ablation(materialize(rows), picked, study.config.costs, study.config.decisions)
+    return slice_ablation(rows, picked, study.config.costs, study.config.decisions)

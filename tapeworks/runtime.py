@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # A broadcast side must be provably below this many bytes; the bound comes from the calendar or a config,
 # never from a guess about the data.
@@ -53,3 +57,30 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def runs_at_once(keys: Sequence[int], run: Callable[[int], DataFrame], name: str, in_flight: int = 4) -> DataFrame:
+    """The rows of ``run(key)`` for every key, with the key as column ``name``; at most ``in_flight`` keys at a time.
+
+    Each key's jobs (fits included) come from a thread of their own, in a scheduler pool of their own where the cluster shares
+    fairly. Its rows go to a folder of their own in the shared folder, so a lost executor costs the tasks it ran and the result is one scan,
+    whatever the number of keys. All keys give the same columns. The first failure ends the run.
+    """
+    spark = SparkSession.active()
+    path = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+
+    def one(place: int, key: int) -> StructType:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{place % in_flight}")
+        rows = run(key).drop(name)
+        rows.write.parquet(f"{path}/{name}={key}")
+        return rows.schema
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(one), i, k) for i, k in enumerate(keys)]
+        try:
+            schemas = [w.result() for w in waiting]
+        except BaseException:
+            for w in waiting:
+                w.cancel()
+            raise
+    return spark.read.schema(StructType([*schemas[0].fields, StructField(name, IntegerType())])).parquet(path)
