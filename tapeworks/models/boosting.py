@@ -27,7 +27,7 @@ BLOCK = 1 << 17  # rows of a block
 FAN_IN = 16  # partial sums that reach the driver
 CUT_EVERY = 20  # rounds after which scores are written
 _CHUNK = 1 << 13
-LEAST_CURVATURE = 1e-3
+LEAST_CURVATURE, LEAST_GAIN = 1e-3, 1e-12
 _BLOCK = "part int, bins binary, y binary, scores binary"
 
 
@@ -39,10 +39,11 @@ class Objective:
     heads: int
     quantiles: tuple[float, ...] = ()
 
-    def gradients(self, y: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gradients(self, y: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Slope and curvature of the loss; no curvature stands for 1 everywhere."""
         if self.kind == "quantile":
             q = np.array(self.quantiles)[:, None]
-            return np.where(y > scores, -q, 1 - q), np.ones_like(scores)
+            return np.where(y > scores, -q, 1 - q), None
         p = probabilities(self.kind, scores)
         return p - y, p * (1 - p)
 
@@ -86,19 +87,24 @@ class Trees:
         return np.take_along_axis(self.value, self.leaves(bins, depth), axis=1)
 
 
-def level_histogram(bins: np.ndarray, node: np.ndarray, level: int, gradients: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Gradient, curvature and rows of each (head, node of the level, feature, bin); rows in leaves above do not count."""
-    heads, features, width = len(node), bins.shape[1], 2**level
-    total = np.zeros((3, heads * width * features * BINS))
-    for start in range(0, bins.shape[0], _CHUNK):
-        part = slice(start, start + _CHUNK)
-        slot = node[:, part] - (width - 1)
-        head, row = np.nonzero(slot >= 0)
-        place = (head * width + slot[head, row])[:, None] * features + np.arange(features)
-        place = (place * BINS + bins[part][row]).ravel()
-        for k, weight in enumerate(gradients):
-            total[k] += np.bincount(place, np.repeat(weight[:, part][head, row], features), total.shape[1])
-        total[2] += np.bincount(place, minlength=total.shape[1])
+def level_histogram(bins: np.ndarray, node: np.ndarray, wanted: np.ndarray, gradients: tuple[np.ndarray, np.ndarray | None]) -> np.ndarray:
+    """Slope, curvature and rows of each (head, node of the level, feature, bin), for the wanted nodes."""
+    (heads, width), features = wanted.shape, bins.shape[1]
+    slope, curvature = gradients
+    total = np.zeros((3, heads, width * features * BINS))
+    columns = np.arange(features) * BINS
+    for head in range(heads):
+        slot = node[head] - (width - 1)
+        rows = np.flatnonzero(np.where(slot >= 0, wanted[head][slot], False))
+        for start in range(0, len(rows), _CHUNK):
+            part = rows[start : start + _CHUNK]
+            place = (bins[part] + (columns + (slot[part] * (features * BINS))[:, None])).ravel()
+            total[0, head] += np.bincount(place, np.repeat(slope[head, part], features), total.shape[2])
+            total[2, head] += np.bincount(place, minlength=total.shape[2])
+            if curvature is not None:
+                total[1, head] += np.bincount(place, np.repeat(curvature[head, part], features), total.shape[2])
+    if curvature is None:
+        total[1] = total[2]
     return total.reshape(3, heads, width, features, BINS)
 
 
@@ -122,45 +128,66 @@ def quantile_of_counts(counts: np.ndarray, edges: np.ndarray, q: float) -> np.nd
     return np.where(below[:, -1] > 0, low + share * (high - low), 0.0)
 
 
-def split_level(trees: Trees, level: int, hist: np.ndarray, leaves: np.ndarray, config: BoostConfig) -> bool:
-    """Choose the best split of each node of a level, most gainful first while leaves are left; true if any node splits."""
+def split_level(trees: Trees, hist: np.ndarray, leaves: np.ndarray, config: BoostConfig) -> list[tuple[int, int, int]]:
+    """Choose the best split of each node of a level, most gainful first while leaves are left.
+
+    Gives (head, node, 0 or 1 for the child with fewer rows), nodes numbered within the level.
+    """
     heads, width = hist.shape[1:3]
-    sums = np.cumsum(hist[..., 1:], axis=-1)[..., :-1]  # known rows up to each bin
-    unknown, whole = hist[..., :1], hist.sum(axis=-1, keepdims=True)
-    gains = []
-    for left in (sums, sums + unknown):
-        right = whole - left
-        fits = (np.minimum(left[2], right[2]) >= config.min_rows_per_leaf) & (np.minimum(left[1], right[1]) >= LEAST_CURVATURE)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[0] ** 2 / left[1] + right[0] ** 2 / right[1] - whole[0] ** 2 / whole[1]
-        gains.append(np.where(fits, gain, 0.0))
-    flat = np.stack(gains, axis=2).reshape(heads, width, -1)
-    best = flat.argmax(axis=-1)
-    gain = np.take_along_axis(flat, best[..., None], axis=-1)[..., 0]
-    side, feature, edge = np.unravel_index(best, (2, *sums.shape[-2:]))
-    any_split = False
-    for head in range(heads):
-        for k in np.argsort(-gain[head], kind="stable")[: max(0, int(config.leaves - leaves[head]))]:
-            if gain[head, k] <= 1e-12:
-                break
-            node = width - 1 + k
-            f, b, s = feature[head, k], edge[head, k], side[head, k]
-            trees.feature[head, node], trees.bin[head, node], trees.unknown_left[head, node] = f, b + 1, bool(s)
-            left = (sums + unknown if s else sums)[:, head, k, f, b]
-            for child, (g, h, _) in ((2 * node + 1, left), (2 * node + 2, whole[:, head, k, f, 0] - left)):
-                trees.value[head, child] = -g / max(h, LEAST_CURVATURE)
-            leaves[head] += 1
-            any_split = True
-    return any_split
+    head_of, node_of = np.nonzero(hist[2, :, :, 0, :].sum(axis=-1) >= max(1, 2 * config.min_rows_per_leaf))
+    if not len(head_of):
+        return []
+    here = hist[:, head_of, node_of]  # slope, curvature, rows of (open node, feature, bin)
+    sums = np.cumsum(here[..., 1:], axis=-1)[..., :-1]  # known rows up to each bin
+    unknown, whole = here[..., :1], here[:, :, :1].sum(axis=-1, keepdims=True)
+    sides = [sums, sums + unknown] if unknown.any() else [sums]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        base = whole[0] ** 2 / whole[1]
+        gains = []
+        for left in sides:
+            right = whole - left
+            gain = left[0] ** 2 / left[1] + right[0] ** 2 / right[1] - base
+            fits = (np.minimum(left[2], right[2]) >= config.min_rows_per_leaf) & (np.minimum(left[1], right[1]) >= LEAST_CURVATURE)
+            gains.append(np.where(fits, gain, 0.0))
+    flat = np.stack(gains, axis=1).reshape(len(head_of), -1)
+    best = flat.argmax(axis=1)
+    gain = flat[np.arange(len(flat)), best]
+    side, feature, edge = np.unravel_index(best, (len(sides), *sums.shape[-2:]))
+    done = []
+    for i in np.argsort(-gain, kind="stable").tolist():
+        head, k = int(head_of[i]), int(node_of[i])
+        if gain[i] <= LEAST_GAIN or leaves[head] >= config.leaves:
+            continue
+        node = width - 1 + k
+        f, b, s = feature[i], edge[i], side[i]
+        trees.feature[head, node], trees.bin[head, node], trees.unknown_left[head, node] = f, b + 1, bool(s)
+        left = sides[s][:, i, f, b]
+        right = whole[:, i, 0, 0] - left
+        for child, (g, h, _) in ((2 * node + 1, left), (2 * node + 2, right)):
+            trees.value[head, child] = -g / max(h, LEAST_CURVATURE)
+        leaves[head] += 1
+        done.append((head, k, int(left[2] > right[2])))
+    return done
 
 
 def grow(objective: Objective, config: BoostConfig, histogram: Callable, counts: Callable, edges: np.ndarray | None) -> Trees:
-    """One tree for each head. ``histogram(trees, level)`` and ``counts(trees)`` add up over all rows of the fit."""
+    """One tree for each head. ``histogram(trees, level, wanted)`` and ``counts(trees)`` add up over all rows of the fit.
+
+    Of two children only the one with fewer rows is counted; the other is what remains of their parent.
+    """
     trees = Trees.empty(objective.heads, config.depth)
     leaves = np.ones(objective.heads)
-    for level in range(config.depth):
-        if not split_level(trees, level, histogram(trees, level), leaves, config):
+    hist = histogram(trees, 0, np.ones((objective.heads, 1), dtype=bool))
+    for level in range(1, config.depth + 1):
+        splits = split_level(trees, hist, leaves, config)
+        if not splits or level == config.depth:
             break
+        wanted = np.zeros((objective.heads, 2**level), dtype=bool)
+        for head, k, less in splits:
+            wanted[head, 2 * k + less] = True
+        parents, hist = hist, histogram(trees, level, wanted)
+        for head, k, less in splits:
+            hist[:, head, 2 * k + 1 - less] = parents[:, head, k] - hist[:, head, 2 * k + less]
     if objective.kind == "quantile":
         found = counts(trees)
         for head, q in enumerate(objective.quantiles):
@@ -176,10 +203,10 @@ def fit_block(bins: np.ndarray, y: np.ndarray, start: np.ndarray, objective: Obj
         gradients = objective.gradients(y, scores)
         node = np.zeros(scores.shape, dtype=np.int64)
 
-        def histogram(trees: Trees, level: int) -> np.ndarray:
+        def histogram(trees: Trees, level: int, wanted: np.ndarray) -> np.ndarray:
             nonlocal node
             node = trees.step(bins, node) if level else node
-            return level_histogram(bins, node, level, gradients)  # noqa: B023
+            return level_histogram(bins, node, wanted, gradients)  # noqa: B023
 
         def counts(trees: Trees) -> np.ndarray:
             return residual_counts(y - scores, trees.leaves(bins, config.depth), trees.value.shape[1], edges)  # noqa: B023
@@ -263,12 +290,12 @@ def fit_blocks(blocks: DataFrame, features: int, objective: Objective, config: B
 
             blocks, pending = written(blocks.mapInArrow(advance, _BLOCK)), []
 
-        def histogram(trees: Trees, level: int) -> np.ndarray:
+        def histogram(trees: Trees, level: int, wanted: np.ndarray) -> np.ndarray:
             def value(bins, y, scores, before=tuple(pending)):
                 node = np.zeros(scores.shape, dtype=np.int64)
                 for _ in range(level):
                     node = trees.step(bins, node)
-                return level_histogram(bins, node, level, objective.gradients(y, scored(bins, scores, before)))
+                return level_histogram(bins, node, wanted, objective.gradients(y, scored(bins, scores, before)))
 
             return _sum_over_blocks(blocks, value, (3, heads, 2**level, features, BINS), features, heads)  # noqa: B023
 
