@@ -32,7 +32,7 @@ def new_articles(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return new_rows(existing, require_instants(incoming, "published_ts", "available_ts"), NEWS_KEY)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or None if there is none yet; a table that cannot be read is an error."""
     try:
         return spark.read.parquet(path)
@@ -44,7 +44,7 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 def _append(spark: SparkSession, path: str, incoming: DataFrame, key: tuple[str, ...], instant: str) -> int:
     rows = incoming.withColumn("date", F.to_date(local_time(F.col(instant))))
-    table = _stored(spark, path)
+    table = stored(spark, path)
     if table is None:
         fresh = rows.dropDuplicates(list(key))
     else:
