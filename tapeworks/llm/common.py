@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,19 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20)
             start = stop
 
 
+def where(docs: DataFrame, text: Column, judge: Callable[[list[bytes | None]], np.ndarray], limit: int = 1 << 20) -> DataFrame:
+    """The rows whose text is kept by ``judge``, which sees about ``limit`` bytes at a time: only the text goes to Python, a flag comes back."""
+
+    @F.arrow_udf("boolean")
+    def stay(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            batch = pa.RecordBatch.from_arrays([array], names=["t"])
+            flags = [np.zeros(0, dtype=bool), *(judge(part.column(0).to_pylist()) for part in blocks(iter([batch]), 0, limit))]
+            yield pa.array(np.concatenate(flags))
+
+    return docs.filter(stay(text))
+
+
 def word_runs(data: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text in order, in lists that cover about ``limit`` bytes each; one empty list for a blank text."""
     if len(data) <= limit:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import as_id, blocks, crc_of_id, id_or_none, whole_text
+from .common import as_id, blocks, crc_of_id, id_or_none, whole_text, where
 
 UNKNOWN = "und"
 SAMPLE = 256  # labelled rows a language, in SALTS parts
@@ -300,16 +300,12 @@ def in_a_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     below twice the even share where that is less, so that more labels make it no stricter.
     """
     tagger = train(docs)
-    limit, names = _limit(tagger), docs.columns
     least = min(min_score, 2 / max(1, len(tagger.labels)))
-    rows = docs.select(_letters(), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 0, limit):
-            texts = batch.column(0).to_pylist()
-            stay = np.array([t is not None and bool(tagger.labels) for t in texts])
-            if tagger.labels:
-                stay &= tagger.means([t or b"" for t in texts])[1] >= least - 1e-9
-            yield batch.filter(pa.array(stay))
-
-    return rows.mapInArrow(run, rows.schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+    def fits(texts: list[bytes | None]) -> np.ndarray:
+        stay = np.array([t is not None and bool(tagger.labels) for t in texts])
+        if tagger.labels:
+            stay &= tagger.means([t or b"" for t in texts])[1] >= least - 1e-9
+        return stay
+
+    return where(docs, _letters(), fits, _limit(tagger))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_id, blocks, id_or_none, whole_text
+from .common import as_id, blocks, id_or_none, whole_text, where
 
 Q = 8  # one gram is eight bytes, which is one machine word
 PIECE = 100
@@ -289,16 +289,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no passage of the benchmark, with their own columns; rows are judged one by one, in place."""
-    names = docs.columns
-    rows = docs.select(_folded(docs), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
     for index in _indexes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index: GramIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in blocks(batches, 0):
-                texts = [b" ".join(t.split()) for t in batch.column(0).to_pylist()]
-                stay = np.ones(len(texts), dtype=bool)
-                stay[[k for k, *_ in index.find(texts)]] = False
-                yield batch.filter(pa.array(stay))
+        def clean(texts: list[bytes], index: GramIndex = index) -> np.ndarray:
+            stay = np.ones(len(texts), dtype=bool)
+            stay[[k for k, *_ in index.find([b" ".join(t.split()) for t in texts])]] = False
+            return stay
 
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+        docs = where(docs, _folded(docs), clean)
+    return docs

@@ -188,8 +188,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component of fingerprints, the one with the least doc_id (a null one first), with its own columns.
 
     Only texts link rows: those that share a doc_id, or have none, stay or go like any others. Of rows with the same
-    doc_id and text one stays. The choice is a minimum over ids and text hashes; texts move once, and what is the same
-    within a task is dropped before.
+    doc_id and text one stays. The choice is a minimum over ids and text hashes; texts move once, by both.
     """
     text, names = whole_text(), ["_own", "_own1", "_own2"]
     own = [id_or_none().alias("_own"), F.xxhash64(text).alias("_own1"), F.xxhash64(F.lit(1), text).alias("_own2")]
@@ -197,5 +196,5 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     nodes = keep(rows.groupBy("print").agg(F.min(F.struct(*names)).alias("least")))
     groups = components(links(nodes.select("print", F.col("print").alias("low")), radius))
     named = nodes.join(groups, nodes["print"] == groups["node"], "left").groupBy(F.coalesce("component", "print")).agg(F.min("least").alias("least"))
-    once = docs.select("*", *own).dropDuplicates(names)
-    return once.join(named.select("least.*"), names, "left_semi").select(*docs.columns)
+    # The join leaves rows in the order of their names, so that repeated ones drop out without another sort of texts.
+    return docs.select("*", *own).join(named.select("least.*"), names, "left_semi").dropDuplicates(names).select(*docs.columns)
