@@ -160,16 +160,26 @@ def end_to_end_backtest(study: Study) -> BacktestResult:
         return decide(forecast(study, fold, rows), config.costs, config.decisions)
 
     rows = walk_forward_run(study.fold_ids, decided)
-    trades = materialize(thin_events(rows, config.costs, "fold_id"))
-    test_days = study.folds.filter(F.col("segment") == TEST).groupBy("fold_id").agg(F.count_distinct("date").alias("n_days"))
+    return stitched(rows, picked, study.folds, config.costs, config.risk, {"study": config})
+
+
+def stitched(
+    rows: DataFrame, picked: DataFrame, folds: DataFrame, costs: CostModel = CostModel(), risk: RiskConfig = RiskConfig(), settings: dict | None = None
+) -> BacktestResult:
+    """What the decided ``rows`` (with fold_id) of all folds come to: trades, counters per fold, totals, one curve and the record.
+
+    ``picked`` (fold_id, ticker, date) are the candidates that the rows come from. A fold without decisions still reports.
+    """
+    trades = materialize(thin_events(rows, costs, "fold_id"))
+    test_days = folds.filter(F.col("segment") == TEST).groupBy("fold_id").agg(F.count_distinct("date").alias("n_days"))
     chosen = picked.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("date").alias("candidate_days"))
     counts = rows.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_decision_rows"))
     known = test_days.join(counts, "fold_id", "left").join(chosen, "fold_id", "left")
     universe = known.fillna(0, ["n_decision_rows", "n_candidates", "candidate_days"])
     counters = universe.select("fold_id", "n_days", "n_candidates", "candidate_days")
     summary = trade_summary(trades, universe, "fold_id").join(counters, "fold_id")
-    record = experiment_record("end_to_end_backtest", fold_bounds(study.folds), summary, RECORDED, {"study": config})
-    curve = realised_curve(trades.withColumn("run_id", F.lit("stitched")), config.risk)
+    record = experiment_record("end_to_end_backtest", fold_bounds(folds), summary, RECORDED, settings or {})
+    curve = realised_curve(trades.withColumn("run_id", F.lit("stitched")), risk)
     return BacktestResult(trades, summary, fold_totals(summary), curve, record)
 
 
