@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,9 +12,11 @@ from tapeworks.operators.folds import TEST, tag_folds
 from tapeworks.operators.news import bar_news, tagged_news
 from tapeworks.operators.trades import decision_universe, thin_events, trade_summary
 from tapeworks.plans.backtest import RECORDED, BacktestResult, stitched
+from tapeworks.runtime import checkpoint_dir
+from tapeworks.sources.tables import write_labels, write_trades
 
 from .fixtures import Fixture
-from .labels import fixture_folds
+from .labels import fixture_folds, fixture_labels
 from .news import wire
 from .registry import day, q6, q6s, query, r6, rounded, view
 from .trading import (
@@ -157,3 +160,27 @@ def _(fx):
 @query("news_gated_arm", "newsy_tickers", sql=f"SELECT ticker, n_trades, n_long, n_short, {q6s(*NUMBERS)} FROM newsy_tickers")
 def _(fx):
     return arm(bar_news(predictions(fx), tagged_news(wire(fx), fx.tags)), WITH_NEWS)
+
+
+# ---- sinks: written, and read back ---------------------------------------------------------------------------------------------------
+
+TRADE_FILE = "fold_id int, ticker string, date date, minute int, direction string, gross_ret double, net_ret double, q10 double"
+
+
+def _folder(fx: Fixture) -> str:
+    return f"{checkpoint_dir(fx.spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+
+
+@query("written_trades", "bt_trades", sql=f"SELECT fold_id, {KEY}, direction, {q6s('gross_ret', 'net_ret', 'q10')} FROM bt_trades")
+def _(fx):
+    path = _folder(fx)
+    write_trades(naive_backtest(fx).trades, path)
+    back = fx.spark.read.schema(TRADE_FILE).option("header", True).csv(path)
+    return back.select("fold_id", "ticker", day(), "minute", "direction", *rounded("gross_ret", "net_ret", "q10"))
+
+
+@query("written_labels", "labelled", sql="SELECT ticker, CAST(d AS VARCHAR) AS date, label FROM labelled")
+def _(fx):
+    path = _folder(fx)
+    write_labels(fixture_labels(fx).labels.select("ticker", "date", "label"), path)
+    return fx.spark.read.schema("ticker string, date date, label string").option("header", True).csv(path).select("ticker", day(), "label")

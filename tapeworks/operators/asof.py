@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import local_time, shift_minutes
@@ -93,13 +91,11 @@ def range_bars_asof(
     """
     low, high = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
     wanted = calendar.filter(F.col("date").between(low, high))
-    first, last = wanted.agg(F.min("open_ts"), F.max("label_ts")).first()
-    if first is None:  # no session: no row, in the schema of the others
-        first = last = dt.datetime(1970, 1, 1)
-    visible = bars.filter(F.col("date").between(low, high) & (F.col("available_ts") <= F.lit(last)))
+    # The bounds are scalar subqueries: no job runs before the plan does, and without a session they are NULL and no row passes.
+    visible = bars.filter(F.col("date").between(low, high) & (F.col("available_ts") <= wanted.agg(F.max("label_ts")).scalar()))
     if regular_only:
         return latest_revision(by_session(rth_bars(visible, wanted)), "open_min", "close_min")
-    earliest = shift_minutes(F.lit(first), -before_open_minutes)
+    earliest = wanted.agg(shift_minutes(F.min("open_ts"), -before_open_minutes)).scalar()
     return latest_revision(by_session(visible.filter(F.col("event_ts") >= earliest)))
 
 

@@ -123,11 +123,8 @@ def _decay() -> Column:
     return F.exp(-F.ln(F.lit(2.0)) / HALF_LIFE_HOURS * age_hours)
 
 
-def snapshot_news(tagged: DataFrame, calendar: DataFrame, grid: DataFrame) -> DataFrame:
-    """Pre-market news features for every (ticker, date) of ``grid``; sessions without news get zeros.
-
-    The burst ratio compares with the ticker's previous 20 grid rows (at least five).
-    """
+def session_news(tagged: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Pre-market news features of the (ticker, date) that have news."""
     visible = _stories_and_sources(cutoff_articles(tagged, calendar))
     story = F.col("kind") == STORY
     weighted = cluster_events(visible, "kind", "key").withColumns(
@@ -138,7 +135,7 @@ def snapshot_news(tagged: DataFrame, calendar: DataFrame, grid: DataFrame) -> Da
     by_type = [
         F.sum(F.when(F.col("event_type") == t, F.col("decay"))).alias(f"news_evt_{t}_w") for t in FEATURED_EVENTS
     ]
-    features = weighted.groupBy(*SESSION).agg(
+    return weighted.groupBy(*SESSION).agg(
         F.count_if(story & F.col("in_24h")).alias("news_clusters_24h"),
         F.count_if(story).alias("news_clusters_7d"),
         F.count_if(~story & F.col("in_24h")).alias("news_source_diversity"),
@@ -148,13 +145,25 @@ def snapshot_news(tagged: DataFrame, calendar: DataFrame, grid: DataFrame) -> Da
         novelty.alias("news_novelty_frac"),
         *by_type,
     )
-    wide = grid.select(*SESSION).join(features, list(SESSION), "left")
+
+
+def with_session_news(rows: DataFrame, news: DataFrame) -> DataFrame:
+    """Add the news features to one row for each session; sessions without news get zeros.
+
+    The burst ratio compares with the ticker's previous 20 rows (at least five).
+    """
+    own = [F.col(c) for c in rows.columns]
     plain = [c for c in SNAPSHOT_NEWS if c != "news_burst"]
-    filled = wide.select(*SESSION, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in plain])
+    filled = rows.join(news, list(SESSION), "left").select(*own, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in plain])
     usual = rolling_mean(F.col("news_clusters_24h"), day_order().rowsBetween(-20, -1), 5)
     return filled.withColumn("news_burst", ratio("news_clusters_24h", usual + BURST_EPS))
 
 
+def snapshot_news(tagged: DataFrame, calendar: DataFrame, grid: DataFrame) -> DataFrame:
+    """Pre-market news features for every (ticker, date) of ``grid``."""
+    return with_session_news(grid.select(*SESSION), session_news(tagged, calendar))
+
+
 def news_cells(tagged: DataFrame, minutes: int = BAR_MINUTES) -> DataFrame:
     """Article counts per (ticker, five-minute cell), a cell being named by the grid instant that ends it.
 

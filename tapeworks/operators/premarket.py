@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import BAR_LATENCY_SECONDS, CUTOFF_MINUTE, PREMARKET_MINUTE
 from ..functions.clock import premarket_usable
@@ -109,8 +109,9 @@ def build_snapshot_features(
 ) -> DataFrame:
     """One row per (ticker, session) with the price features known at the cutoff."""
 
-    def measures(part: DataFrame) -> DataFrame:
-        return premarket_measures(trailing_measures(session_days(part, calendar, cutoff)))
-
-    market = measures(bars.filter(F.col("ticker") == market_ticker))
-    return with_daily_context(measures(bars), market).select(*SESSION, *SNAPSHOT_FEATURES)
+    # The market ticker is one of the measured rows: its day is shared over one row for each ticker-day, not read again.
+    measured = premarket_measures(trailing_measures(session_days(bars, calendar, cutoff)))
+    day = Window.partitionBy("date")
+    of_market = lambda c: F.max(F.when(F.col("ticker") == market_ticker, F.col(c))).over(day)
+    rows = measured.withColumns({"spy_gap": of_market("gap"), "spy_pm_ret": of_market("pm_ret")})
+    return rows.withColumn("rel_gap", F.col("gap") - F.col("spy_gap")).select(*SESSION, *SNAPSHOT_FEATURES)

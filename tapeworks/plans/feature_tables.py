@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.rolling import SESSION
-from ..operators.asof import distinct_sessions, rth_bars
 from ..operators.intraday import PRICE_FEATURES, TARGET, build_price_features
-from ..operators.news import BAR_NEWS, SNAPSHOT_NEWS, bar_news, snapshot_news, unknown_news
+from ..operators.news import BAR_NEWS, SNAPSHOT_NEWS, bar_news, session_news, unknown_news, with_session_news
 from ..operators.premarket import SNAPSHOT_FEATURES, build_snapshot_features
 
 BAR_FEATURES = PRICE_FEATURES + BAR_NEWS
@@ -26,6 +25,4 @@ def session_feature_table(bars: DataFrame, calendar: DataFrame, tagged: DataFram
     rows = build_snapshot_features(bars, calendar)
     if tagged is None:
         return unknown_news(rows, SNAPSHOT_NEWS)
-    # The news side needs the sessions alone, which fold to one row a ticker-day before any shuffle.
-    sessions = distinct_sessions(rth_bars(bars, calendar))
-    return rows.join(snapshot_news(tagged, calendar, sessions), list(SESSION))
+    return with_session_news(rows, session_news(tagged, calendar))

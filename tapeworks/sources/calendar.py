@@ -132,8 +132,9 @@ def next_session(df: DataFrame, calendar: DataFrame, name: str = "next_session")
     asked = df.select("date", F.lit(None).cast("date").alias("session")).distinct()
     # One row per distinct date, so the ordered window holds days, not rows.
     days = known.union(asked).filter(F.col("date").isNotNull()).groupBy("date").agg(F.max("session").alias("session"))
-    later = Window.orderBy("date").rowsBetween(1, Window.unboundedFollowing)
-    return df.join(days.select("date", F.min("session").over(later).alias(name)), "date", "left")
+    # Latest first, so the next session is a running value.
+    later = Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(days.select("date", F.last("session", ignorenulls=True).over(later).alias(name)), "date", "left")
 
 
 def premarket_cutoff(df: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ FOLDER = "/root/testdata/sf0.001"
 CROSS_SECTION = (
     "session_calendar", "session_bars_asof", "read_news_pages", "build_windows", "fold_labels", "label_stability", "price_features",
     "snapshot_features", "trend_features", "cluster_articles", "bar_news", "snapshot_news", "run_breakout", "strategy_sweep",
-    "thin_events", "breakout_replay", "compare_rankers", "slice_trades",
+    "thin_events", "breakout_replay", "compare_rankers", "slice_trades", "asof_join_within", "bootstrap_means", "feature_drift", "strongest_trips",
+    "deflated_sharpe", "published_articles", "backtest_record", "backtest_curve", "news_gated_arm", "written_trades",
 )
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="generated tables are not mounted")
 
