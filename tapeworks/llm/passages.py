@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,7 +185,7 @@ def _judge_shard(group: pa.Table) -> pa.Table:
     return group.select(["key", "sub", "low", "wins"]).append_column("mask", pa.array(mask))
 
 
-def halves(words: list[bytes], lead: int, core: int) -> Iterator[tuple[int, int, int, int, int]]:
+def halves(words: list[bytes] | bytes, lead: int, core: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Split the windows over a core in two: by whether they go on behind it or begin before it for about half of the rest.
 
     Yields first and last word + 1 of what such windows cover, and the lead and first and last word + 1 of their longer core.
@@ -201,29 +201,35 @@ def halves(words: list[bytes], lead: int, core: int) -> Iterator[tuple[int, int,
             yield first, stop, lead - half - 1 - first, lead - half - 1, lead + core
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = lambda seed, words: xxhash.xxh3_64_intdigest(b" ".join(words), seed) - (1 << 63)
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            words = row["text"].split()
-            for first, stop, lead, begin, end in halves(words, row["lead"], row["core"]):
-                rows.append((
-                    row["key"], row["sub"], row["low"], row["high"], first, digest(end - begin, words[begin:end]), digest(lead, words[first:stop]),
-                    lead, end - begin, stop - first - LENGTH + 1, b" ".join(words[first:stop]),
-                ))
-        if rows:
-            types = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.binary()]
-            names = ["parent", "parent_sub", "low", "high", "off", "key", "sub", "lead", "core", "wins", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-
-def _full(wins: str) -> Column:
+def _splitter(spaced: bool) -> Callable:
+    """Halves of rows whose texts are words, or bytes if they are not ``spaced``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda seed, text: xxhash.xxh3_64_intdigest(text, seed) - (1 << 63)
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                units = row["text"].split() if spaced else row["text"]
+                for first, stop, lead, begin, end in halves(units, row["lead"], row["core"]):
+                    core, text = (b" ".join(u) if spaced else u for u in (units[begin:end], units[first:stop]))
+                    rows.append((
+                        row["key"], row["sub"], row["low"], row["high"], first, digest(end - begin, core), digest(lead, text),
+                        lead, end - begin, stop - first - LENGTH + 1, text,
+                    ))
+            if rows:
+                types = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.binary()]
+                names = ["parent", "parent_sub", "low", "high", "off", "key", "sub", "lead", "core", "wins", "text"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return run
+
+
+def full(wins: str) -> Column:
     return F.expr(f"shiftleft(1L, {wins}) - 1")
 
 
-def _decide(level: DataFrame) -> DataFrame:
-    """(key, sub, low, wins, mask) of the rows of a written table, one row for each key and sub.
+def decide(level: DataFrame, judge: Callable = _judge_shard, spaced: bool = True) -> DataFrame:
+    """(key, sub, low, wins, mask) of the rows of a written table, one row for each key and sub, as ``judge`` finds them in a shard.
 
     Keys are dealt to shards of about SHARD texts. A key that more than CROWD different texts share is not: its rows are split in
     two by longer keys, whose equal texts fall together, and those that two documents share are decided in the same way. A
@@ -237,18 +243,18 @@ def _decide(level: DataFrame) -> DataFrame:
         ready = level.join(few, "key", "left_anti")
     shards = max(1, -(-level.count() // SHARD))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    result = ready.groupBy(shard).applyInArrow(_judge_shard, "key long, sub long, low long, wins int, mask long")
+    result = ready.groupBy(shard).applyInArrow(judge, "key long, sub long, low long, wins int, mask long")
     if not crowded:
         return result
     child = "parent long, parent_sub long, low long, high long, off int, key long, sub long, lead int, core int, wins int, text binary"
-    parts = table(level.join(few, "key", "left_semi").select("key", "sub", "low", "high", "lead", "core", "text").mapInArrow(_split, child))
+    parts = table(level.join(few, "key", "left_semi").select("key", "sub", "low", "high", "lead", "core", "text").mapInArrow(_splitter(spaced), child))
     same = parts.groupBy("key", "sub").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), *(F.first(c).alias(c) for c in ("lead", "core", "wins", "text"))
     )
     shared = parts.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low < _high").select("key")
-    below = _decide(table(same.join(shared, "key").select("key", "sub", "low", "high", "lead", "core", "wins", "text")))
+    below = decide(table(same.join(shared, "key").select("key", "sub", "low", "high", "lead", "core", "wins", "text")), judge, spaced)
     below = below.select("key", "sub", F.col("low").alias("_low"), "mask")
-    mask = F.when(F.col("low") > F.col("_low"), _full("wins")).otherwise(F.col("mask"))
+    mask = F.when(F.col("low") > F.col("_low"), full("wins")).otherwise(F.col("mask"))
     joined = parts.select("parent", "parent_sub", "low", "off", "key", "sub", "wins").join(below, ["key", "sub"])
     found = joined.withColumn("mask", mask).groupBy("parent", "parent_sub").agg(F.bit_or(F.expr("shiftleft(mask, off)")).alias("mask"))
     found = found.select(F.col("parent").alias("key"), F.col("parent_sub").alias("sub"), "mask")
@@ -323,8 +329,8 @@ def drop_passages(docs: DataFrame) -> DataFrame:
     level = named.join(fetched, ["anchor", "around"]).select(
         F.col("anchor").alias("key"), F.col("around").alias("sub"), "low", "high", "lead", F.lit(ANCHOR).alias("core"), "wins", "text"
     )
-    judged = _decide(table(level)).select(F.col("key").alias("anchor"), F.col("sub").alias("around"), "low", "wins", "mask")
-    mask = F.when(F.col("_id") > F.col("low"), _full("wins")).otherwise(F.col("mask")).alias("mask")
+    judged = decide(table(level)).select(F.col("key").alias("anchor"), F.col("sub").alias("around"), "low", "wins", "mask")
+    mask = F.when(F.col("_id") > F.col("low"), full("wins")).otherwise(F.col("mask")).alias("mask")
     marks = shared.join(judged, ["anchor", "around"]).select("_id", "tag", "around", mask).filter("mask != 0")
     per_text = marks.groupBy("_id", "tag").agg(F.collect_list(F.struct("around", "mask")).alias("marks"))
     listed = (F.coalesce(F.col(f"marks.{c}"), F.array().cast("array<long>")).alias(c) for c in ("around", "mask"))

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import as_id, binary_text, blocks, id_or_none, table, whole_text
 from .lyndon import suffix_array
+from .passages import decide, full
 
 LENGTH = 50
 ANCHOR = 16  # bytes of an anchor; each passage of LENGTH bytes has exactly one
 SPAN = LENGTH - ANCHOR  # how far an anchor may stand from its passage's start
 BUCKET_BYTES = 6 << 20  # of text whose anchors share a bucket, and a task's text before it hands on anchors
 BLOCK = 2048  # contexts of one block
-CROWD = 4096  # an anchor with more contexts than this is compared by passage instead
-SALTS = 8
+CROWD = 2048  # an anchor with more contexts than this is split by the bytes next to it
 _NONE = np.iinfo(np.int64).max
 _SLICE = 1 << 19
 _CALL = 2 << 20  # bytes of segments that look for their anchors together
@@ -270,20 +270,24 @@ def _judge_block(group: pa.Table) -> pa.Table:
     return pa.table({"_id": ids[live][some], "tag": pa.array(tags, pa.int32()), "start": start, "mask": mask[some]})
 
 
-def _judge_passages(crowded: DataFrame) -> DataFrame:
-    """The same for crowded anchors: passages grouped by their bytes, however many there are."""
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(SPAN)), lambda i: F.substring("text", i + 1, F.lit(LENGTH)))
-    each = crowded.select("_id", "tag", "pos", F.posexplode(pieces).alias("at", "passage"))
-    # Of the passages that fit, those around the anchor start at most at the anchor itself.
-    each = each.filter((F.octet_length("passage") == LENGTH) & (F.col("at") <= F.col("pos")))
-    # A passage may stand in any share of the rows: its ids are combined first, and it meets the rows in SALTS parts. Those
-    # of one document are dropped before, as they mark nothing.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    lows = each.groupBy("passage").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).filter(F.col("low") < F.col("high")).select("passage", "low", salts)
-    salted = each.withColumn("salt", F.pmod(F.xxhash64("_id", "pos"), F.lit(SALTS)).cast("int"))
-    gone = salted.join(lows, ["passage", "salt"]).filter(F.col("low") < F.col("_id"))
-    mask = F.bit_or(F.expr("shiftleft(1L, at)"))
-    return gone.groupBy("_id", "tag", "pos").agg(mask.alias("mask")).select("_id", "tag", _start(), "mask")
+def _judge_shard(group: pa.Table) -> pa.Table:
+    """(key, sub, low, wins, mask): which passages of each text an earlier document holds, by one suffix array over the shard."""
+    low = np.asarray(group["low"])
+    least = _passage_owners(group["text"].to_pylist(), low)
+    mask = (least < low[:, None]) @ (np.int64(1) << np.arange(SPAN + 1, dtype=np.int64))
+    return group.select(["key", "sub", "low", "wins"]).append_column("mask", pa.array(mask))
+
+
+def _judge_crowded(crowded: DataFrame) -> DataFrame:
+    """The same for crowded anchors: they are split by the bytes next to them until few contexts share what they are dealt by."""
+    wins = (F.octet_length("text") - (LENGTH - 1)).alias("wins")
+    rows = crowded.select(
+        "_id", "tag", "pos", F.col("name").cast("long").alias("key"), F.least("pos", F.lit(SPAN)).cast("int").alias("lead"), wins, "text"
+    ).filter("wins > 0").withColumn("sub", F.xxhash64("lead", "text"))
+    level = rows.groupBy("key", "sub").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), *(F.first(c).alias(c) for c in ("lead", "wins", "text")))
+    judged = decide(table(level.withColumn("core", F.lit(ANCHOR))), _judge_shard, spaced=False).select("key", "sub", "low", "wins", "mask")
+    mask = F.when(F.col("_id") > F.col("low"), full("wins")).otherwise(F.col("mask")).alias("mask")
+    return rows.select("_id", "tag", "pos", "key", "sub").join(judged, ["key", "sub"]).select("_id", "tag", _start(), mask).filter("mask != 0")
 
 
 def _start() -> Column:
@@ -338,8 +342,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     surroundings do not: everything around an anchor that is the same in an earlier document goes without one, and
     equal texts are settled by their hashes. The other contexts are dealt by anchor to blocks of about BLOCK and cut to what
     they share with another; a suffix array (Lyndon grouping) over a block's texts brings equal passages together with
-    their least document. An anchor with over CROWD rows is compared by its passages' bytes in an aggregate instead, so
-    no block grows with one passage. Texts move once, by id.
+    their least document. The contexts of an anchor with over CROWD of them are split in two by longer anchors, whose equal
+    contexts fall together, until no more than that share one; suffix arrays compare those too, so no block grows with one
+    passage. Texts move once, by id.
     """
     text = whole_text()
     # Not nullable, so that both joins below read the same shuffle of the texts.
@@ -359,7 +364,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     marks = direct.union(dealt.groupBy(F.pmod("name", F.lit(count)).alias("block")).applyInArrow(_judge_block, "_id long, tag int, start long, mask long"))
     crowded = found.filter("kind = 2")
     if not crowded.isEmpty():
-        marks = marks.union(_judge_passages(crowded.join(texts, ["_id", "tag"]).select("_id", "tag", "pos", around)))
+        marks = marks.union(_judge_crowded(crowded.join(texts, ["_id", "tag"]).select("_id", "tag", "pos", "name", around)))
 
     hashed = docs.select(*own, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     repeated = hashed.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).filter(F.col("low") != F.col("high"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tapeworks.llm import passages, queries
+from tapeworks.llm import passages, queries, suffixes
 from tapeworks.llm.fmindex import FMIndex
 
 
@@ -133,3 +134,17 @@ def test_halves_cover_each_window_once():
         for first, stop, new_lead, begin, end in passages.halves(words, lead, core):
             assert end - begin > core and begin - first == new_lead
             assert all(first + s <= begin and first + s + 50 >= end for s in range(stop - first - 49))
+
+
+def test_crowded_bytes_are_split(spark, monkeypatch):
+    """The same splitting under the suffix arrays of bytes."""
+    monkeypatch.setattr(suffixes, "CROWD", 1)
+    monkeypatch.setattr(passages, "CROWD", 1)
+    monkeypatch.setattr(passages, "SHARD", 3)
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcd ") for _ in range(70))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randrange(30))) + line[rng.randrange(12) :] + "".join(rng.choice("xyz") for _ in range(25))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffixes.drop_repeats(frame).collect()]
+    want = brute.repeats_cut(rows)
+    assert sorted(got) == sorted(want) and sum(r[2] for r in want) > 500
