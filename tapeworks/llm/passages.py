@@ -248,11 +248,13 @@ def decide(level: DataFrame, judge: Callable = _judge_shard, spaced: bool = True
         return result
     child = "parent long, parent_sub long, low long, high long, off int, key long, sub long, lead int, core int, wins int, text binary"
     parts = table(level.join(few, "key", "left_semi").select("key", "sub", "low", "high", "lead", "core", "text").mapInArrow(_splitter(spaced), child))
+    # What one document alone holds drops out before any text is shuffled.
+    shared = table(parts.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low < _high").select("key"))
+    parts = parts.join(F.broadcast(shared) if shared.count() <= HOT_ROWS else shared, "key", "left_semi")
     same = parts.groupBy("key", "sub").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), *(F.first(c).alias(c) for c in ("lead", "core", "wins", "text"))
     )
-    shared = parts.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low < _high").select("key")
-    below = decide(table(same.join(shared, "key").select("key", "sub", "low", "high", "lead", "core", "wins", "text")), judge, spaced)
+    below = decide(table(same.select("key", "sub", "low", "high", "lead", "core", "wins", "text")), judge, spaced)
     below = below.select("key", "sub", F.col("low").alias("_low"), "mask")
     mask = F.when(F.col("low") > F.col("_low"), full("wins")).otherwise(F.col("mask"))
     joined = parts.select("parent", "parent_sub", "low", "off", "key", "sub", "wins").join(below, ["key", "sub"])
