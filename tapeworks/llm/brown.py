@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,20 @@ from pyspark.sql import DataFrame, functions as F
 from .common import as_id, binary_text, blocks, crc_of_id, id_or_none, table, whole_text, word_runs
 
 END = b""
-LEXICON = 1000
+SEEDS = 1000  # words whose classes start the exchange
+LEAST = 3  # words found less often get a class by spelling
+PASSES = 2
 CLASSES = 48
 SWEEPS = 8
-HEAD = 200_000
+HEAD = 200_000  # words that travel as numbers; all others meet theirs in a join
+HEAD_BYTES = 64
 WORD_BYTES = 32
 PRIOR = 50.0
 _GRAMS = 1 << 14
 _FLUSH = 200_000
+_SLICE = 1 << 20
+_OPEN = CLASSES + 1  # stands for a neighbour without a class yet
+_KINDS = CLASSES + 2
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -76,7 +83,7 @@ def _gram_table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spelling(words: list[bytes], counts: np.ndarray, of: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Log shares of trigram cells within each class, to give a class to words outside the lexicon."""
+    """Log shares of trigram cells within each class, to give a class to words too rare for the exchange."""
     grid = np.zeros((_GRAMS + 1, classes))
     if words:
         cells, starts = _gram_table(words)
@@ -87,31 +94,28 @@ def spelling(words: list[bytes], counts: np.ndarray, of: np.ndarray, classes: in
     return grid.astype(np.float32)
 
 
-class Classer:
-    """Classes of words: of the lexicon as clustered, of all others by spelling in a second set of classes."""
+class Speller:
+    """Classes by spelling, in a second set after those of the exchange."""
 
-    def __init__(self, words: list[bytes], of: list[int], grid: np.ndarray):
-        self.lexicon, self.grid, self.shift = {END: 0, **dict(zip(words, of))}, grid, grid.shape[1]
-        self.known = dict(self.lexicon)
+    def __init__(self, grid: np.ndarray):
+        self.grid, self.known = grid, {}
 
     def classes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > _FLUSH:
+            self.known = {}
         new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > _FLUSH + len(self.lexicon):
-            self.known = dict(self.lexicon)
-            new = list({w for w in words if w not in self.known})
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             cells, starts = _gram_table(part)
-            best = np.add.reduceat(self.grid[cells], starts, axis=0).argmax(axis=1) + 1 + self.shift
+            best = np.add.reduceat(self.grid[cells], starts, axis=0).argmax(axis=1) + 1 + self.grid.shape[1]
             self.known.update(zip(part, best.tolist()))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def __getstate__(self):
-        return self.lexicon, self.grid, self.shift
+        return self.grid
 
     def __setstate__(self, state):
-        self.lexicon, self.grid, self.shift = state
-        self.known = dict(self.lexicon)
+        self.grid, self.known = state, {}
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,93 +136,239 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _count_pairs(numbers: Callable[[list[bytes]], np.ndarray], size: int):
-    """Counts of neighbouring numbers, ends of texts included; one row a pair and task."""
+def _number(head) -> Callable:
+    """Texts as numbers of words: 1 to H in the head, from H + 1 on the place in the text's own list of other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(size * size, dtype=np.int64)
+        get, beyond = head.value.get, len(head.value) + 1
         for batch in blocks(batches, 1):
+            numbers, rest = [], []
             for text in batch.column(1).to_pylist():
-                last = 0
+                own: dict[bytes, int] = {}
+                parts = []
                 for words in word_runs(text.lower()):
-                    ids = np.concatenate(([last], numbers(words)))
-                    np.add.at(totals, ids[:-1] * size + ids[1:], 1)
-                    last = int(ids[-1])
-                totals[last * size] += 1
+                    ids = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
+                    for i in np.flatnonzero(ids == 0).tolist():
+                        ids[i] = beyond + own.setdefault(words[i], len(own))
+                    parts.append(ids.tobytes())
+                numbers.append(b"".join(parts))
+                rest.append(list(own))
+            arrays = [batch.column(0), batch.column(2), pa.array(numbers, pa.binary()), pa.array(rest, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "held", "numbers", "rest"])
+
+    return run
+
+
+def _sequence(values: list[bytes], kind: type) -> np.ndarray:
+    """The numbers of several texts in a row, each text between two ends."""
+    end = np.zeros(1, kind).tobytes()
+    return np.frombuffer(end + b"".join(v + end for v in values), kind)
+
+
+def _count_pairs(column: int, kind: type, of: np.ndarray | None, size: int) -> Callable:
+    """Counts of neighbouring classes, ends of texts included; numbers beyond ``of`` have its last class. One row a pair and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(size * size, dtype=np.int64)
+        for batch in blocks(batches, column):
+            whole = _sequence(batch.column(column).to_pylist(), kind)
+            for i in range(0, len(whole) - 1, _SLICE):
+                part = whole[i : i + _SLICE + 1]
+                classes = (part if of is None else of[np.minimum(part, len(of) - 1)]).astype(np.int64)
+                np.add.at(totals, classes[:-1] * size + classes[1:], 1)
         cells = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(totals[cells])], names=["cell", "n"])
 
     return run
 
 
-def _pair_table(texts: DataFrame, numbers: Callable, size: int) -> np.ndarray:
-    counted = texts.mapInArrow(_count_pairs(numbers, size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def _pair_table(texts: DataFrame, column: str, kind: type, of: np.ndarray | None, size: int) -> np.ndarray:
+    run = _count_pairs(0, kind, of, size)
+    counted = texts.select(column).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     grid = np.zeros(size * size)
     for row in counted.toLocalIterator():  # size x size cells at most, whatever the corpus
         grid[row["cell"]] = row["n"]
     return grid.reshape(size, size)
 
 
-def _class_totals(classer: Classer):
+def _neighbours(keys, of: np.ndarray) -> Callable:
+    """How often each word has each class before it (cells below _KINDS) and after it; words of the head add up within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, beyond = 2 * _KINDS, len(of) - 1
+        totals = np.zeros(beyond * width, dtype=np.int32)
+        for batch in blocks(batches, 0):
+            whole = _sequence(batch.column(0).to_pylist(), np.int32)
+            others = batch.column(1)
+            sizes = np.asarray(pa.compute.binary_length(batch.column(0)), dtype=np.int64) // 4
+            begin = 1 + np.cumsum(sizes + 1) - sizes - 1
+            first = np.asarray(others.offsets, dtype=np.int64)[:-1]
+            names = np.asarray(others.values, dtype=np.int64)
+            for i in range(0, len(whole) - 1, _SLICE):
+                part = whole[max(0, i - 1) : i + _SLICE + 1]
+                classes = of[np.minimum(part, beyond)].astype(np.int64)
+                word, left, right = part[1:-1].astype(np.int64), classes[:-2], classes[2:] + _KINDS
+                inside = word < beyond
+                np.add.at(totals, word[inside] * width + left[inside], 1)
+                np.add.at(totals, word[inside] * width + right[inside], 1)
+                out = np.flatnonzero(~inside)
+                if len(out):
+                    text = np.searchsorted(begin, out + max(0, i - 1) + 1, side="right") - 1
+                    name = names[first[text] + word[out] - beyond]
+                    rows = np.concatenate([name, name]), np.concatenate([left[out], right[out]])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(np.ones(len(rows[0]), np.int64))], names=["key", "cell", "n"])
+        totals[:width] = 0  # the end has a class of its own
+        for i in range(0, len(totals), width << 14):
+            cells = i + np.flatnonzero(totals[i : i + (width << 14)])
+            rows = [pa.array(keys.value[cells // width]), pa.array(cells % width), pa.array(totals[cells].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(rows, names=["key", "cell", "n"])
+
+    return run
+
+
+def fit(grid: np.ndarray) -> np.ndarray:
+    """What one neighbour of each class before (first rows) or after (last rows) a word adds to its likelihood in each class.
+
+    With class bigrams N(a, b), a word in c adds log N(a, c) / N(c) for a class a before it and log N(c, b) / N(c) for b after it.
+    """
+    cells, inner = grid + 0.5, slice(1, CLASSES + 1)
+    before = np.log(cells[:, inner]) - np.log(cells.sum(0)[inner])
+    after = np.log(cells[inner]).T - np.log(cells.sum(1)[inner])
+    return np.concatenate([before, after])
+
+
+def _choose(weights: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 + 2 * classer.shift
-        tokens, kinds = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            of = classer.classes(batch.column(0).to_pylist())
-            tokens += np.bincount(of, np.asarray(batch.column(1)), size).astype(np.int64)
-            kinds += np.bincount(of, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(tokens), pa.array(kinds)], names=["of", "tokens", "kinds"])
+            cells = batch.column(1)
+            seen = np.zeros((batch.num_rows, len(weights)))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(cells.offsets)))
+            values = cells.flatten()
+            seen[row, np.asarray(values.field("cell"))] = np.asarray(values.field("n"))
+            best = 1 + (seen @ weights).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], names=["key", "of"])
 
     return run
 
 
-def _score(classer: Classer, moves: np.ndarray, spread: np.ndarray, head) -> Callable:
-    """Per text one row of sums that need no more counts, and one row for each word outside the head."""
+def _best_classes(training: DataFrame, keys, of: np.ndarray) -> DataFrame:
+    """key and class of every word found LEAST times: the class of best likelihood by all its neighbours, as classed by ``of``."""
+    weights = fit(_pair_table(training, "numbers", np.int32, of, _KINDS))
+    named = training.select("numbers", F.transform("rest", lambda w: F.xxhash64(w)).alias("keys"))
+    found = named.mapInArrow(_neighbours(keys, of), "key long, cell long, n long").groupBy("key", "cell").agg(F.sum("n").alias("n"))
+    words = found.groupBy("key").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum(F.when(F.col("cell") < _KINDS, F.col("n"))).alias("n"))
+    return words.filter(F.col("n") >= LEAST).select("key", "cells").mapInArrow(_choose(weights), "key long, of int")
+
+
+def _name(fixed: dict[bytes, int], speller: Speller) -> Callable:
+    """word, n and class: ``fixed`` ones first, then those of the exchange, then by spelling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = head.value
-        for batch in blocks(batches, 1):
+        for batch in blocks(batches, 0):
+            words = batch.column(0).to_pylist()
+            of = [fixed.get(w, c) for w, c in zip(words, batch.column(2).to_pylist())]
+            bare = [i for i, c in enumerate(of) if c is None]
+            for i, c in zip(bare, speller.classes([words[i] for i in bare]).tolist()):
+                of[i] = c
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int32())], names=["word", "n", "of"])
+
+    return run
+
+
+def _class_texts(head, speller: Speller) -> Callable:
+    """Texts as classes, a byte each, with the number of known tokens and the sum of log10(count + 1), ends included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, logs, known = head.value
+        beyond = len(of)
+        for batch in blocks(batches, 2):
             out: list[tuple] = []
-            for doc, tag, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 1))):
-                last, tokens, total, sure, known, rest = 0, 1, 0.0, logs.get(END, 0.0), int(END in logs), Counter()
-                for words in word_runs(text.lower()):
-                    of = np.concatenate(([last], classer.classes(words)))
-                    last, tokens = int(of[-1]), tokens + len(words)
-                    total += float(moves[of[:-1], of[1:]].sum() - spread[of[1:]].sum())
-                    for word in words:
-                        value = logs.get(word)
-                        if value is None:
-                            rest[word] += 1
-                        else:
-                            sure += value
-                            known += 1
-                total += float(moves[last, 0] - spread[0])
-                out.append((doc, tag, b" %d %d" % (doc, tag), 1, tokens, known, total, sure))
-                out.extend((doc, tag, word, n, 0, 0, 0.0, 0.0) for word, n in rest.items())
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            names = ["_id", "tag", "word", "times", "tokens", "known", "total", "sure"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            for doc, held, numbers, rest, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                own, own_logs, own_known = speller.classes(rest).astype(np.uint8), np.zeros(len(rest)), np.zeros(len(rest), bool)
+                for row in found or ():
+                    if row["of"] is not None:
+                        own[row["pos"]], own_logs[row["pos"]], own_known[row["pos"]] = row["of"], np.log10(row["n"] + 1), True
+                ids, parts, sure, count = np.frombuffer(numbers, np.int32), [], float(logs[0]), int(known[0])
+                for i in range(0, len(ids), _SLICE):
+                    part = ids[i : i + _SLICE]
+                    inside = part < beyond
+                    classes, mine = np.empty(len(part), np.uint8), part[~inside] - beyond
+                    classes[inside], classes[~inside] = of[part[inside]], own[mine]
+                    sure += float(logs[part[inside]].sum() + own_logs[mine].sum())
+                    count += int(known[part[inside]].sum() + own_known[mine].sum())
+                    parts.append(classes.tobytes())
+                out.append((doc, held, b"".join(parts), count, sure))
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["_id", "held", "classes", "known", "sure"])
 
     return run
 
 
-def _most_frequent(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` words, the most frequent first: all in the upper bins of a histogram of counts, 32 a doubling.
+def _score(moves: np.ndarray, spread: np.ndarray) -> Callable:
+    """Tokens of each text and what transitions and the sizes of classes add to its score."""
 
-    A threshold picks them where they are, so no task sorts or merges the vocabulary; ``most`` rows of at most 64 bytes.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, 2):
+            tokens, totals = [], []
+            for text in batch.column(2).to_pylist():
+                whole, total = _sequence([text], np.uint8), 0.0
+                for i in range(0, len(whole) - 1, _SLICE):
+                    part = whole[i : i + _SLICE + 1]
+                    total += float(moves[part[:-1], part[1:]].sum() - spread[part[1:]].sum())
+                tokens.append(len(whole) - 1)
+                totals.append(total)
+            arrays = [batch.column(i) for i in (0, 1, 3, 4)] + [pa.array(tokens, pa.int64()), pa.array(totals, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "held", "known", "sure", "tokens", "total"])
+
+    return run
+
+
+def _frequent(words: DataFrame, most: int):
+    """A condition on word and n that at most ``most`` words of HEAD_BYTES meet: the upper bins of a histogram of counts, 32 a doubling.
+
+    A threshold picks them where they are, so no task sorts or merges the vocabulary.
     """
-    level = F.floor(F.log2("n") * 32).cast("int")
-    bins = sorted(((r["level"], r["m"]) for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    level, short = F.floor(F.log2("n") * 32).cast("int"), F.octet_length("word").between(1, HEAD_BYTES)
+    counted = words.filter(short).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("m"))
+    bins = sorted(((r["level"], r["m"]) for r in counted.collect()), reverse=True)
     least, held = None, 0
     for name, count in bins:
         held += count
         if held > most:
             break
         least = name
-    if least is None:
-        return []
-    found = words.filter(level >= least).toArrow()
-    return sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    return short & (level >= least) if least is not None else F.lit(False)
+
+
+def class_words(training: DataFrame, vocabulary: DataFrame, common, words: list[bytes], counts: np.ndarray) -> tuple[DataFrame, Speller]:
+    """word, n and class of the whole vocabulary, as a written table, and the speller for words that aren't in it.
+
+    ``words`` are the head, the most frequent first, ``common`` the condition that tells them. The SEEDS first are clustered by
+    exchange among themselves. Then PASSES times every word found LEAST times, in the head or not, takes the class of best
+    likelihood by the classes of all its neighbours, and class bigrams are counted anew. Rarer words go by spelling.
+    """
+    spark, place = training.sparkSession, {w: i + 1 for i, w in enumerate(words)}
+    seeds = min(SEEDS, len(words))
+    ranks = np.minimum(np.arange(len(words) + 2), seeds + 1)
+    first = exchange(_pair_table(training, "numbers", np.int32, ranks, seeds + 2))[1:-1]
+    of = np.full(len(words) + 2, _OPEN, dtype=np.uint8)
+    of[0], of[1 : seeds + 1] = 0, first
+    keyed = vocabulary.withColumn("key", F.xxhash64("word"))
+    found = keyed.filter(common).select("word", "key").toArrow()
+    keys = np.zeros(len(words) + 1, dtype=np.int64)
+    keys[[place[w] for w in found["word"].to_pylist()]] = np.asarray(found["key"])
+    keys = spark.sparkContext.broadcast(keys)
+    classes = None
+    for _ in range(PASSES):
+        classes = table(_best_classes(training, keys, of))
+        rows = keyed.filter(common).join(classes, "key").select("word", "of").toArrow()
+        of[[place[w] for w in rows["word"].to_pylist()]] = np.asarray(rows["of"])
+        of[1 : seeds + 1] = first
+    sure = np.flatnonzero(of[1:-1] != _OPEN)
+    speller = Speller(spelling([words[i] for i in sure], counts[sure], of[1:-1][sure].astype(np.int64)))
+    fixed = {END: 0, **dict(zip(words[:seeds], first.tolist()))}
+    named = keyed.join(classes, "key", "left").select("word", "n", "of").mapInArrow(_name(fixed, speller), "word binary, n long, of int")
+    return table(named), speller
 
 
 def brown_scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
@@ -231,55 +381,49 @@ def brown_scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     doc_id learns and is scored as an empty id; repeated rows count each time; without training rows N is 0 and every
     token unknown; an empty table gives no row; other columns are ignored.
 
-    Word counts, transitions and class totals are taken over the whole corpus. Exchange clustering runs on the driver
-    over a table of the LEXICON most frequent words (a fixed size); other words get a class by spelling. Counts of the
-    HEAD most frequent words of 2 x WORD_BYTES or fewer are broadcast; the remaining words of each text, once a word,
-    meet theirs in a join.
+    Words, their neighbours and class bigrams are counted over the whole corpus. Exchange starts on the driver with the SEEDS
+    most frequent words (a table of fixed size) and goes on in Spark with every word found LEAST times, of any length
+    (``class_words``; words are told apart by 64-bit hashes there, so two of equal hash share a class). Texts are written once
+    as numbers: those of the HEAD most frequent words are broadcast, the others of each text, once a word, meet count and class in a join.
     """
     spark = docs.sparkSession
-    text = whole_text()
-    rows = docs.select(id_or_none().alias("_id"), binary_text(text).alias("t"), F.xxhash64(text).alias("tag"), (crc_of_id() % fold == held).alias("held"))
-    training = rows.filter(~F.col("held")).select("_id", "t")
-    vocabulary = table(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    rows = docs.select(id_or_none().alias("_id"), binary_text(whole_text()).alias("t"), (crc_of_id() % fold == held).alias("held"))
+    counted = rows.filter(~F.col("held")).select("_id", "t").mapInArrow(_count_words, "word binary, n long")
+    vocabulary = table(counted.groupBy("word").agg(F.sum("n").alias("n")))
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens, room = sums["n"], sums["n"] + sums["v"] + 1
 
-    ends = vocabulary.filter(F.octet_length("word") == 0)
-    top = _most_frequent(vocabulary.filter(F.octet_length("word").between(1, 2 * WORD_BYTES)), HEAD)
-    head = spark.sparkContext.broadcast({w: float(np.log10(n + 1)) for w, n in [*top, *((END, r["n"]) for r in ends.collect())]})
-    lexicon = top[:LEXICON]
-    words = [w for w, _ in lexicon]
-    places = {w: i + 1 for i, w in enumerate(words)}
-    tail = len(words) + 1
-
-    def numbers(run: list[bytes]) -> np.ndarray:
-        get = places.get
-        return np.fromiter((get(w, tail) for w in run), np.int64, len(run))
+    common = _frequent(vocabulary, HEAD)
+    top = vocabulary.filter(common).toArrow()
+    top = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    words, counts = [w for w, _ in top], np.array([n for _, n in top], dtype=np.int64)
+    schema = "_id long, held boolean, numbers binary, rest array<binary>"
+    numbered = rows.select("_id", "t", "held").mapInArrow(_number(spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})), schema)
+    numbered = table(numbered.withColumn("uid", F.monotonically_increasing_id()))
+    vocabulary, speller = class_words(numbered.filter(~F.col("held")), vocabulary, common, words, counts)
 
-    of = exchange(_pair_table(training, numbers, tail + 1))[1:-1]
-    classer = Classer(words, of.tolist(), spelling(words, np.array([n for _, n in lexicon], dtype=float), of))
     size = 1 + 2 * CLASSES
-    pairs = _pair_table(training, classer.classes, size)
-    tokens, kinds = np.zeros(size), np.zeros(size)
-    for row in vocabulary.mapInArrow(_class_totals(classer), "of long, tokens long, kinds long").groupBy("of").agg(F.sum("tokens").alias("t"), F.sum("kinds").alias("k")).collect():
+    tokens, kinds, of = np.zeros(size), np.zeros(size), np.zeros(len(words) + 1, dtype=np.uint8)
+    for row in vocabulary.groupBy("of").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).collect():
         tokens[row["of"]], kinds[row["of"]] = row["t"], row["k"]
+    found = vocabulary.filter(common).select("word", "of").toArrow()
+    of_word = dict(zip(found["word"].to_pylist(), found["of"].to_pylist()))
+    of[1:] = [of_word[w] for w in words]
+    seen = np.concatenate(([tokens[0]], counts))
+    head = spark.sparkContext.broadcast((of, np.log10(seen + 1), seen > 0))
+
+    others = numbered.select("uid", F.posexplode("rest").alias("pos", "word")).join(vocabulary, "word", "left")
+    found = others.groupBy("uid").agg(F.collect_list(F.struct("pos", "n", "of")).alias("found"))
+    texts = numbered.join(found, "uid", "left").select("_id", "held", "numbers", "rest", "found")
+    classed = table(texts.mapInArrow(_class_texts(head, speller), "_id long, held boolean, classes binary, known long, sure double"))
+
+    pairs = _pair_table(classed.filter(~F.col("held")), "classes", np.uint8, None, size)
     shares = (tokens + 1) / (tokens.sum() + size)
     moves = np.log10((pairs + PRIOR * shares) / (pairs.sum(1, keepdims=True) + PRIOR))
     spread = np.log10(tokens + kinds + 1)
-
-    schema = "_id long, tag long, word binary, times long, tokens long, known long, total double, sure double"
-    scored = rows.select("_id", "t", "tag").mapInArrow(_score(classer, moves, spread, head), schema)
-    met = scored.join(vocabulary, "word", "left")
-    seen = F.col("n").isNotNull()
-    totals = met.groupBy("_id", "tag").agg(
-        F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(seen, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum("total").alias("total"), F.sum(F.col("sure") + F.when(seen, F.col("times") * F.log10(F.col("n") + 1)).otherwise(0.0)).alias("logs"),
-        F.sum((F.col("tokens") > 0).cast("long")).alias("copies"),
-    )
-    share = lambda c: F.col(c) / F.col("copies")
-    each = totals.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("doc_id", as_id("_id"))
-    return each.select(
-        "doc_id", (crc_of_id("doc_id") % fold == held).alias("held_out"), share("n_tokens").cast("long").alias("n_tokens"),
-        share("n_known").cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (share("logs") - share("n_tokens") * F.lit(float(np.log10(room)))).alias("base_score"), (share("total") + share("logs")).alias("score"),
+    schema = "_id long, held boolean, known long, sure double, tokens long, total double"
+    return classed.mapInArrow(_score(moves, spread), schema).select(
+        as_id("_id").alias("doc_id"), F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("sure") - F.col("tokens") * F.lit(float(np.log10(room)))).alias("base_score"), (F.col("total") + F.col("sure")).alias("score"),
     )
