@@ -282,24 +282,35 @@ def _class_texts(head, speller: Speller) -> Callable:
         of, logs, known = head.value
         beyond = len(of)
         for batch in blocks(batches, 2):
-            out: list[tuple] = []
-            for doc, held, numbers, rest, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                own, own_logs, own_known = speller.classes(rest).astype(np.uint8), np.zeros(len(rest)), np.zeros(len(rest), bool)
-                for row in found or ():
-                    if row["of"] is not None:
-                        own[row["pos"]], own_logs[row["pos"]], own_known[row["pos"]] = row["of"], np.log10(row["n"] + 1), True
-                ids, parts, sure, count = np.frombuffer(numbers, np.int32), [], float(logs[0]), int(known[0])
-                for i in range(0, len(ids), _SLICE):
-                    part = ids[i : i + _SLICE]
-                    inside = part < beyond
-                    classes, mine = np.empty(len(part), np.uint8), part[~inside] - beyond
-                    classes[inside], classes[~inside] = of[part[inside]], own[mine]
-                    sure += float(logs[part[inside]].sum() + own_logs[mine].sum())
-                    count += int(known[part[inside]].sum() + own_known[mine].sum())
-                    parts.append(classes.tobytes())
-                out.append((doc, held, b"".join(parts), count, sure))
-            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["_id", "held", "classes", "known", "sure"])
+            rest, found = batch.column(3), batch.column(4)
+            counts = np.diff(np.asarray(rest.offsets, dtype=np.int64))
+            first, words, seen = np.cumsum(counts) - counts, rest.flatten(), found.flatten()
+            met = np.asarray(pa.compute.list_value_length(found).fill_null(0), dtype=np.int64)
+            place = np.repeat(first, met) + np.asarray(seen.field("pos"))
+            own, own_logs = np.zeros(len(words), np.uint8), np.zeros(len(words))
+            own[place] = np.asarray(seen.field("of").fill_null(0))
+            own_logs[place] = np.log10(np.asarray(seen.field("n").fill_null(0)) + 1)
+            own_known, bare = own > 0, np.flatnonzero(own == 0)
+            own[bare] = speller.classes(words.take(pa.array(bare)).to_pylist())
+
+            numbers = batch.column(2).to_pylist()
+            ids = np.frombuffer(b"".join(numbers), np.int32)
+            ends = np.cumsum([len(x) // 4 for x in numbers])
+            classes = np.empty(len(ids), np.uint8)
+            sure, count = np.full(len(numbers), logs[0]), np.full(len(numbers), int(known[0]))
+            for i in range(0, len(ids), _SLICE):
+                part = ids[i : i + _SLICE]
+                text = np.searchsorted(ends, np.arange(i, i + len(part)), side="right")
+                inside = part < beyond
+                mine = first[text[~inside]] + part[~inside] - beyond
+                value, sort, is_known = np.empty(len(part)), classes[i : i + _SLICE], np.empty(len(part), bool)
+                for column, common, other in ((value, logs, own_logs), (sort, of, own), (is_known, known, own_known)):
+                    column[inside], column[~inside] = common[part[inside]], other[mine]
+                sure += np.bincount(text, value, len(numbers))
+                count += np.bincount(text[is_known], minlength=len(numbers))
+            cut = [x.tobytes() for x in np.split(classes, ends[:-1])]
+            arrays = [batch.column(0), batch.column(1), pa.array(cut, pa.binary()), pa.array(count), pa.array(sure)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "held", "classes", "known", "sure"])
 
     return run
 
