@@ -21,6 +21,9 @@ BLOCK_BYTES = 4 << 20
 _SLICE = 1 << 20
 _BITS = 20
 _BATCH = 2048
+_PERIOD = 8
+_KEEP = 256  # more than any passage with its band; a run keeps so many bytes at either end
+_PAIRS = 1 << 22
 
 
 def normal(text: str | None) -> bytes:
@@ -28,6 +31,29 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode().split())
 
 
+def shortened(text: bytes) -> tuple[bytes, np.ndarray | None]:
+    """The text with long runs of a unit of up to _PERIOD bytes cut in their middle, by whole units, and where its bytes stood.
+
+    A run keeps _KEEP bytes at either end, so every passage that is in the text is in the rest, and none is new.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    stood = None
+    for unit in range(1, _PERIOD + 1):
+        if len(raw) <= 2 * _KEEP:
+            break
+        breaks = np.concatenate(([-1], np.flatnonzero(raw[unit:] != raw[:-unit]), [len(raw) - unit]))
+        begin, spare = breaks[:-1] + 1, (np.diff(breaks) - 1 + unit - 2 * _KEEP) // unit * unit
+        long = spare > 0
+        if not long.any():
+            continue
+        edge = np.zeros(len(raw) + 1, dtype=np.int8)
+        np.add.at(edge, begin[long] + _KEEP, 1)
+        np.add.at(edge, begin[long] + _KEEP + spare[long], -1)
+        stay = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8) == 0)
+        raw, stood = raw[stay], stay if stood is None else stood[stay]
+    return (text, None) if stood is None else (raw.tobytes(), stood)
+
+
 def pieces_of(text: bytes) -> list[bytes]:
     """Overlapping passages of PIECE bytes, the last flush with the end; a shorter text is one, one under Q bytes none."""
     if len(text) < Q:
@@ -84,6 +110,7 @@ class GramIndex:
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
         self.items, self.pieces, self.of, self.at = [], [], [], []
+        items = [(item, shortened(text)[0]) for item, text in items]
         for k, (item, text) in enumerate(items):
             last = max(0, len(text) - PIECE)
             for i, piece in enumerate(pieces_of(text)):
@@ -143,6 +170,16 @@ class GramIndex:
         times = upto - first
         return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times), times
 
+    @staticmethod
+    def _spans(at: np.ndarray, pairs: np.ndarray, reach: int) -> Iterator[slice]:
+        """Stretches of ``at`` with about _PAIRS pairs each; each holds ``reach`` bytes of the next one, so no passage is cut."""
+        upto, low = np.cumsum(pairs), 0
+        while low < len(at):
+            stop = np.searchsorted(upto, (upto[low - 1] if low else 0) + _PAIRS, side="right")
+            stop = max(int(stop), int(np.searchsorted(at, at[low] + reach, side="right")))
+            yield slice(low, int(np.searchsorted(at, at[min(stop, len(at)) - 1] + reach, side="right")))
+            low = stop
+
     def _pieces_found(self, raw: np.ndarray, at: np.ndarray, gram: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Piece, edits and end in ``raw`` of the pieces within their budget."""
         run, times = self._each(self.first[gram], self.upto[gram])
@@ -203,6 +240,8 @@ class GramIndex:
         if not self.pieces:
             return
         reach = int(self.length.max()) + 4 * self.pad + RUN
+        cut = [shortened(t) for t in texts]
+        texts = [t for t, _ in cut]
         parts = [(k, s) for k, t in enumerate(texts) for s in range(0, max(1, len(t)), _SLICE)]
         gap = b"\n" * reach
         raw = np.frombuffer(gap + gap.join(texts[k][s : s + _SLICE + 2 * reach] for k, s in parts) + gap, np.uint8)
@@ -213,26 +252,30 @@ class GramIndex:
             return
         owner, offset = np.array(parts, dtype=np.int64).T
         part_of = lambda place: np.maximum(0, np.searchsorted(starts, place, side="right") - 1)
-        found: set[tuple[int, int]] = set()
         held: set[int] = set()
         count = len(self.begin)
-        for p, edits, end in self._pieces_found(raw, at, gram):
-            k = part_of(end)
-            held.update((owner[k] * count + self.of[p]).tolist())
-            for row in zip(owner[k].tolist(), p.tolist(), edits.tolist(), (end - starts[k] + offset[k]).tolist()):
-                if row[:2] not in found:
-                    found.add(row[:2])
-                    yield row
-        known = np.array(sorted(held), dtype=np.int64)
-        item, edits, end = self._runs_found(raw, at, gram, lambda place, item: np.isin(owner[part_of(place)] * count + item, known))
-        k = part_of(end)
+        stood = lambda text, end: end if cut[text][1] is None else int(cut[text][1][end - 1]) + 1
         least: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, i, e, z in zip(owner[k].tolist(), item.tolist(), edits.tolist(), (end - starts[k] + offset[k]).tolist()):
-            a, b = least.get((text, i), (e, z))
-            least[text, i] = min(a, e), min(b, z)
+
+        def note(k: np.ndarray, what: np.ndarray, edits: np.ndarray, end: np.ndarray) -> None:
+            for text, i, e, z in zip(owner[k].tolist(), what.tolist(), edits.tolist(), (end - starts[k] + offset[k]).tolist()):
+                a, b = least.get((text, i), (e, z))
+                least[text, i] = min(a, e), min(b, z)
+
+        for span in self._spans(at, (self.upto - self.first)[gram], reach):
+            for p, edits, end in self._pieces_found(raw, at[span], gram[span]):
+                k = part_of(end)
+                held.update((owner[k] * count + self.of[p]).tolist())
+                note(k, p, edits, end)
+        known = np.array(sorted(held), dtype=np.int64)
+        skip = lambda place, item: np.isin(owner[part_of(place)] * count + item, known)
+        for span in self._spans(at, (self.place_upto - self.place_first)[gram], reach):
+            item, edits, end = self._runs_found(raw, at[span], gram[span], skip)
+            k = part_of(end)
+            new = ~np.isin(owner[k] * count + item, known)
+            note(k[new], len(self.pieces) + item[new], edits[new], end[new])
         for (text, i), (e, z) in least.items():
-            if text * count + i not in held:
-                yield text, len(self.pieces) + i, e, z
+            yield text, i, e, stood(text, z)
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[GramIndex]:
@@ -268,7 +311,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts are lower-cased, with one space between words. Every item is cut into passages of PIECE bytes, one each STRIDE,
     so any copied run of PIECE + STRIDE bytes covers one; a shorter item is one passage. A document holds a passage if a
     part of it is within BUDGET edits a byte (fewer for passages under 40 bytes, so that the lemma needs a gram). ``pieces``
-    counts the passages found, ``edits`` is the least of theirs and ``end`` where the first ends in the folded text.
+    counts the passages found, ``edits`` is the least of theirs and ``end`` where the first ends in the folded text. Where no such
+    passage is found, windows of RUN bytes every RUN_STRIDE of the item are looked for with RUN_BUDGET edits; they count as one.
+    Of a run of one unit of up to _PERIOD bytes only _KEEP bytes at either end are looked at, in items and texts: the rest
+    repeats them, and a passage of such an item counts once for each place left.
 
     A passage within the budget shares so many Q-grams with the text, all on budget + 1 neighbouring diagonals; grams are
     counted in bands of twice that width, each overlapping the next, and bands with enough are verified by alignment.
