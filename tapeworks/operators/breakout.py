@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LONG, OPEN_MINUTE, SHORT, BreakoutConfig, CostModel
 from ..functions.rolling import SESSION, day_order, rolling_median, running, session_order, whole_session
@@ -39,18 +39,27 @@ def prior_session_atr(bars: DataFrame, sessions: int = 1) -> DataFrame:
     therefore needs its true-range sum twice: with its first bar unchained, and chained to the prior session's close.
     Everything ticker-level works on one row per ticker-day.
     """
+    return _with_atr(_ranged(bars).groupBy(*SESSION).agg(*_range_sums()), sessions).select(*SESSION, "atr")
+
+
+def _ranged(bars: DataFrame) -> DataFrame:
     order = session_order()
-    inner = F.lag("close", 1).over(order)
-    first = F.row_number().over(order) == 1
-    ranged = bars.withColumns({"tr": true_range(inner), "is_first": first})
-    opening = F.when(F.col("is_first"), F.struct("high", "low"))
-    days = ranged.groupBy(*SESSION).agg(
+    return bars.withColumns({"tr": true_range(F.lag("close", 1).over(order)), "is_first": F.row_number().over(order) == 1})
+
+
+def _range_sums() -> list[Column]:
+    """What a session leaves behind for the ATR of later ones."""
+    first = F.col("is_first")
+    return [
         F.sum("tr").alias("tr_sum"),
         F.count("tr").alias("tr_n"),
-        F.max(F.when(F.col("is_first"), F.col("tr"))).alias("tr_open"),
-        F.max(opening).alias("opening"),
+        F.max(F.when(first, F.col("tr"))).alias("tr_open"),
+        F.max(F.when(first, F.struct("high", "low"))).alias("opening"),
         F.max_by("close", "minute").alias("last_close"),
-    )
+    ]
+
+
+def _with_atr(days: DataFrame, sessions: int) -> DataFrame:
     by_day = day_order()
     prev = F.lag("last_close", 1).over(by_day)
     high, low = F.col("opening.high"), F.col("opening.low")
@@ -70,7 +79,7 @@ def prior_session_atr(bars: DataFrame, sessions: int = 1) -> DataFrame:
         later = by_day.rowsBetween(1 - sessions, -1)
         total = total + F.sum("chained_sum").over(later)
         count = count + F.sum("chained_n").over(later)
-    return linked.select(*SESSION, F.try_divide(total, count).alias("atr"))
+    return linked.withColumn("atr", F.try_divide(total, count))
 
 
 def running_volume_median(bars: DataFrame) -> DataFrame:
@@ -96,31 +105,32 @@ def breakout_signals(rth: DataFrame, config: BreakoutConfig = BreakoutConfig(),
     scale = prior_session_atr(rth, config.atr_lookback_sessions) if atr is None else atr
     rows = running_volume_median(opening_range(by_session(rth), config))
     scaled = rows.join(scale.filter(F.col("atr") > 0), list(SESSION))
+    hits = scaled.select(*SESSION, _hit(config).alias("hit")).filter(F.col("hit").isNotNull())
+    return hits.groupBy(*SESSION).agg(F.min("hit").alias("hit")).select(*SESSION, *(f"hit.{c}" for c in SIGNAL_COLUMNS))
+
+
+def _hit(config: BreakoutConfig) -> Column:
+    """The signal of a bar, NULL if it gives none; the session's first is the least."""
     reach = config.min_break_atr * F.col("atr")
     direction = (
         F.when(F.col("close") >= F.col("range_high") + reach, 1)
         .when(F.col("close") <= F.col("range_low") - reach, -1)
     )
-    stop, target, risk = stop_and_target(F.col("close"), F.col("direction"), config)
-    confirmed = scaled.filter(
-        (F.col("minute") >= OPEN_MINUTE + config.range_minutes)
-        & holds(F.col("volume") >= config.vol_mult * F.col("median_volume"))
-    ).withColumn("direction", direction)
-    hits = confirmed.filter(F.col("direction").isNotNull()).select(
-        *SESSION,
+    stop, target, risk = stop_and_target(F.col("close"), direction, config)
+    confirmed = (F.col("minute") >= OPEN_MINUTE + config.range_minutes) & holds(
+        F.col("volume") >= config.vol_mult * F.col("median_volume")
+    )
+    signal = F.struct(
         F.col("minute").alias("signal_minute"),
-        "direction",
+        direction.alias("direction"),
         "range_high",
         "range_low",
         "atr",
         F.col("close").alias("entry_ref"),
         stop.alias("stop"),
         target.alias("target"),
-        risk.alias("risk"),
     )
-    first = Window.partitionBy(*SESSION).orderBy("signal_minute")
-    ranked = hits.filter(F.col("risk") > 0).withColumn("nth", F.row_number().over(first))
-    return ranked.filter(F.col("nth") == 1).select(*SESSION, *SIGNAL_COLUMNS)
+    return F.when(confirmed & direction.isNotNull() & (risk > 0), signal)
 
 
 def run_breakout(
@@ -131,12 +141,19 @@ def run_breakout(
 ) -> DataFrame:
     """Signals to trades: fill at the next bar's open, exit at stop, target or the session's last close.
 
-    ``gate`` (ticker, date) restricts which sessions may trade; the ATR still sees every stored session.
+    ``gate`` (ticker, date) restricts which sessions may trade; the ATR still sees every stored session. Bars are read and
+    shuffled once, by ticker (a history that the calendar bounds): a session is folded to one row with its bars, takes its
+    ATR from the rows before it, and is unfolded again for its signal and its exit.
     """
-    signals = breakout_signals(rth, config)
-    if gate is not None:
-        signals = signals.join(gate.select(*SESSION).distinct(), list(SESSION), "left_semi")
-    return breakout_trades(signals, rth, config, costs)
+    known = rth.dropna(subset=list(SESSION)).repartition("ticker")
+    rows = _ranged(running_volume_median(opening_range(known, config)))
+    bar = F.struct("minute", "open", "high", "low", "close", "volume", "median_volume", "range_high", "range_low")
+    days = rows.groupBy(*SESSION).agg(*_range_sums(), F.collect_list(bar).alias("bars"))
+    scaled = _with_atr(days, config.atr_lookback_sessions).filter(F.col("atr") > 0).select(*SESSION, "atr", F.inline("bars"))
+    signalled = scaled.withColumn("hit", F.min(_hit(config)).over(whole_session()))
+    later = signalled.filter(F.col("minute") > F.col("hit.signal_minute"))
+    trades = _exits(later.select(*SESSION, "hit.*", "minute", "open", "high", "low", "close"), config, costs)
+    return trades if gate is None else trades.join(gate.select(*SESSION).distinct(), list(SESSION), "left_semi")
 
 
 def breakout_trades(signals: DataFrame, rth: DataFrame, config: BreakoutConfig, costs: CostModel) -> DataFrame:
@@ -144,6 +161,11 @@ def breakout_trades(signals: DataFrame, rth: DataFrame, config: BreakoutConfig,
     later = signals.select(*SESSION, *SIGNAL_COLUMNS).join(bars, list(SESSION)).filter(
         F.col("minute") > F.col("signal_minute")
     )
+    return _exits(later, config, costs)
+
+
+def _exits(later: DataFrame, config: BreakoutConfig, costs: CostModel) -> DataFrame:
+    """Trades from each session's signal, repeated on the bars after it."""
     session = whole_session()
     entered = later.withColumn("entry_minute", F.min("minute").over(session)).withColumn(
         "entry", F.max(F.when(F.col("minute") == F.col("entry_minute"), F.col("open"))).over(session)

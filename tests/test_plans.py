@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import Fixture
 from tapeworks.operators.asof import range_bars_asof
+from tapeworks.operators.breakout import run_breakout
 from tapeworks.operators.news import tagged_news
 from tapeworks.plans.backtest import walk_forward_run
 from tapeworks.plans.feature_tables import session_feature_table
@@ -31,6 +32,16 @@ def test_session_features_read_the_bars_once(fx):
     assert len(re.findall(r"Relation \[event_id", plan_of(table))) == bars
 
 
+def test_the_breakout_reads_and_shuffles_the_bars_once(fx):
+    plans = plan_of(fx.rth), plan_of(run_breakout(fx.rth))
+    scans = [len(re.findall(r"Relation \[event_id", p)) for p in plans]
+    assert scans[0] == scans[1]
+    text = run_breakout(fx.rth)._jdf.queryExecution().executedPlan().toString()
+    base = fx.rth._jdf.queryExecution().executedPlan().toString()
+    shuffles = [len(re.findall(r"Exchange hashpartitioning", p)) for p in (base, text)]
+    assert shuffles[1] == shuffles[0] + 1
+
+
 def test_the_plan_of_many_folds_is_that_of_few(spark):
     rows = spark.range(100).select("id", (F.col("id") % 20).cast("int").alias("part"))
     runs = {n: walk_forward_run(list(range(n)), lambda k: rows.filter(F.col("part") == k).select("id"), in_flight=3) for n in (2, 20)}
