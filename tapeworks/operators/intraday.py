@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import HORIZON_BARS
 from ..functions.rolling import SESSION, day_order, rolling_median, rolling_std, running, session_order
@@ -98,6 +98,14 @@ def overnight_gaps(bars: DataFrame) -> DataFrame:
     return sessions.select(*SESSION, log_ratio("first_open", previous).alias("overnight_gap"))
 
 
+def with_overnight_gap(bars: DataFrame) -> DataFrame:
+    """The same on every bar, without a pass of its own: a ticker's history (bounded by the calendar) in the order of its sessions
+    needs no other layout or sort than the frames within them."""
+    history, upto = Window.partitionBy("ticker").orderBy("date", "minute"), running(session_order())
+    rows = bars.withColumn("_before", F.lag("close", 1).over(history))
+    return rows.withColumn("overnight_gap", log_ratio(F.first("open").over(upto), F.first("_before").over(upto))).drop("_before")
+
+
 def market_context(bars: DataFrame, tickers: dict[str, str] = CONTEXT) -> DataFrame:
     """r15 and r30 of the context tickers, one row per (date, minute).
 
@@ -121,13 +129,18 @@ def with_market_context(rows: DataFrame, bars: DataFrame, tickers: dict[str, str
 
 def session_features(rth: DataFrame) -> DataFrame:
     """All within-session features and the target over one (ticker, date) partitioning and one sort."""
-    rows = by_session(rth)
+    return _within_sessions(by_session(rth))
+
+
+def _within_sessions(rows: DataFrame) -> DataFrame:
     for step in (returns, realized_vol, bar_geometry, vwap_distance, volume_shape, session_clock, forward_return):
         rows = step(rows)
     return rows
 
 
 def build_price_features(rth: DataFrame) -> DataFrame:
-    """The price part of the intraday feature table: session features, overnight gap, market context."""
-    rows = session_features(rth).join(overnight_gaps(rth), list(SESSION), "left")
-    return with_market_context(rows, rth)
+    """The price part of the intraday feature table: session features, overnight gap, market context.
+
+    All but the context, which reads its few tickers alone, comes from one read of the bars, one shuffle by ticker and one sort.
+    """
+    return with_market_context(_within_sessions(with_overnight_gap(rth.repartition("ticker"))), rth)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import Fixture
 from tapeworks.operators.asof import range_bars_asof
 from tapeworks.operators.breakout import run_breakout
+from tapeworks.operators.intraday import CONTEXT, build_price_features
 from tapeworks.operators.news import tagged_news
 from tapeworks.plans.backtest import walk_forward_run
 from tapeworks.plans.feature_tables import session_feature_table
@@ -42,6 +43,17 @@ def test_the_breakout_reads_and_shuffles_the_bars_once(fx):
     assert shuffles[1] == shuffles[0] + 1
 
 
+def test_price_features_read_the_bars_once_and_the_context_by_its_tickers(fx):
+    base, plan = plan_of(fx.rth), plan_of(build_price_features(fx.rth))
+    once = len(re.findall(r"Relation \[event_id", base))
+    assert len(re.findall(r"Relation \[event_id", plan)) == 2 * once
+    assert len(re.findall(rf"IN \(({'|'.join(CONTEXT)}),({'|'.join(CONTEXT)})\)", plan)) == 1
+    executed = build_price_features(fx.rth)._jdf.queryExecution().executedPlan().toString()
+    reads = fx.rth._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    # Bars by ticker once; the context by its own sessions and by (date, minute).
+    assert executed.count("Exchange hashpartitioning") <= 2 * reads + 3
+
+
 def test_the_plan_of_many_folds_is_that_of_few(spark):
     rows = spark.range(100).select("id", (F.col("id") % 20).cast("int").alias("part"))
     runs = {n: walk_forward_run(list(range(n)), lambda k: rows.filter(F.col("part") == k).select("id"), in_flight=3) for n in (2, 20)}
