@@ -1,11 +1,16 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.fixtures import BREAKOUT, Fixture
 from frames import DAY, PRIOR, bars
 from tapeworks.config import BreakoutConfig, CostModel, SweepConfig
 from tapeworks.operators import breakout as orb
 from tapeworks.operators import sweep as swp
+from tapeworks.operators.intraday import overnight_gaps, with_overnight_gap
 from tapeworks.operators.sweep_stats import strategy_stats
+from tapeworks.runtime import configure
 
 RANGE = [(570, 100.0, 101.0, 99.0, 100.0, 1000.0), (575, 100.0, 101.0, 99.0, 100.0, 1000.0), (580, 100.0, 101.0, 99.0, 100.0, 1000.0)]
 LONG = (585, 100.0, 103.0, 100.0, 102.5, 5000.0)
@@ -112,3 +117,26 @@ def test_sweep_trade_end_to_end(spark):
     assert got["liquidity"]["target"] == 110.0 and got["liquidity"]["exit_minute"] == 610
     stats = {r["setting"]: r for r in strategy_stats(swp.compound_r(swp.sweep_trades(frame, daily, configs, 0.01))).collect()}
     assert stats["1R"]["profit_factor"] == float("inf") and stats["1R"]["max_drawdown_pct"] == 0.0
+
+
+@pytest.mark.parametrize("sessions", [1, 3])
+def test_one_pass_equals_signals_joined_with_their_bars(spark, sessions):
+    rth = Fixture(configure(spark), "/root/testdata/sf0.001").rth.cache()
+    config = replace(BREAKOUT, atr_lookback_sessions=sessions)
+    plain, once = orb.breakout_trades(orb.breakout_signals(rth, config), rth, config, CostModel()), orb.run_breakout(rth, config)
+    plain, once = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in t.collect()) for t in (plain, once))
+    assert plain and once == plain
+    nobody = rth.withColumn("ticker", F.lit(None).cast("string"))
+    assert orb.run_breakout(nobody, config).count() == 0 == orb.run_breakout(rth.limit(0), config).count()
+    rth.unpersist()
+
+
+def test_gaps_on_bars_equal_gaps_of_sessions(spark):
+    rth = Fixture(configure(spark), "/root/testdata/sf0.001").rth
+    # Some closes are unknown, the last of a session among them.
+    rth = rth.withColumn("close", F.when(F.abs(F.xxhash64("ticker", "date", "minute")) % 3 != 0, F.col("close"))).cache()
+    days = {(r["ticker"], r["date"]): r["overnight_gap"] for r in overnight_gaps(rth).collect()}
+    rows = with_overnight_gap(rth).collect()
+    assert {v is None for v in days.values()} == {True, False}
+    assert len(rows) == rth.count() and all(r["overnight_gap"] == days[r["ticker"], r["date"]] for r in rows)
+    rth.unpersist()
