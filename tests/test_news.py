@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import DAY, bars, instants
-from tapeworks.functions.text import EVENT_PATTERNS, FEATURED_EVENTS, classify_event, normalize_title
+from tapeworks.functions.text import EVENT_HINTS, EVENT_PATTERNS, FEATURED_EVENTS, classify_event, folded, normalize_title
 from tapeworks.operators import news
 from tapeworks.sources.calendar import session_calendar
 
@@ -105,3 +105,45 @@ def test_snapshot_counts_stories_not_copies(spark):
     assert row["news_decayed_weight"] == pytest.approx(old + new)
     assert row["news_sent_signed"] == pytest.approx(old - new) and row["news_evt_earnings_w"] == pytest.approx(old)
     assert row["news_burst"] is None and got["QQQ"]["news_clusters_7d"] == 0.0
+
+
+# One phrase for each way a category's pattern can match.
+PHRASES = {
+    "earnings": "earnings|quarterly results|quarterly report|Q1 results|q4\tRevenue|q2  earnings|beat estimates|misses expectations|tops wall street|eps|revenue fell",
+    "guidance": "guidance|outlook|raises forecast|cut full-year view|lowers its guidance|slashes annual\noutlook",
+    "mna": "merger|mergers|acquisition|acquires|takeover|buyout|to buy|deal to acquire|going private|tender offer",
+    "clinical": "fda|clinical trial|phase ii|phase  3|drug approval|breakthrough therapy|nda|biologics license",
+    "regulatory_legal": "lawsuit|sued|settlements|probe|investigation|sec charges|antitrust|fined|court rules|regulator|doj",
+    "management": "ceo resigns|cfo: he steps down|coo was named, names|chairman retires|executive hires|president departs|appoints a new ceo|names the chairman",
+    "financing": "share offering|share repurchase|share buyback|buybacks|dividend|secondary offering|notes offering|convertible|dilutive|ipo|stock split|capital raise",
+    "analyst": "upgrade|downgraded|price target|initiates coverage|overweight|underweight|buy rating|sell rating|analysts",
+    "product": "launches|unveiled|recall|new product|announces new|introducing",
+    "partnership": "partnership|collaborations|wins deal|wins contract|contract win|contract award|awarded|sign deal|signs agreement|joint venture",
+    "macro": "fed|federal reserve|inflation|cpi|jobs report|payrolls|tariff|interest rates|treasury yield|recession|gdp",
+}
+
+
+def test_hints_lose_no_match_of_the_patterns(spark):
+    """The category is that of the plain patterns, whichever of their branches matches and however its letters are written."""
+    phrases = [f"{before}{p}{after}" for ps in PHRASES.values() for p in ps.split("|") for before, after in (("", ""), ("the ", " now"), ("un", "s"))]
+    written = [w for p in phrases for w in (p, p.upper(), p.replace("s", "ſ").replace("k", "K"), p.replace("i", "İ"), p.replace("i", "ı"))]
+    rows = spark.createDataFrame([(w,) for w in written], "t string")
+    plain = F.coalesce(*[F.when(F.concat(F.lit(" "), F.col("t")).rlike(r"(?idU)\b(?:%s)" % p), F.lit(n)) for n, p in EVENT_PATTERNS], F.lit("other"))
+    got = rows.select("t", classify_event(F.lit(""), F.col("t")).alias("got"), plain.alias("want"))
+    assert got.filter("got <> want").collect() == []
+    assert {r[0] for r in got.select("want").distinct().collect()} == {*PHRASES, "other"}
+
+
+def test_folding_covers_all_letters_that_a_case_blind_pattern_takes_for_ascii(spark):
+    letters = "|".join("abcdefghijklmnopqrstuvwxyz")
+    points = spark.range(1, 0x10FFFF).filter("id NOT BETWEEN 55296 AND 57343")  # without surrogates
+    points = points.withColumn("x", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'utf-32')"))
+    lost = points.filter(F.col("x").rlike(rf"(?idU)^(?:{letters})$")).filter(~folded(F.col("x")).rlike("^[a-z]$"))
+    assert lost.collect() == []
+
+
+def test_each_pattern_stands_behind_its_hints(spark):
+    plan = spark.range(1).select(classify_event(F.lit("x"), F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString().lower()
+    for hints in EVENT_HINTS.values():
+        assert all(f"contains(namedlambdavariable().folded, {h})" in plan or f", {h})" in plan for h in hints)
+    assert list(EVENT_HINTS) == [n for n, _ in EVENT_PATTERNS]
