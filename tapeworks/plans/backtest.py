@@ -18,7 +18,7 @@ from ..operators.folds import CALIBRATE, TEST, TRAIN, fold_bounds, walk_forward_
 from ..operators.metrics import class_prior, classifier_metrics, compare_rankers, forecast_metrics
 from ..operators.trades import thin_events, trade_summary
 from ..operators.windows import session_windows, stored_grid
-from ..runtime import bounded_broadcast, materialize, runs_at_once
+from ..runtime import bounded_broadcast, materialize, runs_at_once, written
 from ..sources.calendar import SESSION_BOUND
 from .comparisons import arm_compare, arm_curves, arm_trades, slice_ablation
 from .feature_tables import BAR_FEATURES, SESSION_FEATURES, bar_feature_table, session_feature_table
@@ -55,7 +55,11 @@ class Study:
 
 
 def prepare(bars: DataFrame, calendar: DataFrame, config: StudyConfig, tagged: DataFrame | None = None) -> Study:
-    """Build and materialise the tables. ``bars`` are extended-hours bars as of the end of the range."""
+    """Build and materialise the tables. ``bars`` are extended-hours bars as of the end of the range.
+
+    News and bars go into several tables: articles are typed once, and bars aggregated once, for all of them.
+    """
+    bars, tagged = written(bars), None if tagged is None else written(tagged)
     rth = rth_bars(bars, calendar)
     folds = materialize(walk_forward_folds(distinct_sessions(rth), config.layout))
     windows = session_windows(rth, stored_grid(rth))
