@@ -15,6 +15,7 @@ from tapeworks.operators.news import tagged_news
 from tapeworks.operators.trend import HORIZONS, next_day_target, trend_columns, trend_features
 from tapeworks.plans import backtest as study_plan
 from tapeworks.plans.feature_tables import BAR_FEATURES, SESSION_FEATURES, bar_feature_table, session_feature_table
+from tapeworks.runtime import materialize
 
 from .fixtures import LABEL, LAYOUT, Fixture
 from .labels import fixture_labels
@@ -78,7 +79,7 @@ def _scored_sessions():
 @query("opportunity_classifier", "scored_sessions", sql=JUDGED.format("scored_sessions"))
 def _(fx):
     labels = fixture_labels(fx).labels.select("ticker", "date", "label")
-    rows = session_feature_table(fx.bars, fx.calendar, wired(fx)).join(labels, ["ticker", "date"])
+    rows = materialize(session_feature_table(fx.bars, fx.calendar, wired(fx)).join(labels, ["ticker", "date"]))  # read by each step of the fit
     return judged(OpportunityClassifier(SESSION_FEATURES, SESSION_MODEL).fit(rows).predict(rows))
 
 
@@ -96,7 +97,7 @@ def _(fx):
     sql="SELECT ticker, count(fwd_ret_15m) AS n_rows, 0 AS n_crossed, true AS covers, true AS beats_zero FROM bar_features GROUP BY ticker",
 )
 def _(fx):
-    rows = bar_feature_table(fx.rth, wired(fx))
+    rows = materialize(bar_feature_table(fx.rth, wired(fx)))  # read by each step of the fit
     scored = QuantileForecaster(BAR_FEATURES, BAR_MODEL).fit(rows).predict(rows)
     y = F.col(TARGET)
     pinball = lambda q, at: F.sum(F.greatest(q * (y - at), (q - 1) * (y - at)))
@@ -118,7 +119,7 @@ def _(fx):
   count(CASE WHEN fwd_ret_15m < -{CostModel().round_trip_cost} THEN 1 END) AS n_short_wins, true AS sound, true AS ranks FROM bar_features GROUP BY ticker""",
 )
 def _(fx):
-    rows, cost = bar_feature_table(fx.rth, wired(fx)), CostModel().round_trip_cost
+    rows, cost = materialize(bar_feature_table(fx.rth, wired(fx))), CostModel().round_trip_cost  # rows are read by each step of the fit
     scored = CostHeads(BAR_FEATURES, cost, BAR_MODEL).fit(rows).predict(rows)
     won, lost = F.col(TARGET) > cost, F.col(TARGET) < -cost
     p, q = F.col("p_long_win"), F.col("p_short_win")

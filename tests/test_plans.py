@@ -5,13 +5,17 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from catalog.fixtures import Fixture
+from catalog.models import STUDY
+from tapeworks.models import boosting
 from tapeworks.operators.asof import range_bars_asof
 from tapeworks.operators.breakout import run_breakout
 from tapeworks.operators.intraday import CONTEXT, build_price_features
 from tapeworks.operators.news import tagged_news
+from tapeworks.plans import backtest
 from tapeworks.plans.backtest import walk_forward_run
-from tapeworks.plans.feature_tables import session_feature_table
+from tapeworks.plans.feature_tables import bar_feature_table, session_feature_table
 from tapeworks.runtime import configure
 from tapeworks.sources.calendar import next_session, session_calendar
 
@@ -54,6 +58,27 @@ def test_price_features_read_the_bars_once_and_the_context_by_its_tickers(fx):
     assert executed.count("Exchange hashpartitioning") <= 2 * reads + 3
 
 
+def test_a_study_types_the_news_once(fx, monkeypatch):
+    reads = []
+    monkeypatch.setattr(backtest, "session_feature_table", lambda bars, calendar, tagged: reads.extend((bars, tagged)) or session_feature_table(bars, calendar, tagged))
+    monkeypatch.setattr(backtest, "bar_feature_table", lambda rth, tagged: reads.extend((rth, tagged)) or bar_feature_table(rth, tagged))
+    backtest.prepare(fx.bars, fx.calendar, STUDY, tagged_news(fx.articles, fx.tags))
+    assert len(reads) == 4
+    for frame in reads:
+        plan = plan_of(frame)
+        assert "event_id" not in plan and "text" not in plan and "RLIKE" not in plan
+
+
+@pytest.mark.parametrize("name", ["opportunity_classifier", "quantile_forecaster", "cost_heads"])
+def test_fitted_rows_are_computed_once(spark, name, monkeypatch):
+    seen = []
+    monkeypatch.setattr(boosting, "_start", lambda rows, *_: seen.append(rows) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        QUERIES[name](spark, FOLDER)
+    plan = plan_of(seen[0])
+    assert "event_id" not in plan and "text" not in plan
+
+
 def test_the_plan_of_many_folds_is_that_of_few(spark):
     rows = spark.range(100).select("id", (F.col("id") % 20).cast("int").alias("part"))
     runs = {n: walk_forward_run(list(range(n)), lambda k: rows.filter(F.col("part") == k).select("id"), in_flight=3) for n in (2, 20)}
