@@ -25,6 +25,7 @@ PRIOR = 50.0
 _GRAMS = 1 << 14
 _FLUSH = 200_000
 _SLICE = 1 << 20
+_TOGETHER = 1 << 21  # tokens whose neighbours are added up at once
 _OPEN = CLASSES + 1  # stands for a neighbour without a class yet
 _KINDS = CLASSES + 2
 
@@ -175,7 +176,7 @@ def _count_pairs(column: int, kind: type, of: np.ndarray | None, size: int) -> C
             for i in range(0, len(whole) - 1, _SLICE):
                 part = whole[i : i + _SLICE + 1]
                 classes = (part if of is None else of[np.minimum(part, len(of) - 1)]).astype(np.int64)
-                np.add.at(totals, classes[:-1] * size + classes[1:], 1)
+                totals += np.bincount(classes[:-1] * size + classes[1:], minlength=size * size)
         cells = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(totals[cells])], names=["cell", "n"])
 
@@ -191,37 +192,60 @@ def _pair_table(texts: DataFrame, column: str, kind: type, of: np.ndarray | None
     return grid.reshape(size, size)
 
 
+def _packed(keys: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """A row for each word, numbered as in ``keys``: its cells, each a byte followed by a count of at most 255, larger counts in several."""
+    width = 2 * _KINDS
+    found.sort()
+    first = np.flatnonzero(np.diff(found, prepend=-1))
+    counts = np.diff(first, append=len(found))
+    times = -(-counts // 255)
+    codes, n = np.repeat(found[first], times), np.full(times.sum(), 255)
+    n[np.cumsum(times) - 1] = counts - 255 * (times - 1)
+    pairs = np.stack([codes % width, n], axis=1).astype(np.uint8)
+    words = codes // width
+    start = np.flatnonzero(np.diff(words, prepend=-1))
+    offsets = np.append(2 * start, pairs.size).astype(np.int32)
+    cells = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(pairs)])
+    return pa.RecordBatch.from_arrays([pa.array(keys[words[start]]), cells], names=["key", "cells"])
+
+
 def _neighbours(keys, of: np.ndarray) -> Callable:
-    """How often each word has each class before it (cells below _KINDS) and after it; words of the head add up within a task."""
+    """How often each word has each class before it (cells below _KINDS) and after it; words add up over _TOGETHER tokens of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, beyond = 2 * _KINDS, len(of) - 1
-        totals = np.zeros(beyond * width, dtype=np.int32)
+        width, beyond, seen = np.int32(2 * _KINDS), len(of) - 1, 0
+        codes, names, cells = [], [], []
+
+        def rows():
+            others, place = np.unique(np.concatenate(names or [keys.value[:0]]), return_inverse=True)
+            for name, cell in zip(np.split(place, np.cumsum([len(x) for x in names])[:-1]), cells):
+                codes.extend((beyond + name.astype(np.int32)) * width + cell)
+            return _packed(np.concatenate([keys.value, others]), np.concatenate(codes))
+
         for batch in blocks(batches, 0):
             whole = _sequence(batch.column(0).to_pylist(), np.int32)
             others = batch.column(1)
             sizes = np.asarray(pa.compute.binary_length(batch.column(0)), dtype=np.int64) // 4
             begin = 1 + np.cumsum(sizes + 1) - sizes - 1
             first = np.asarray(others.offsets, dtype=np.int64)[:-1]
-            names = np.asarray(others.values, dtype=np.int64)
+            spelled = np.asarray(others.values, dtype=np.int64)
             for i in range(0, len(whole) - 1, _SLICE):
                 part = whole[max(0, i - 1) : i + _SLICE + 1]
-                classes = of[np.minimum(part, beyond)].astype(np.int64)
-                word, left, right = part[1:-1].astype(np.int64), classes[:-2], classes[2:] + _KINDS
-                inside = word < beyond
-                np.add.at(totals, word[inside] * width + left[inside], 1)
-                np.add.at(totals, word[inside] * width + right[inside], 1)
-                out = np.flatnonzero(~inside)
-                if len(out):
-                    text = np.searchsorted(begin, out + max(0, i - 1) + 1, side="right") - 1
-                    name = names[first[text] + word[out] - beyond]
-                    rows = np.concatenate([name, name]), np.concatenate([left[out], right[out]])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(np.ones(len(rows[0]), np.int64))], names=["key", "cell", "n"])
-        totals[:width] = 0  # the end has a class of its own
-        for i in range(0, len(totals), width << 14):
-            cells = i + np.flatnonzero(totals[i : i + (width << 14)])
-            rows = [pa.array(keys.value[cells // width]), pa.array(cells % width), pa.array(totals[cells].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(rows, names=["key", "cell", "n"])
+                classes = of[np.minimum(part, beyond)]
+                word, left, right = part[1:-1], classes[:-2], classes[2:] + np.uint8(_KINDS)
+                inside = (word > 0) & (word < beyond)  # the end has a class of its own
+                at = word[inside] * width
+                codes += [at + left[inside], at + right[inside]]
+                out = np.flatnonzero(word >= beyond)
+                text = np.searchsorted(begin, out + max(0, i - 1) + 1, side="right") - 1
+                names.append(spelled[first[text] + word[out] - beyond])
+                cells.append(np.stack([left[out], right[out]]))
+                seen += len(word)
+                if seen >= _TOGETHER:
+                    yield rows()
+                    codes, names, cells, seen = [], [], [], 0
+        if seen:
+            yield rows()
 
     return run
 
@@ -238,15 +262,29 @@ def fit(grid: np.ndarray) -> np.ndarray:
 
 
 def _choose(weights: np.ndarray) -> Callable:
+    """key and class of words found LEAST times, from rows sorted by key; a word at the end of a batch may go on in the next."""
+
+    def best(keys: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+        enough = seen[:, :_KINDS].sum(axis=1) >= LEAST
+        of = 1 + (seen[enough] @ weights).argmax(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(keys[enough]), pa.array(of.astype(np.int32))], names=["key", "of"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(weights)
+        last, held = np.zeros(0, np.int64), np.zeros((0, width))
         for batch in batches:
-            cells = batch.column(1)
-            seen = np.zeros((batch.num_rows, len(weights)))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(cells.offsets)))
-            values = cells.flatten()
-            seen[row, np.asarray(values.field("cell"))] = np.asarray(values.field("n"))
-            best = 1 + (seen @ weights).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], names=["key", "of"])
+            if not batch.num_rows:
+                continue
+            keys = np.concatenate([last, np.asarray(batch.column(0))])
+            new = np.concatenate(([True], keys[1:] != keys[:-1]))
+            pairs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 2)
+            word = np.repeat((np.cumsum(new) - 1)[len(last) :], np.asarray(pa.compute.binary_length(batch.column(1))) // 2)
+            seen = np.bincount(word * width + pairs[:, 0], pairs[:, 1], new.sum() * width).reshape(-1, width)
+            seen[: len(held)] += held
+            keys = keys[new]
+            yield best(keys[:-1], seen[:-1])
+            last, held = keys[-1:], seen[-1:].copy()
+        yield best(last, held)
 
     return run
 
@@ -255,9 +293,19 @@ def _best_classes(training: DataFrame, keys, of: np.ndarray) -> DataFrame:
     """key and class of every word found LEAST times: the class of best likelihood by all its neighbours, as classed by ``of``."""
     weights = fit(_pair_table(training, "numbers", np.int32, of, _KINDS))
     named = training.select("numbers", F.transform("rest", lambda w: F.xxhash64(w)).alias("keys"))
-    found = named.mapInArrow(_neighbours(keys, of), "key long, cell long, n long").groupBy("key", "cell").agg(F.sum("n").alias("n"))
-    words = found.groupBy("key").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum(F.when(F.col("cell") < _KINDS, F.col("n"))).alias("n"))
-    return words.filter(F.col("n") >= LEAST).select("key", "cells").mapInArrow(_choose(weights), "key long, of int")
+    found = named.mapInArrow(_neighbours(keys, of), "key long, cells binary")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(_choose(weights), "key long, of int")
+
+
+def _among(keys) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.sort(keys.value)
+        for batch in batches:
+            found = np.asarray(batch.column(0))
+            at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+            yield batch.filter(pa.array(wanted[at] == found))
+
+    return run
 
 
 def _name(fixed: dict[bytes, int], speller: Speller) -> Callable:
@@ -372,9 +420,12 @@ def class_words(training: DataFrame, vocabulary: DataFrame, common, words: list[
     classes = None
     for _ in range(PASSES):
         classes = table(_best_classes(training, keys, of))
-        rows = keyed.filter(common).join(classes, "key").select("word", "of").toArrow()
-        of[[place[w] for w in rows["word"].to_pylist()]] = np.asarray(rows["of"])
-        of[1 : seeds + 1] = first
+        rows = classes.mapInArrow(_among(keys), "key long, of int").toArrow().sort_by("key")
+        met, met_of = np.asarray(rows["key"]), np.asarray(rows["of"])
+        at = np.minimum(np.searchsorted(met, keys.value), max(0, len(met) - 1))
+        same = np.flatnonzero(met[at] == keys.value) if len(met) else at[:0]
+        of[same] = met_of[at[same]]
+        of[0], of[1 : seeds + 1] = 0, first
     sure = np.flatnonzero(of[1:-1] != _OPEN)
     speller = Speller(spelling([words[i] for i in sure], counts[sure], of[1:-1][sure].astype(np.int64)))
     fixed = {END: 0, **dict(zip(words[:seeds], first.tolist()))}

@@ -2,9 +2,11 @@
 
 import random
 import resource
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tapeworks.llm import brown, qgram
 
@@ -79,3 +81,48 @@ def test_words_beyond_the_seeds_are_classed_by_neighbours(spark, monkeypatch):
         held = [r for r in got.values() if r["held_out"]]
         # Three kinds in turn: knowing the kind is worth log10(3) a token against the base.
         assert sum(r["score"] - r["base_score"] for r in held) > 0.3 * sum(r["n_tokens"] for r in held)
+
+
+@pytest.mark.parametrize("together", [1 << 21, 150])
+def test_neighbours_travel_once_a_word(spark, monkeypatch, together):
+    """Neighbours go to the next stage as one row for each word and stretch of a task, in one shuffle, and the classes are those of plain counts."""
+    monkeypatch.setattr(brown, "_TOGETHER", together)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = random.Random(together)
+    head = [f"w{i}".encode() for i in range(1, 13)]
+    texts = [[rng.choice(head) if rng.random() < 0.6 else b"x" * 70 + b"%d" % int(rng.expovariate(0.2)) for _ in range(rng.randrange(40))] for _ in range(120)]
+    texts += [[head[3], head[4]] * 700, [b"y" * 90] * 600, []]
+    of = np.array([0, *(1 + i % 5 for i in range(12)), brown._OPEN], dtype=np.uint8)
+    keyed = spark.createDataFrame([(w,) for w in sorted({w for t in texts for w in t})], "word binary").withColumn("key", F.xxhash64("word")).collect()
+    key = {bytes(r["word"]): r["key"] for r in keyed}
+    place, rows = {w: i + 1 for i, w in enumerate(head)}, []
+    plain, pairs = defaultdict(Counter), np.zeros((brown._KINDS, brown._KINDS))
+    for text in texts:
+        rest = list(dict.fromkeys(w for w in text if w not in place))
+        rows.append((np.array([place.get(w) or 13 + rest.index(w) for w in text], np.int32).tobytes(), rest))
+        classes = [0, *(int(of[place.get(w, 13)]) for w in text), 0]
+        np.add.at(pairs, (classes[:-1], classes[1:]), 1)
+        for w, left, right in zip(text, classes, classes[2:]):
+            plain[key[w]].update([left, brown._KINDS + right])
+    training = spark.createDataFrame(rows, "numbers binary, rest array<binary>").repartition(3)
+    keys = spark.sparkContext.broadcast(np.array([0, *(key[w] for w in head)]))
+    try:
+        found = training.select("numbers", F.transform("rest", lambda w: F.xxhash64(w)).alias("keys")).mapInArrow(brown._neighbours(keys, of), "key long, cells binary").collect()
+        best = brown._best_classes(training, keys, of)
+        got = {r["key"]: r["of"] for r in best.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # the plan and its start, one each
+    if together > 10**6:
+        assert max(Counter(r["key"] for r in found).values()) <= 3  # a row for each of three tasks, whatever a word's neighbours
+    met = defaultdict(Counter)
+    for r in found:
+        for cell, n in zip(r["cells"][::2], r["cells"][1::2]):
+            met[r["key"]][cell] += n
+    assert met == plain
+    weights = brown.fit(pairs)
+    often = {k: c for k, c in plain.items() if sum(c.values()) >= 2 * brown.LEAST}
+    assert got.keys() == often.keys() and 0 < len(got) < len(plain)
+    for k, c in often.items():
+        gain = sum(n * weights[cell] for cell, n in c.items())
+        assert gain[got[k] - 1] >= gain.max() - 1e-9
