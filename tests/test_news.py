@@ -1,5 +1,7 @@
 import datetime as dt
+import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,45 @@ def test_each_pattern_stands_behind_its_hints(spark):
     for hints in EVENT_HINTS.values():
         assert all(f"contains(namedlambdavariable().folded, {h})" in plan or f", {h})" in plan for h in hints)
     assert list(EVENT_HINTS) == [n for n, _ in EVENT_PATTERNS]
+
+
+def ways(parsed):
+    """A text for each way through a parsed pattern: every branch and character of a set, optional parts present and absent."""
+    texts = [""]
+    for kind, value in parsed:
+        match str(kind):
+            case "LITERAL":
+                found = [chr(value)]
+            case "AT":
+                found = [""]
+            case "ANY":
+                found = [" "]
+            case "CATEGORY":
+                assert str(value) == "CATEGORY_SPACE"
+                found = ["\t"]
+            case "RANGE":
+                found = [chr(c) for c in range(value[0], value[1] + 1)]
+            case "IN":
+                found = [w for one in value for w in ways([one])]
+            case "BRANCH":
+                found = [w for branch in value[1] for w in ways(branch)]
+            case "SUBPATTERN":
+                found = ways(value[-1])
+            case "MAX_REPEAT":
+                low, high, part = value
+                times = range(low, (high if isinstance(high, int) and high < 9 else max(low, 1)) + 1)
+                found = ["".join(ws) for n in times for ws in itertools.product(ways(part), repeat=n)]
+            case other:
+                raise ValueError(other)
+        texts = [t + w for t in texts for w in found]
+    return texts
+
+
+def test_every_way_through_a_pattern_is_classified(spark):
+    """Not only the phrases above: a branch whose text holds no hint, like 'announce new', would never meet its pattern."""
+    texts = sorted({w for _, p in EVENT_PATTERNS for w in ways(re._parser.parse(p))} | {"Two firms announce new plants"})
+    want = {t: next((n for n, p in EVENT_PATTERNS if re.search(p, t, re.IGNORECASE)), "other") for t in texts}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["got"] for r in rows.select("t", classify_event(F.col("t")).alias("got")).collect()}
+    assert {t: (got[t], n) for t, n in want.items() if got[t] != n} == {}
+    assert want["announce new"] == want["Two firms announce new plants"] == "product"
